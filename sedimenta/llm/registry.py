@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = ("neighbours", "pieces", "tokens", "leaks", "lookalikes")
+NAMES = ("handwritten", "neighbours", "pieces", "tokens", "leaks", "lookalikes")
 
 
 def _modules() -> list:

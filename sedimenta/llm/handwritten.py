@@ -173,32 +173,35 @@ def profiles(chunks: DataFrame) -> DataFrame:
 
 
 def copied_files(found: DataFrame) -> DataFrame:
-    """Files of which most lines are rare lines of one package that another repository says is foreign.
+    """fid of files of which most lines are rare lines of one package that another repository says is foreign.
 
-    The index has one posting for each line and package, however many copies of the package there are;
-    lines of more than RARE_PACKAGES packages leave it. Of a file, distinct lines are counted. A line that
-    very many files hold is a hot key of the join: its index side is at most RARE_PACKAGES rows, so the
-    skewed side is split at run time without copying more than those.
+    ``found``: profiles with fid and rid, hashes of the file's and the repository's name. The index has one
+    posting for each line and package, however many copies of the package there are; lines of more than
+    RARE_PACKAGES packages leave it. A line that very many files hold is a hot key of the join: its index
+    side is at most RARE_PACKAGES rows, so the skewed side is split at run time without copying more than
+    those. Of the files that hold enough lines of a package, all distinct lines are then counted.
     """
     named = found.where(F.size("foreign") > 0)
-    postings = named.select("repo_path", "hashes", F.explode("foreign").alias("package"))
-    postings = postings.select("repo_path", "package", F.explode("hashes").alias("line"))
+    postings = named.select("rid", "hashes", F.explode("foreign").alias("package")).select("rid", "package", F.explode("hashes").alias("line"))
     # a posting remembers one repository that holds it, or that there are several
-    postings = postings.groupBy("line", "package").agg(F.min("repo_path").alias("lo"), F.max("repo_path").alias("hi"))
+    postings = postings.groupBy("line", "package").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
     width = postings.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") <= RARE_PACKAGES)
     rare = postings.join(width.select("line"), "line", "left_semi")
-    files = found.groupBy("repo_path", "file_path").agg(F.max(F.size("foreign")).alias("f"), F.sum(F.size("hashes")).alias("about"))
-    files = files.where((F.col("f") <= 0) & (F.col("about") >= COPY_LINES)).select("repo_path", "file_path")
-    lines = found.where(F.size("foreign") <= 0).select("repo_path", "file_path", F.explode("hashes").alias("line")).distinct()
-    total = lines.groupBy("repo_path", "file_path").agg(F.count("*").alias("total")).where(F.col("total") >= COPY_LINES)
+    lines = found.where(F.size("foreign") <= 0).select("fid", "rid", F.explode("hashes").alias("line"))
     held = (
         lines.join(rare, "line")
-        .where((F.col("lo") != F.col("repo_path")) | (F.col("hi") != F.col("repo_path")))
-        .groupBy("repo_path", "file_path", "package")
+        .where((F.col("lo") != F.col("rid")) | (F.col("hi") != F.col("rid")))
+        .groupBy("fid", "package", "line")
+        .agg(F.count("*").alias("_"))
+        .groupBy("fid", "package")
         .agg(F.count("*").alias("held"))
+        .groupBy("fid")
+        .agg(F.max("held").alias("held"))
+        .where(F.col("held") >= CONTAINMENT * COPY_LINES)
     )
-    key = ["repo_path", "file_path"]
-    return held.join(total, key).join(files, key, "left_semi").where(F.col("held") >= CONTAINMENT * F.col("total")).select(*key).distinct()
+    own = found.join(held, "fid").select("fid", "held", F.explode("hashes").alias("line")).distinct()
+    total = own.groupBy("fid", "held").agg(F.count("*").alias("total"))
+    return total.where((F.col("total") >= COPY_LINES) & (F.col("held") >= CONTAINMENT * F.col("total"))).select("fid")
 
 
 def not_handwritten(chunks: DataFrame) -> DataFrame:
@@ -209,17 +212,17 @@ def not_handwritten(chunks: DataFrame) -> DataFrame:
     own; null and empty contents tell nothing, so a file of such only is judged by its path. An empty
     table gives no rows.
     """
-    found = checkpoint(chunks.sparkSession, profiles(chunks))
+    named = profiles(chunks).withColumn("fid", F.xxhash64("repo_path", "file_path", F.isnull("repo_path"))).withColumn("rid", F.xxhash64("repo_path"))
+    found = checkpoint(chunks.sparkSession, named)
     copies = copied_files(found).withColumn("copied", F.lit(True))
-    sums = found.groupBy("repo_path", "file_path").agg(
+    sums = found.groupBy("repo_path", "file_path", "fid").agg(
         *[F.sum(c).alias(c) for c in ("chars", "lines", "dense", "data")],
         F.max("numbered").alias("numbered"),
         F.max("generated").alias("generated"),
         F.max("min_name").alias("min_name"),
         F.max(F.size("foreign")).alias("foreign"),
     )
-    same = sums.repo_path.eqNullSafe(copies.repo_path) & sums.file_path.eqNullSafe(copies.file_path)
-    j = sums.join(copies, same, "left").select(sums["*"], "copied")
+    j = sums.join(copies, "fid", "left")
     reason = (
         F.when((F.col("foreign") > 0) | F.col("copied"), "vendored")
         .when(F.col("generated") | (F.col("numbered") >= RUN_LINES), "generated")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = ("markup", "handwritten", "neighbours", "pieces", "tokens", "leaks", "lookalikes")
+NAMES = ("pii", "markup", "handwritten", "neighbours", "pieces", "tokens", "leaks", "lookalikes")
 
 
 def _modules() -> list:

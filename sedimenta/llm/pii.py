@@ -87,6 +87,10 @@ _ADDRESS = (
 _ADDRESS_SIGN = re.compile(
     rf"(?i)\d[a-z]?,? [^\W\d_][\w’'\-]* (?:{_STREET})\b|\brue \w|avenue d|boulevard d|impasse|chemin d|allée d|\bcalle \w|\bc/ ?\w|avenida|avda|plaza \w|paseo|straße|strasse|str\. ?\d|[a-z](?:weg|platz|gasse|allee|damm|ufer|plein|straat|laan|gracht|gatan|gade) \d|\bbox \d|postfach|postbus|apartado|casilla|boîte postale|\b(?:flat|apt\.?|apartment|unit|suite) ?#?\d|place d|quai d|cours d|\bvia \w|viale \w|corso \w|piazza \w|carrer \w|\brua \w"
 )
+_ADDRESS_WORDS = frozenset(f"{_STREET}|rue|boulevard|bd|av|place|impasse|chemin|allée|quai|cours|calle|avenida|avda|plaza|paseo|carrer|rua|via|viale|corso|piazza|box|postfach|postbus|apartado|casilla|boîte|flat|apt|apartment|unit|suite|c".split("|"))
+_ADDRESS_ENDS = ("straße", "strasse", "str", "weg", "platz", "gasse", "allee", "damm", "ufer", "plein", "straat", "laan", "gracht", "gatan", "gade")
+#: Any identity code holds one of these.
+_ID_GATE = re.compile(r"\d{3}(?:-?\d{3}|-\d)|\d\d[ \-]?\d\d[ \-]\d\d|[A-Z]\d[A-Z]\d|\d-\d\d\d?-\d|[A-Z]-\d\d|\d[A-Z][A-Z0-9]{4}")
 _NAME_WORD = re.compile(r"[^\W\d_][^\W\d_’']*(?:[’'\-][^\W\d_]+)*")
 _INITIAL = re.compile(r"(?<![\w.@/+\-])[A-ZÀ-Þ]\.(?:[ -]?[A-ZÀ-Þ]\.)* ?(?:(?:%s) )?(?=[A-ZÀ-Þ][\w’'\-]{2})" % _PARTICLES)
 _NAME_AT = re.compile(
@@ -252,6 +256,8 @@ def _number(text: str, a: int, b: int, s: str, digits: int, whole: bool) -> Iter
 
 
 def _codes(text: str) -> Iterator[Segment]:
+    if not _ID_GATE.search(text):
+        return
     for m in sorted((m for p in _ID_CODE for m in p.finditer(text)), key=lambda m: m.span()):
         s = m.group()
         if sum(map(str.isdigit, s)) < 6:
@@ -277,7 +283,10 @@ def _codes(text: str) -> Iterator[Segment]:
         yield Segment(m.start(), m.end(), "id_number", f)
 
 
-def _addresses(text: str) -> Iterator[Segment]:
+def _addresses(text: str, words: set[str]) -> Iterator[Segment]:
+    # every form of address has one of these words; most texts have none
+    if _ADDRESS_WORDS.isdisjoint(words) and not any(w.endswith(_ADDRESS_ENDS) for w in words):
+        return
     for sign in _ADDRESS_SIGN.finditer(text):
         lo = max(0, sign.start() - 60)
         hi = min(len(text), sign.end() + LONGEST)
@@ -358,9 +367,9 @@ def _name_features(text: str, a: int, b: int, first: str, last: str, form: str,
     return f
 
 
-def _names(text: str) -> Iterator[Segment]:
+def _names(text: str, words: set[str]) -> Iterator[Segment]:
     seen: set[tuple[int, int]] = set()
-    if not GIVEN.isdisjoint(re.split(r"[\W_]+", text.lower())):
+    if not GIVEN.isdisjoint(words):
         for w in _NAME_WORD.finditer(text):
             word = w.group()
             if word.lower().split("-")[0] not in GIVEN:
@@ -399,11 +408,15 @@ def _names(text: str) -> Iterator[Segment]:
 _CUES = re.compile(r"(?:\b(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Mme)\.? |From: |[a-z]-by: |Reported by |Thanks to |customer |assigned: |[Mm]aintainer is |maintainers = \[\"|paired with )(?=[A-ZÀ-Þ])")
 
 
+_SPLIT = re.compile(r"[\W_]+").split
+
+
 def segments(text: str) -> list[Segment]:
     """All candidate segments of a text, by their start."""
     found: dict[tuple[int, int, str], Segment] = {}
-    for finder in (_emails, _numbers, _codes, _addresses, _names):
-        for s in finder(text):
+    words = set(_SPLIT(text.lower()))
+    for finder in (_emails(text), _numbers(text), _codes(text), _addresses(text, words), _names(text, words)):
+        for s in finder:
             found.setdefault((s.start, s.end, s.type), s)
     return sorted(found.values(), key=lambda s: (s.start, s.end, s.type))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.plans import incremental
+from sedimenta.plans import incremental, retrieval
 
-MODULES = (incremental,)
+MODULES = (incremental, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -111,7 +111,8 @@ def content_hash(text: Column) -> Column:
 def issue_content(title_: Column, body: Column) -> Column:
     """Title, a blank line and the trimmed body; the title alone if the body is null or blank."""
     b = strip(F.coalesce(body, F.lit("")))
-    return F.when(b == "", title_).otherwise(F.concat(title_, F.lit("\n\n"), b))
+    t = strip(title_)
+    return F.when(b == "", t).otherwise(F.concat(t, F.lit("\n\n"), b))
 
 
 def parse_time(text: Column) -> Column:

@@ -49,15 +49,10 @@ def strip(text: Column) -> Column:
 
 
 def byte_truncate(text: Column, limit: int) -> Column:
-    """At most ``limit`` UTF-8 bytes, never cutting a character.
-
-    The bytes up to the limit are decoded; a character that was cut decodes to replacement characters,
-    of which only those the text does not have itself at that place go.
-    """
-    cut = F.decode(F.substring(F.encode(text, "utf-8"), 1, limit), "utf-8")
-    clean = F.regexp_replace(cut, "\\uFFFD+$", "")
-    kept = F.when(F.startswith(text, cut), cut).otherwise(clean)
-    return F.when(F.octet_length(text) <= limit, text).otherwise(kept)
+    """At most ``limit`` UTF-8 bytes, never cutting a character: the longest of four cuts that is valid."""
+    raw = F.encode(text, "utf-8")
+    cuts = [F.try_validate_utf8(F.substring(raw, 1, limit - i).cast("string")) for i in range(min(4, limit))]
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.coalesce(*cuts))
 
 
 def basename(path: Column) -> Column:

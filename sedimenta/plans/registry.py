@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.plans import incremental, retrieval
+from sedimenta.plans import catalog, incremental, retrieval
 
-MODULES = (incremental, retrieval)
+MODULES = (incremental, retrieval, catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -52,7 +52,7 @@ def byte_truncate(text: Column, limit: int) -> Column:
     """At most ``limit`` UTF-8 bytes, never cutting a character: the longest of four cuts that is valid."""
     raw = F.encode(text, "utf-8")
     cuts = [F.try_validate_utf8(F.substring(raw, 1, limit - i).cast("string")) for i in range(min(4, limit))]
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.coalesce(*cuts))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.when(text.isNotNull(), F.coalesce(*cuts, F.lit(""))))
 
 
 def basename(path: Column) -> Column:

@@ -96,7 +96,7 @@ def chunk_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
     A null or empty text has none. A window counts only if no counted window before it reached the end.
     """
-    lines = F.split(F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"), "\n$", ""), "\n", -1)
+    lines = F.split(F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"), r"\n\z", ""), "\n", -1)
     base = df.where(F.length(text) > 0).select(F.col(key), lines.alias("ls")).select("*", F.size("ls").alias("n"))
     w = base.select(key, "n", "ls", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("i"))
     w = w.select(key, (F.col("i") + 1).alias("start_line"), F.least(F.col("i") + WINDOW, F.col("n")).alias("end_line"), F.array_join(F.slice("ls", F.col("i") + 1, WINDOW), "\n").alias("content"), "n")

@@ -220,7 +220,7 @@ def reconstruct(chunks: DataFrame, keys: Sequence[str] = ("repo_path", "file_pat
     Lines are numbered from a chunk's start_line (1 if null or less); a number that several chunks give is
     taken from the lowest chunk_index, then id; missing numbers are left out.
     """
-    lines = F.split(F.regexp_replace(F.regexp_replace("content", "\r\n", "\n"), "\n$", ""), "\n")
+    lines = F.split(F.regexp_replace(F.regexp_replace("content", "\r\n", "\n"), r"\n\z", ""), "\n")
     base = chunks.where(F.length("content") > 0)
     one = base.select(*keys, "chunk_index", "id", F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).alias("s"), F.posexplode(lines).alias("p", "line"))
     one = one.groupBy(*keys, (F.col("s") + F.col("p")).alias("n")).agg(F.min_by("line", F.struct("chunk_index", "id")).alias("line"))

@@ -91,7 +91,7 @@ def insert_ignore(s: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_on_first(s: SparkSession, d: str) -> DataFrame:
-    return S.first_chunk_state(table(s, d, "code_chunks", "id", "repo_path", "file_path", "chunk_index", "file_mtime", "content_hash"))
+    return S.first_chunk_state(table(s, d, "code_chunks", "id", "repo_path", "file_path", "chunk_index", "file_mtime", "content_hash")).withColumn("file_mtime", F.coalesce("file_mtime", F.lit(-1)))
 
 
 def _snapshots(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +114,7 @@ def status_counts(s: SparkSession, d: str) -> DataFrame:
 
 def touch_mtime(s: SparkSession, d: str) -> DataFrame:
     now, was = _snapshots(s, d)
-    return S.touch_mtime(was, now, ("repo_path", "file_path")).select("repo_path", "file_path", "file_mtime")
+    return S.touch_mtime(was, now, ("repo_path", "file_path")).select("repo_path", "file_path", F.coalesce("file_mtime", F.lit(-1)).alias("file_mtime"))
 
 
 def old_versions(s: SparkSession, d: str) -> DataFrame:
@@ -173,7 +173,7 @@ def error_upsert(s: SparkSession, d: str) -> DataFrame:
     scope = state.orderBy("scope_key").first()["scope_key"]
     out = S.record_error(state, "github", scope, "é" * 700, F.lit("2026-06-02 00:00:00").cast("timestamp_ntz"))
     out = S.record_error(out, "github", "new/one:issues", "boom", F.lit("2026-06-02 00:00:00").cast("timestamp_ntz"))
-    return out.select("source_name", "scope_key", "watermark", "error_count", F.length("last_error").alias("n_error"))
+    return out.select("source_name", "scope_key", "watermark", "error_count", F.coalesce(F.length("last_error"), F.lit(0)).alias("n_error"))
 
 
 def watermark_upsert(s: SparkSession, d: str) -> DataFrame:
@@ -289,10 +289,10 @@ FROM o FULL JOIN n ON o.repo = n.repo AND o.number = n.number""",
   CASE WHEN n.id IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN o.id IS NULL THEN n.content_hash ELSE o.content_hash END AS content_hash
 FROM o FULL JOIN n ON o.repo = n.repo AND o.number = n.number""",
     "insert_ignore": f"WITH {_STATES} SELECT repo, number, id FROM o UNION ALL SELECT repo, number, id FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.repo = n.repo AND o.number = n.number)",
-    "distinct_on_first": "SELECT repo_path, file_path, file_mtime, content_hash FROM code_chunks WHERE content_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo_path, file_path ORDER BY chunk_index, id) = 1",
+    "distinct_on_first": "SELECT repo_path, file_path, coalesce(file_mtime, -1) AS file_mtime, content_hash FROM code_chunks WHERE content_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo_path, file_path ORDER BY chunk_index, id) = 1",
     "incremental_classify": _CLASSIFY,
     "status_counts": f"SELECT status, count(*) AS n_files FROM ({_CLASSIFY}) GROUP BY status",
-    "touch_mtime": f"""WITH {_SNAPSHOTS} SELECT o.repo_path, o.file_path, CASE WHEN o.content_hash = n.content_hash AND o.file_mtime IS DISTINCT FROM n.file_mtime THEN n.file_mtime ELSE o.file_mtime END AS file_mtime
+    "touch_mtime": f"""WITH {_SNAPSHOTS} SELECT o.repo_path, o.file_path, coalesce(CASE WHEN o.content_hash = n.content_hash AND o.file_mtime IS DISTINCT FROM n.file_mtime THEN n.file_mtime ELSE o.file_mtime END, -1) AS file_mtime
 FROM o LEFT JOIN n ON n.repo_path IS NOT DISTINCT FROM o.repo_path AND n.file_path IS NOT DISTINCT FROM o.file_path""",
     "old_versions": "WITH x AS (SELECT repo_path, source_kind, package_name, indexed_at FROM repo_index UNION ALL SELECT repo_path || '-old', source_kind, package_name, indexed_at - INTERVAL 1 DAY FROM repo_index WHERE length(repo_path) % 3 = 0) SELECT repo_path FROM x r WHERE package_name IS NOT NULL AND indexed_at < (SELECT max(indexed_at) FROM x q WHERE q.source_kind = r.source_kind AND q.package_name = r.package_name)",
     "prune_counts": "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t} WHERE repo_path IN (SELECT repo_path FROM repo_index WHERE source_kind = 'local')" for t in ("code_chunks", "documents", "repo_index")),
@@ -307,7 +307,7 @@ FROM o LEFT JOIN n ON n.repo_path IS NOT DISTINCT FROM o.repo_path AND n.file_pa
     "index_listing": "SELECT repo_path, source_kind, package_name, version, indexed_at FROM repo_index WHERE source_kind <> 'local'",
     "sync_status": "SELECT source_name, scope_key, watermark, error_count, last_error, updated_at FROM sync_state",
     "error_upsert": """WITH k AS (SELECT min(scope_key) AS k FROM sync_state)
-SELECT source_name, scope_key, watermark, CASE WHEN scope_key = k AND source_name = 'github' THEN error_count + 1 ELSE error_count END AS error_count, CASE WHEN scope_key = k AND source_name = 'github' THEN 500 ELSE length(last_error) END AS n_error FROM sync_state, k
+SELECT source_name, scope_key, watermark, CASE WHEN scope_key = k AND source_name = 'github' THEN error_count + 1 ELSE error_count END AS error_count, CASE WHEN scope_key = k AND source_name = 'github' THEN 500 ELSE coalesce(length(last_error), 0) END AS n_error FROM sync_state, k
 UNION ALL SELECT 'github', 'new/one:issues', NULL, 1, 4""",
     "watermark_upsert": """WITH k AS (SELECT min(scope_key) AS k FROM sync_state)
 SELECT source_name, scope_key, CASE WHEN scope_key = k THEN '2026-06-03T00:00:00Z' ELSE watermark END AS watermark, CASE WHEN scope_key = k THEN 0 ELSE error_count END AS error_count, CASE WHEN scope_key = k THEN NULL ELSE last_error END AS last_error FROM sync_state, k""",

@@ -33,7 +33,7 @@ def _issues(s: SparkSession, d: str) -> DataFrame:
 
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
     df = _code(s, d)
-    return R.search_code(df, QUERY, _vector(df, "id")).select("id", "repo_path", "file_path", "start_line", "end_line", "language", "rrf_score")
+    return R.search_code(df, QUERY, _vector(df, "id")).select("id", "repo_path", "file_path", F.coalesce("start_line", F.lit(0)).alias("first_line"), "language", "rrf_score")
 
 
 def hybrid_search_filtered(s: SparkSession, d: str) -> DataFrame:
@@ -132,7 +132,7 @@ SELECT {columns}, rrf_score FROM top JOIN {source} s ON s.{key} = top.k WHERE {p
 
 
 ORACLES = {
-    "hybrid_search": _hybrid("code_chunks", "id", "id, repo_path, file_path, start_line, end_line, language"),
+    "hybrid_search": _hybrid("code_chunks", "id", "id, repo_path, file_path, coalesce(start_line, 0) AS first_line, language"),
     "hybrid_search_filtered": _hybrid("code_chunks", "id", "id, repo_path, language", post="language = 'python' AND repo_path LIKE '%::%'", fetch=30),
     "hybrid_prefiltered": _hybrid("code_chunks", "id", "id, language", pre="language = 'python'", fetch=30),
     "bm25_search": f"WITH {_bm25('b', 'code_chunks', 'id')} SELECT id, file_path, score AS rrf_score FROM b JOIN code_chunks ON id = k ORDER BY score DESC, id LIMIT 10",

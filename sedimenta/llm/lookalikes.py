@@ -48,7 +48,10 @@ _NEWLINE = re.compile(r"\r\n?|[\x85\u2028\u2029]")
 _CYRILLIC_ONLY = f"(?![{CYRILLIC}])[\u0400-\u052f]"
 _GREEK_ONLY = f"(?![{GREEK}])[\u0370-\u03ff]"
 _LETTER = r"A-Za-z\u00aa-\u024f\u0300-\u052f"
-_WORD = re.compile(f"[{_LETTER}]*[{GREEK}{CYRILLIC}][{_LETTER}]*")
+_WORD = re.compile(f"[{_LETTER}]*[\\u0370-\\u03ff\\u0400-\\u052f][{_LETTER}]*")
+_PURE = re.compile(r"[\u0400-\u052f]+|[\u0370-\u03ff]+")
+#: Composed letters whose base has a twin: their script does not show by themselves.
+_HAS_TWIN_MARK = re.compile("[" + "".join(c for c in map(chr, range(0x370, 0x530)) if (d := unicodedata.normalize("NFD", c)) != c and d[0] in _TWIN) + "]")
 _HAS_CYRILLIC, _HAS_GREEK = re.compile(_CYRILLIC_ONLY), re.compile(_GREEK_ONLY)
 _LATIN_TWINS = frozenset(GREEK_AS + CYRILLIC_AS)
 _HAS_LATIN = re.compile("[" + "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if c not in _LATIN_TWINS) + "\u00df-\u024f]")
@@ -97,14 +100,20 @@ def _splice(text: str) -> str:
 
 
 def _word(m: re.Match[str]) -> str:
+    """A word with Greek or Cyrillic letters in the script that owns one of its letters; marks are looked at apart."""
     w = m.group()
-    if _HAS_LATIN.search(w):
-        return w.translate(_TO_LATIN)
-    if _HAS_CYRILLIC.search(w):
-        return w.translate(_TO_CYRILLIC)
-    if _HAS_GREEK.search(w):
-        return w.translate(_TO_GREEK)
-    return w.translate(_TO_LATIN)
+    if _PURE.fullmatch(w) and (_HAS_CYRILLIC.search(w) or _HAS_GREEK.search(w)) and not _HAS_TWIN_MARK.search(w):
+        return w
+    d = unicodedata.normalize("NFD", w)
+    if _HAS_LATIN.search(d):
+        d = d.translate(_TO_LATIN)
+    elif _HAS_CYRILLIC.search(d):
+        d = d.translate(_TO_CYRILLIC)
+    elif _HAS_GREEK.search(d):
+        d = d.translate(_TO_GREEK)
+    else:
+        d = d.translate(_TO_LATIN)
+    return unicodedata.normalize("NFC", d)
 
 
 def canonical(text: str) -> str:

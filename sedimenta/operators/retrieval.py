@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
+from sedimenta.sources.tables import spread
 
 #: Rows that each arm hands to the fusion.
 DEPTH = 60
@@ -44,8 +45,15 @@ def bm25(df: DataFrame, key: str, text: str, query: str, where: Column | None =
     terms = T.query_terms(query)
     if not terms:
         return df.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
-    tok = df.select(F.col(key), T.tokens(F.col(text)).alias("_t"), *([where.alias("_w")] if where is not None else []))
-    tok = tok.select("*", F.size("_t").alias("_dl"), *[(F.size("_t") - F.size(F.array_remove("_t", t))).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    # Length and the occurrences of the terms come from two scans of the text, without an array of all its
+    # words. They leave a generator, so that no filter on them is moved below it and scans the text again.
+    edge = r"[\p{L}\p{N}]"
+    hits = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"(?<!{edge})(?:{'|'.join(terms)})(?!{edge})"), F.lit(0))
+    found = F.struct(F.coalesce(F.regexp_count(F.col(text), F.lit(T.WORD_PATTERN)), F.lit(-1)).alias("_dl"), hits.alias("_h"))
+    narrow = spread(df.select(F.col(key), F.col(text), *([where.alias("_w")] if where is not None else [])))
+    tok = narrow.select(F.col(key), F.explode(F.array(found)).alias("_f"), *(["_w"] if where is not None else []))
+    tok = tok.select(key, "_f.*", *(["_w"] if where is not None else []))
+    tok = tok.select("*", *[(F.size("_h") - F.size(F.array_remove("_h", t))).alias(f"_tf{i}") for i, t in enumerate(terms)])
     stats = tok.where("_dl >= 0").agg(F.count("*").alias("n"), F.avg("_dl").alias("avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
     if not stats["n"]:
         return df.select(F.col(key), F.lit(0.0).alias("score")).limit(0)

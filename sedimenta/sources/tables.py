@@ -16,3 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores if the scan has fewer partitions than there are cores.
+
+    A small table in one file with one row group is one task otherwise. A table of many files, as on a
+    cluster, is left as it is: nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

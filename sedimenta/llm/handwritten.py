@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.sources.shared import checkpoint
-from sedimenta.sources.tables import table
+from sedimenta.sources.tables import spread, table
 
 #: A line counts for containment from so many characters on.
 LINE_CHARS = 12
@@ -169,7 +169,7 @@ def profiles(chunks: DataFrame) -> DataFrame:
                 cols = [pa.array([r[k] for r in rows], kind) for k, kind in _KINDS.items()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["repo_path", "file_path", *_KINDS])
 
-    return chunks.select("repo_path", "file_path", "chunk_index", F.coalesce("content", F.lit("")).alias("content")).mapInArrow(run, _SCHEMA)
+    return spread(chunks.select("repo_path", "file_path", "chunk_index", F.coalesce("content", F.lit("")).alias("content"))).mapInArrow(run, _SCHEMA)
 
 
 def copied_files(found: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.lookalikes import INVISIBLE, canonical
-from sedimenta.sources.tables import table
+from sedimenta.sources.tables import spread, table
 
 #: Consecutive words that make a leak.
 LEAST = 16
@@ -263,7 +263,7 @@ def leaked_spans(corpus: DataFrame, items: DataFrame, key: str, text: str, item_
     size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     chosen = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.length("t") > 0)
-    kept = corpus.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.length("text") >= 2 * least - 1)
+    kept = spread(corpus.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))).where(F.length("text") >= 2 * least - 1)
     found = None
     for b in range(blocks):
         rows = chosen.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i", "t").collect()

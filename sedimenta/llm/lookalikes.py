@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.sources.shared import checkpoint
-from sedimenta.sources.tables import table
+from sedimenta.sources.tables import spread, table
 
 # Letters of Greek and Cyrillic that are drawn like a Latin letter.
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ"
@@ -139,7 +139,7 @@ def canonical_column(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.string())], names=["key", "text", "canonical"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, text string, canonical string")
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, text string, canonical string")
 
 
 def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -157,7 +157,7 @@ def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
                 one.append(a if c is t else hashlib.blake2b(c.encode("utf-8", "surrogatepass"), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(one, pa.binary())], names=["key", "own", "one"])
 
-    kept = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    kept = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).where(F.length("text") > 0)
     return kept.mapInArrow(run, "key long, own binary, one binary")
 
 

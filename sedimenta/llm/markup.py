@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.sources.tables import table
+from sedimenta.sources.tables import spread, table
 
 KINDS = ("html", "markdown", "wiki", "latex")
 DIALECTS = ("plain", *KINDS)
@@ -584,7 +584,7 @@ def trained(pages: int = 1500, seed: int = 5) -> Model:
 
 
 def _each(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    return spread(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))).where(F.length("text") > 0)
 
 
 def found_kinds(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -615,7 +615,7 @@ def clean_column(df: DataFrame, key: str, text: str) -> DataFrame:
             done = [clean(t, model) if t else t for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string())], names=["key", "clean"])
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, clean string")
+    return spread(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))).mapInArrow(run, "key long, clean string")
 
 
 SOURCES = (("documents", "doc_id", "content"), ("github_issues", "id", "body"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.sources.tables import table
+from sedimenta.sources.tables import spread, table
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Segments further apart than this many characters don't influence each other.
@@ -525,7 +525,7 @@ def found_types(df: DataFrame, key: str, text: str) -> DataFrame:
                     out.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(out, pa.string())], names=["key", "pii_kind"])
 
-    kept = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    kept = spread(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))).where(F.length("text") > 0)
     return kept.mapInArrow(run, "key long, pii_kind string")
 
 
@@ -538,7 +538,7 @@ def redact_column(df: DataFrame, key: str, text: str) -> DataFrame:
             done = [redact(t, weights) if t else t for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string())], names=["key", "redacted"])
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, redacted string")
+    return spread(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))).mapInArrow(run, "key long, redacted string")
 
 
 SOURCES = (("github_issues", "body"), ("github_issue_comments", "content"))

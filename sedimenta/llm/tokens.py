@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.sources.shared import put_shared_file
-from sedimenta.sources.tables import table
+from sedimenta.sources.tables import spread, table
 
 #: Folder of the public vocabularies; a parameter of the operator.
 VOCABULARIES = "/opt/tokenizers"
@@ -279,7 +279,7 @@ def count_words(df: DataFrame, text: str, least: int = 2) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return df.select(F.col(text)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(df.select(F.col(text))).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(spark: SparkSession, df: DataFrame, text: str, ranks: dict[bytes, int], words: int = LEXICON_WORDS) -> str:
@@ -315,7 +315,7 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
                 part = batch.slice(i, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), enc.encode(part.column(1).to_pylist())], names=["key", "ids"])
 
-    return df.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {kind.simpleString()}, ids array<int>").withColumnRenamed("key", key)
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind.simpleString()}, ids array<int>").withColumnRenamed("key", key)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.text import query_terms
 from sedimenta.operators import retrieval as R
+from sedimenta.operators.postings import PostingsIndex
+from sedimenta.sources.shared import shared_dir
 from sedimenta.sources.tables import table
 
 QUERY = "the resolver rejects every stale snapshot before the cache is ready"
@@ -50,6 +52,12 @@ def bm25_search(s: SparkSession, d: str) -> DataFrame:
     return R.bm25_search(_code(s, d), QUERY).select("id", "file_path", "rrf_score")
 
 
+def bm25_indexed(s: SparkSession, d: str) -> DataFrame:
+    """The same ranking from a stored inverted index."""
+    index = PostingsIndex.build(table(s, d, "code_chunks", "id", "content"), "id", "content", f"{shared_dir(s)}/postings")
+    return index.search(QUERY).select(F.col("key").alias("id"), F.col("score").alias("rrf_score"))
+
+
 def bm25_search_filtered(s: SparkSession, d: str) -> DataFrame:
     return R.bm25_search(_code(s, d), QUERY, language="rust", symbol_kind="function").select("id", "language", "symbol_kind", "rrf_score")
 
@@ -94,7 +102,7 @@ def file_reconstruct(s: SparkSession, d: str) -> DataFrame:
     return df.select("repo_path", "file_path", F.length("source").alias("n_chars"), F.sha2("source", 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search, hybrid_search_filtered, hybrid_prefiltered, bm25_search, bm25_search_filtered, docs_search, entity_union_search, corpus_stats, term_df, knn_cosine, rrf_fuse, list_repos, file_reconstruct)}
+QUERIES = {f.__name__: f for f in (hybrid_search, hybrid_search_filtered, hybrid_prefiltered, bm25_search, bm25_indexed, bm25_search_filtered, docs_search, entity_union_search, corpus_stats, term_df, knn_cosine, rrf_fuse, list_repos, file_reconstruct)}
 
 _TERMS = "[" + ", ".join(f"'{t}'" for t in query_terms(QUERY)) + "]"
 
@@ -136,6 +144,7 @@ ORACLES = {
     "hybrid_search_filtered": _hybrid("code_chunks", "id", "id, repo_path, language", post="language = 'python' AND repo_path LIKE '%::%'", fetch=30),
     "hybrid_prefiltered": _hybrid("code_chunks", "id", "id, language", pre="language = 'python'", fetch=30),
     "bm25_search": f"WITH {_bm25('b', 'code_chunks', 'id')} SELECT id, file_path, score AS rrf_score FROM b JOIN code_chunks ON id = k ORDER BY score DESC, id LIMIT 10",
+    "bm25_indexed": f"WITH {_bm25('b', 'code_chunks', 'id')} SELECT k AS id, score AS rrf_score FROM b ORDER BY score DESC, k LIMIT 10",
     "bm25_search_filtered": f"WITH {_bm25('b', 'code_chunks', 'id', chr(108) + 'anguage = ' + chr(39) + 'rust' + chr(39) + ' AND symbol_kind = ' + chr(39) + 'function' + chr(39))} SELECT id, language, symbol_kind, score AS rrf_score FROM b JOIN code_chunks ON id = k ORDER BY score DESC, id LIMIT 10",
     "docs_search": _hybrid("documents", "doc_id", "doc_id, doc_kind, title", pre="doc_kind = 'readme'", fetch=30),
     "entity_union_search": f"""WITH o AS (SELECT * FROM github_issues WHERE state = 'open'), c AS (SELECT * FROM github_issues WHERE state = 'closed'),

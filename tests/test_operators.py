@@ -90,6 +90,19 @@ class TestRetrieval:
         assert got == pytest.approx(want)
         assert R.bm25(df, "id", "content", " !! ").count() == 0 and R.bm25(df.limit(0), "id", "content", "red").count() == 0
 
+    def test_stored_index_gives_the_same_ranking(self, spark, tmp_path):
+        from sedimenta.operators.postings import PostingsIndex
+
+        rng = random.Random(3)
+        rows = [(i, " ".join(rng.choice("red blue fox car tree sky".split()) for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(90, None), (91, "")]
+        df = spark.createDataFrame(rows, "id long, content string").withColumn("term", F.lit("x"))
+        index = PostingsIndex.build(df, "id", "content", f"file://{tmp_path}/ix", 4)
+        want = R.bm25(df, "id", "content", "red Sky absent").orderBy(F.desc("score"), "id").limit(7)
+        assert [tuple(r) for r in index.search("red Sky absent", 7).collect()] == [tuple(r) for r in want.collect()]
+        assert index.search("...").count() == 0
+        empty = PostingsIndex.build(df.limit(0), "id", "content", f"file://{tmp_path}/ix", 4)
+        assert empty.search("red").count() == 0
+
     def test_cosine_forms_agree_and_skip_unusable(self, spark):
         rng = random.Random(1)
         rows = [(i, [rng.uniform(-1, 1) for _ in range(200)]) for i in range(20)] + [(90, None), (91, [0.0] * 200), (92, [1.0] * 3)]

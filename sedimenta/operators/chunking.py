@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.operators.symbols import extract_symbols, split_lines
+from sedimenta.sources.tables import spread
 
 WINDOW, OVERLAP = 120, 15
 STEP = WINDOW - OVERLAP
@@ -117,7 +118,7 @@ def _batches(df: DataFrame, make, columns: list[Column], schema: str, kinds: lis
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return spread(df.select(*columns)).mapInArrow(run, schema)
 
 
 def chunk_code(df: DataFrame, key: str, text: str, language: str) -> DataFrame:

@@ -54,7 +54,7 @@ def bm25_search(s: SparkSession, d: str) -> DataFrame:
 
 def bm25_indexed(s: SparkSession, d: str) -> DataFrame:
     """The same ranking from a stored inverted index."""
-    index = PostingsIndex.build(table(s, d, "code_chunks", "id", "content"), "id", "content", f"{shared_dir(s)}/postings")
+    index = PostingsIndex.build(table(s, d, "code_chunks", "id", "content"), "id", "content", f"{shared_dir(s)}/postings", 8)
     return index.search(QUERY).select(F.col("key").alias("id"), F.col("score").alias("rrf_score"))
 
 

@@ -2,9 +2,10 @@
 
 A text of more than ``limit`` UTF-8 bytes is cut into pieces of at most ``limit`` bytes. A cut lies
 at the most natural boundary in the second half of what still fits: after a blank line, a line, a
-sentence, white space, else between two characters. The next piece starts at the earliest boundary
-within ``overlap`` bytes before the cut, so consecutive pieces share up to that many bytes, and the
-pieces without their overlaps add up to the text.
+sentence, white space, else between two characters. The next piece starts at the most natural boundary
+that is between half of ``overlap`` and all of it before the cut, the earliest of its rank; where there is
+none, at the first character in reach. So consecutive pieces share at least half of the overlap and at
+most all of it, and the pieces without their overlaps add up to the text.
 
 All boundaries get their successor (the cut of the piece that starts there, less the overlap) in one
 vectorised pass; squaring the successor table doubles the steps it spans, so the greedy cuts that are
@@ -83,15 +84,16 @@ def successors(at: np.ndarray, rank: np.ndarray, limit: int, overlap: int) -> tu
         take = ~chosen & (c >= 0) & (at[np.maximum(c, 0)] >= least)
         cut[take] = c[take]
         chosen |= take
-    # the next start: the most natural boundary in the overlap's range, the earliest of that rank
+    # the next start: the most natural boundary in the far half of the overlap's range, the earliest of that rank
     low = np.searchsorted(at, at[cut] - overlap, "left")
     low = np.maximum(low, np.minimum(i + 1, n - 1))
     nxt = np.minimum(low, cut)
+    near = at[cut] - (overlap + 1) // 2
     done = np.zeros(n, bool)
     for level in (4, 3, 2, 1):
         first = np.where(rank >= level, i, n)
         first = np.minimum.accumulate(first[::-1])[::-1][low]
-        take = ~done & (first < cut)
+        take = ~done & (first < cut) & (at[np.minimum(first, n - 1)] <= near)
         nxt[take] = first[take]
         done |= take
     nxt[cut == n - 1] = n - 1

@@ -82,6 +82,17 @@ class TestPieces:
         text = "First paragraph of words.\n\nSecond one is here.\nThird line goes on and on."
         assert [p for _, _, p in C.split(text, 40, 0)][0] == "First paragraph of words.\n\n"
 
+    @pytest.mark.parametrize("line", [80, 250, 900])
+    @pytest.mark.parametrize("letters", ["word", "größ", "漢字", "👩👩"])
+    def test_overlap_has_a_lower_bound(self, line, letters):
+        # a blank line behind a long line: the newline before it is no start for the next piece
+        text = ((f"{letters} " * line)[:line].strip() + ".\n\n") * 60
+        got = C.split(text, 4000, 200)
+        shared = [b - c for (_, b, _), (c, _, _) in zip(got, got[1:], strict=False)]
+        assert shared and all(100 <= n <= 200 for n in shared)
+        solid = C.split("é" * 9000, 4000, 200)
+        assert all(b - c in range(197, 201) for (_, b, _), (c, _, _) in zip(solid, solid[1:], strict=False))
+
     def test_edge_rows(self, spark, texts):
         got = C.split_oversized(texts, "doc_id", "body", 4000).groupBy("key").count().collect()
         assert {r.key: r["count"] > 40 for r in got} == {4: True}

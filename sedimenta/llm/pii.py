@@ -16,6 +16,7 @@ import json
 import math
 import os
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -448,17 +449,20 @@ def best(group: list[Segment], weights: dict[str, float]) -> list[Segment]:
     value = [0.0] * len(group)
     back = [-1] * len(group)
     order = sorted(range(len(group)), key=lambda i: (group[i].end, group[i].start))
-    for n, i in enumerate(order):
+    ends = [group[i].end for i in order]
+    # the best labelling of the segments up to each place of the order, and its last segment
+    upto = [(0.0, -1)]
+    for i in order:
         s = group[i]
-        top, prev = 0.0, -1
-        for j in reversed(order[max(0, n - 60) : n]):
-            p = group[j]
-            if p.end <= s.start:
-                t = transition(p, s)
-                v = value[j] + (get(t, 0.0) if t else 0.0)
-                if v > top:
-                    top, prev = v, j
+        near, last = bisect_left(ends, s.start - WINDOW), bisect_right(ends, s.start)
+        # beyond the window no transition counts, so one best value stands for all of them
+        top, prev = upto[near]
+        for j in reversed(order[near:last]):
+            v = value[j] + get(transition(group[j], s), 0.0)
+            if v > top:
+                top, prev = v, j
         value[i], back[i] = top + s.score, prev
+        upto.append(max(upto[-1], (value[i], i), key=lambda x: x[0]))
     if not group:
         return []
     i = max(range(len(group)), key=value.__getitem__)

@@ -393,6 +393,29 @@ class TestPersonal:
                         top = max(top, value(c))
                 assert value(got) == pytest.approx(top) if got else top <= 1e-9
 
+    def test_long_windows_keep_what_is_far_apart(self):
+        w = P.trained_weights()
+        log = "".join(f"2024-05-{1 + n % 28:02d} 12:{n % 60:02d}:11 started\n" for n in range(150))
+        text = f"anna@mail.example\n{log}bob@mail.example\n{log}eve@mail.example"
+        assert max(len(g) for g in P.windows(P.segments(text))) > 600
+        assert [text[s.start : s.end] for s in P.find(text, w) if s.type == "email"] == ["anna@mail.example", "bob@mail.example", "eve@mail.example"]
+
+    def test_long_windows_equal_all_predecessors(self):
+        rng, kinds = random.Random(5), ("email", "phone", "name")
+        for _ in range(20):
+            w = {f"then:{a}>{b}": rng.uniform(-2, 2) for a in kinds for b in kinds}
+            w |= {f"f{n}": rng.uniform(-6, 3) for n in range(9)}
+            starts = sorted(rng.randint(0, 3000) for _ in range(300))
+            group = [P.Segment(a, a + rng.randint(1, 60), rng.choice(kinds), [f"f{rng.randint(0, 8)}"]) for a in starts]
+            got = P.best(group, w)
+            value = {}
+            for s in sorted(group, key=lambda s: s.end):
+                before = [value[id(p)] + w.get(P.transition(p, s), 0.0) for p in group if p.end <= s.start]
+                value[id(s)] = s.score + max([0.0, *before])
+            links = sum(w.get(P.transition(a, b), 0.0) for a, b in zip(got, got[1:], strict=False))
+            assert all(a.end <= b.start for a, b in zip(got, got[1:], strict=False))
+            assert sum(s.score for s in got) + links == pytest.approx(max(0.0, *value.values()))
+
     @pytest.mark.parametrize(
         "text,want",
         [

@@ -3,11 +3,10 @@
 Each chunk is read once and leaves a small profile: sums of what its lines look like, notes found in
 its head and the hashes of its longer lines. Profiles are added up by file.
 
-Vendored copies are known by a folder or note that names another project; edited copies without one
-by an inverted index: for every line hash the foreign packages whose announced copies hold it. A line
-is rare if few packages hold it. A file of which most lines are rare lines of one package from another
-repository is a copy of it; containment counts all of the file's lines. Files too short to tell stay
-with their project. The remaining files are judged by composition: notes of tools, lock files, runs of
+Vendored copies are known by a folder or note that names another project; copies without one, edited
+ones too, by an inverted index: for every line hash the projects that hold it. The rarest lines of a file
+choose the projects it is compared with; containment counts all of the file's lines. Folders and notes
+tell which of two projects has the copy. Files too short to tell stay with their project. The remaining files are judged by composition: notes of tools, lock files, runs of
 numbered statements, dense lines, literals.
 """
 
@@ -19,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.sources.shared import checkpoint
@@ -27,8 +26,6 @@ from sedimenta.sources.tables import spread, table
 
 #: A line counts for containment from so many characters on.
 LINE_CHARS = 12
-#: A line that more foreign packages hold is common code, not a sign of one of them.
-RARE_PACKAGES = 8
 #: Containment that makes a copy, and the lines a file needs for it.
 CONTAINMENT, COPY_LINES = 0.6, 15
 #: Share of a file that decides its kind, and the least amount of characters of literals.
@@ -63,6 +60,8 @@ _LOCK_TEXT = re.compile(r"lockfileVersion|\"?integrity\"?: \"?sha(?:1|256|384|51
 _MIN_NAME = re.compile(r"\.min\.(?:js|mjs|cjs|css|ts|jsx|tsx)$")
 _GENERATED_NAME = re.compile(r"(?:_pb2(?:_grpc)?\.py|\.pb\.(?:go|cc|h|rs|swift)|\.generated\.\w+|\.g\.(?:dart|cs|ts))$")
 _GENERATED_FOLDER = re.compile(r"(?:^|/)(?:_*(?:auto)?gen(?:erated)?_*|codegen)/|_(?:auto)?gen(?:erated)?\.\w+$")
+#: Texts of licences are alike in many projects and nobody's source.
+_LEGAL = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|unlicense)[^/]*$"
 _NUMBER = re.compile(r"\d+")
 _NAMED = re.compile(r"\d+|[^\W\d_]+")
 _LITERAL = re.compile(r"(?:[\s\[\](){},;:.+\-]|0[xX][0-9a-fA-F]+|\b\d[\d_.eE]*[uUlLfF]*|\"[^\"\w]*[0-9A-Fa-f]{2,}\"|\"[A-Za-z0-9+/=_-]{24,}\"|'[A-Za-z0-9+/=_-]{24,}'|\\x[0-9a-fA-F]{2})+")
@@ -146,6 +145,7 @@ def profile(repo_path: str | None, file_path: str | None, chunk_index: int | Non
         "numbered": run,
         "generated": note or bool(_GENERATED_NAME.search(file_path or "")) or bool(_LOCK_NAME.search(file_path or "")) or len(_LOCK_TEXT.findall(head)) >= 1,
         "min_name": bool(_MIN_NAME.search(file_path or "")),
+        "own": project_name(repo_path or ""),
         "foreign": foreign_packages(repo_path, file_path, head),
         "hashes": hashes,
     }
@@ -153,9 +153,9 @@ def profile(repo_path: str | None, file_path: str | None, chunk_index: int | Non
 
 _KINDS = {
     "chars": pa.int64(), "lines": pa.int64(), "dense": pa.int64(), "data": pa.int64(), "numbered": pa.int64(),
-    "generated": pa.bool_(), "min_name": pa.bool_(), "foreign": pa.list_(pa.string()), "hashes": pa.list_(pa.int64()),
+    "generated": pa.bool_(), "min_name": pa.bool_(), "own": pa.string(), "foreign": pa.list_(pa.string()), "hashes": pa.list_(pa.int64()),
 }
-_SCHEMA = "repo_path string, file_path string, chars long, lines long, dense long, data long, numbered long, generated boolean, min_name boolean, foreign array<string>, hashes array<long>"
+_SCHEMA = "repo_path string, file_path string, chars long, lines long, dense long, data long, numbered long, generated boolean, min_name boolean, own string, foreign array<string>, hashes array<long>"
 
 
 def profiles(chunks: DataFrame) -> DataFrame:
@@ -172,36 +172,69 @@ def profiles(chunks: DataFrame) -> DataFrame:
     return spread(chunks.select("repo_path", "file_path", "chunk_index", F.coalesce("content", F.lit("")).alias("content"))).mapInArrow(run, _SCHEMA)
 
 
-def copied_files(found: DataFrame) -> DataFrame:
-    """fid of files of which most lines are rare lines of one package that another repository says is foreign.
+def _project(name: Column) -> Column:
+    return F.xxhash64(F.lower(name))
+
 
-    ``found``: profiles with fid and rid, hashes of the file's and the repository's name. The index has one
-    posting for each line and package, however many copies of the package there are; lines of more than
-    RARE_PACKAGES packages leave it. A line that very many files hold is a hot key of the join: its index
-    side is at most RARE_PACKAGES rows, so the skewed side is split at run time without copying more than
-    those. Of the files that hold enough lines of a package, all distinct lines are then counted.
+def copied_files(found: DataFrame) -> DataFrame:
+    """fid of files of which most lines stand in one other project, and that are the copy of the two.
+
+    ``found``: profiles with fid and rid, hashes of the file's and the repository's name. Every line of
+    every file is posted under the file's project: the foreign one that its folder or note names, else its
+    own. Only lines of several projects are kept. Files of which enough lines are such lines are compared
+    with the projects that hold one of their rarest lines; so many are taken that a project without any of
+    them can't hold enough of the file. Containment is then counted over all of the file's lines, frequent
+    ones included, so nothing depends on how many projects hold a line.
+
+    Where lines are shared, the announcements tell the copy. A file of project A that P contains is the
+    copy if announced copies of P contain it, if a file of A names P, or if P is named anywhere and A is
+    not; but never if P names A and A doesn't name P. Without any announcement neither counts as a copy.
     """
-    named = found.where(F.size("foreign") > 0)
-    postings = named.select("rid", "hashes", F.explode("foreign").alias("package")).select("rid", "package", F.explode("hashes").alias("line"))
-    # a posting remembers one repository that holds it, or that there are several
-    postings = postings.groupBy("line", "package").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-    width = postings.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") <= RARE_PACKAGES)
-    rare = postings.join(width.select("line"), "line", "left_semi")
-    lines = found.where(F.size("foreign") <= 0).select("fid", "rid", F.explode("hashes").alias("line"))
+    own = _project(F.col("own"))
+    # a note in a file's head holds for all of its chunks
+    notes = found.where(F.size("foreign") > 0).groupBy("fid").agg(F.array_distinct(F.flatten(F.collect_set(F.transform("foreign", _project)))).alias("of"))
+    said = F.col("of").isNotNull()
+    packages = F.when(said, F.col("of")).otherwise(F.array(own))
+    compared = found.where(~F.coalesce(F.col("file_path").rlike(_LEGAL), F.lit(False)))
+    lines = compared.join(notes, "fid", "left").select("fid", "rid", own.alias("own"), said.alias("said"), F.explode(packages).alias("package"), "hashes")
+    lines = lines.select("fid", "rid", "own", "said", "package", F.explode("hashes").alias("line"))
+    shared = lines.groupBy("line").agg(F.min("package").alias("a"), F.max("package").alias("b"), F.count("*").alias("n")).where("a != b")
+    lines = checkpoint(found.sparkSession, lines.join(shared.select("line", "n"), "line"))
+
+    # files that may be copies: enough of their lines stand in several projects
+    plain = lines.where(~F.col("said")).groupBy("fid", "line").agg(F.first("rid").alias("rid"), F.first("own").alias("own"), F.first("n").alias("n"))
+    some = plain.groupBy("fid").agg(F.count("*").alias("held")).where(F.col("held") >= CONTAINMENT * COPY_LINES)
+    total = found.join(some, "fid").select("fid", "held", F.explode("hashes").alias("line")).distinct().groupBy("fid", "held").agg(F.count("*").alias("total"))
+    total = total.where((F.col("total") >= COPY_LINES) & (F.col("held") >= CONTAINMENT * F.col("total")))
+    # of total lines, held - ceil(CONTAINMENT * total) + 1 shared ones can't all be missing in what holds enough
+    asked = checkpoint(found.sparkSession, plain.join(total, "fid").withColumn("first", F.col("held") - F.ceil(CONTAINMENT * F.col("total")) + 1))
+
+    # a posting remembers one repository that holds it, or that there are several; of announced copies too
+    rid = F.when(F.col("said"), F.col("rid"))
+    postings = lines.groupBy("line", "package").agg(
+        F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min(rid).alias("said_lo"), F.max(rid).alias("said_hi")
+    )
+    postings = postings.join(asked.select("line").distinct(), "line", "left_semi")
+    rarest = asked.withColumn("r", F.row_number().over(Window.partitionBy("fid").orderBy("n", "line"))).where(F.col("r") <= F.col("first"))
+    elsewhere = (F.col("package") != F.col("own")) & ((F.col("lo") != F.col("rid")) | (F.col("hi") != F.col("rid")))
+    pairs = rarest.join(postings, "line").where(elsewhere).select("fid", "package").distinct()
+    announced = F.coalesce((F.col("said_lo") != F.col("rid")) | (F.col("said_hi") != F.col("rid")), F.lit(False))
     held = (
-        lines.join(rare, "line")
-        .where((F.col("lo") != F.col("rid")) | (F.col("hi") != F.col("rid")))
-        .groupBy("fid", "package", "line")
-        .agg(F.count("*").alias("_"))
-        .groupBy("fid", "package")
-        .agg(F.count("*").alias("held"))
-        .groupBy("fid")
-        .agg(F.max("held").alias("held"))
-        .where(F.col("held") >= CONTAINMENT * COPY_LINES)
+        asked.drop("held").join(pairs, "fid").join(postings, ["line", "package"]).where(elsewhere)
+        .groupBy("fid", "own", "package", "total").agg(F.count("*").alias("held"), F.sum(announced.cast("int")).alias("held_said"))
+        .where(F.col("held") >= CONTAINMENT * F.col("total"))
+    )
+
+    names = found.where(F.size("foreign") > 0).select(own.alias("by"), F.explode(F.transform("foreign", _project)).alias("of")).distinct()
+    known = names.select("of").distinct()
+    side = (
+        held.join(names.select(F.col("by").alias("own"), F.col("of").alias("package"), F.lit(True).alias("forth")), ["own", "package"], "left")
+        .join(names.select(F.col("of").alias("own"), F.col("by").alias("package"), F.lit(True).alias("back")), ["own", "package"], "left")
+        .join(known.select(F.col("of").alias("package"), F.lit(True).alias("package_known")), "package", "left")
+        .join(known.select(F.col("of").alias("own"), F.lit(True).alias("own_known")), "own", "left")
     )
-    own = found.join(held, "fid").select("fid", "held", F.explode("hashes").alias("line")).distinct()
-    total = own.groupBy("fid", "held").agg(F.count("*").alias("total"))
-    return total.where((F.col("total") >= COPY_LINES) & (F.col("held") >= CONTAINMENT * F.col("total"))).select("fid")
+    one_way = F.col("back").isNull() & ((F.col("held_said") >= CONTAINMENT * F.col("total")) | (F.col("package_known").isNotNull() & F.col("own_known").isNull()))
+    return side.where(F.col("forth").isNotNull() | one_way).select("fid").distinct()
 
 
 def not_handwritten(chunks: DataFrame) -> DataFrame:

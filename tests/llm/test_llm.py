@@ -354,6 +354,24 @@ class TestHandwritten:
         assert got == {k: why for k, (_, why) in cases.items() if why}
         assert H.not_handwritten(df.limit(0)).count() == 0
 
+    def test_copies_of_indexed_projects(self, spark):
+        def source(name, n=30):
+            return "\n".join(f"def {name}_{i}(left, right): return {name}({i}, left)" for i in range(n))
+
+        rows_ = [
+            # bundles zlib by its folder, and has a plain copy of another file of it; zlib itself is indexed
+            ("a::app-1.0", "third_party/zlib/a.c", source("first")), ("a::app-1.0", "src/plain.c", source("second")),
+            ("a::zlib-1.2", "a.c", source("first")), ("a::zlib-1.2", "b.c", source("second")),
+            # nobody but an app that names it holds zlib's file; a third project that names nothing copies it
+            ("a::other-1.0", "src/b.c", source("second")),
+            # alike without any announcement: nothing tells whose it is
+            ("a::left-1.0", "x.c", source("alike")), ("a::right-1.0", "x.c", source("alike")),
+            ("a::left-1.0", "LICENSE", source("terms")), ("a::zlib-1.2", "LICENSE", source("terms")),
+        ]
+        df = spark.createDataFrame([(r, p, 0, t) for r, p, t in rows_], "repo_path string, file_path string, chunk_index int, content string")
+        got = {(r.repo_path, r.file_path) for r in H.not_handwritten(df).collect() if r.reason == "vendored"}
+        assert got == {("a::app-1.0", "third_party/zlib/a.c"), ("a::app-1.0", "src/plain.c"), ("a::other-1.0", "src/b.c")}
+
     def test_project_names(self):
         for path, name in (("crates.io::a-b-1.2.3", "a-b"), ("git::https://x.example/o/r@abc123", "r"), ("/srv/x/proj", "proj"), ("pypi::p-0.1", "p")):
             assert H.project_name(path) == name

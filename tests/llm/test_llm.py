@@ -372,6 +372,16 @@ class TestHandwritten:
         got = {(r.repo_path, r.file_path) for r in H.not_handwritten(df).collect() if r.reason == "vendored"}
         assert got == {("a::app-1.0", "third_party/zlib/a.c"), ("a::app-1.0", "src/plain.c"), ("a::other-1.0", "src/b.c")}
 
+    def test_copies_of_popular_helpers(self, spark):
+        helper = "\n".join(f"static int helper_{i}(int x) {{ return x + {i * 7 % 11}; }}" for i in range(30))
+        tail = "\n".join(f"int later_{i}(void) {{ return helper_{i}({i * 5 % 13}); }}" for i in range(40))
+        rows_ = [("a::app-1.0", f"third_party/lib{i}/helper.c", 0, helper) for i in range(12)] + [("a::b-1.0", "src/helper.c", 0, helper)]
+        # a note stands in the first chunk only
+        rows_ += [("a::app-1.0", "src/c.c", 0, "/* Copied from libc */\n" + helper), ("a::app-1.0", "src/c.c", 1, tail), ("a::d-1.0", "src/tail.c", 0, tail)]
+        df = spark.createDataFrame(rows_, "repo_path string, file_path string, chunk_index int, content string")
+        got = {(r.repo_path, r.file_path) for r in H.not_handwritten(df).collect() if r.reason == "vendored"}
+        assert {("a::b-1.0", "src/helper.c"), ("a::d-1.0", "src/tail.c")} <= got
+
     def test_project_names(self):
         for path, name in (("crates.io::a-b-1.2.3", "a-b"), ("git::https://x.example/o/r@abc123", "r"), ("/srv/x/proj", "proj"), ("pypi::p-0.1", "p")):
             assert H.project_name(path) == name

@@ -21,8 +21,9 @@ import html
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -69,26 +70,38 @@ _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)/?>|<!DOCTYPE[^<>]
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _ATX = re.compile(r"^([ \t]*(?:>[ \t]*)*(?:[-*+][ \t]+)?)(#{1,6})([ \t]+)(\S.*?)([ \t]+#+)?[ \t]*$", re.M)
 _SETEXT = re.compile(r"^([ \t]*(?:>[ \t]*)*)([^\s>|#*+\-].*|[*_]{1,3}\w.*)\n[ \t>]*(=+|-+)[ \t]*$", re.M)
-_STARS = re.compile(r"(?<![*\\\w])(\*{1,3})(?=[^\s*])((?:[^*\n]|\n(?!\s*\n)|(?<=\s)\*(?=\s)){1,400}?)(?<=[^\s*\\])\1(?![*])")
-_UNDER = re.compile(r"(?<![\w\\])(_{1,3})(?=[^\s_])((?:[^\n]|\n(?!\s*\n)){1,400}?)(?<=[^\s_\\])\1(?!\w)")
-_STRIKE = re.compile(r"(?<![~\\])~~(?=[^\s~])([^\n]{1,400}?)(?<=[^\s~])~~(?!~)")
+_STARS = re.compile(r"(?<![*\\\w])(\*{1,3})(?=[^\s*])")
+_STARS_END = re.compile(r"(?<=[^\s*\\])\*{1,3}(?!\*)")
+#: A star that is no sign of multiplication between blanks.
+_STAR = re.compile(r"(?<!\s)\*|\*(?!\s)")
+_UNDER = re.compile(r"(?<![\w\\])(_{1,3})(?=[^\s_])")
+_UNDER_END = re.compile(r"(?<=[^\s_\\])_{1,3}(?!\w)")
+_STRIKE = re.compile(r"(?<![~\\])(~~)(?=[^\s~])")
+_STRIKE_END = re.compile(r"(?<=[^\s~])~~(?!~)")
 _LINK = re.compile(r"(!?)\[((?:[^\[\]\n]|\[[^\[\]\n]*\]|\n(?!\s*\n))*)\]\([ \t]*(<[^<>\n]*>|[^\s()<>]*(?:\([^\s()]*\)[^\s()<>]*)?)([ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'))?[ \t]*\)")
 _REFLINK = re.compile(r"(!?)\[([^\[\]\n]+(?:\n[^\[\]\n]+)?)\]\[([^\[\]\n]*)\]")
 _REFDEF = re.compile(r"^[ ]{0,3}\[([^\[\]\n]+)\]:[ \t]*(<[^<>\n]*>|\S+)[^\n]*$", re.M)
 _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
 _TABLE_RULE = re.compile(r"^[ \t>]*(?:\|[ \t]*:?-+:?[ \t]*\||\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?)[ \t]*$", re.M)
 _WIKI_HEAD = re.compile(r"^(={1,6})[ \t]*([^=\s](?:[^\n]*?[^=\s])?)[ \t]*\1[ \t]*$", re.M)
-_QUOTES = re.compile(r"(?<!')('{2}|'{3}|'{5})(?=[^'\s])([^\n]{0,400}?[^'\s])\1(?!')")
+_QUOTES = re.compile(r"(?<!')('{2}|'{3}|'{5})(?=[^'\s])")
+_QUOTES_END = re.compile(r"(?<=[^'\s])'{2,5}(?!')")
 _WIKI_LINK = re.compile(r"\[\[([^\[\]\n|]+)((?:\|[^\[\]\n]*)?)\]\]")
 _EXT_LINK = re.compile(r"(?<![\]\[\w])\[((?:https?|ftp)://[^\s\[\]]+|mailto:[^\s\[\]]+)([ \t]+[^\[\]\n]+)?\](?![(\[])")
 _TEMPLATE = re.compile(r"(?<![{$])\{\{([^{}|\n]+)((?:\|[^{}]*)?)\}\}(?!\})")
 _WIKI_TABLE = re.compile(r"^[ \t:]*\{\|[^\n]*\n(?:[^\n]*\n)*?[ \t]*\|\}", re.M)
 _ENV = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
 _COMMAND = re.compile(r"(?<!\\)\\([A-Za-z]{2,})(\*?)((?:\[[^\]\n]*\])?)(\{)?")
+_BRACE = re.compile(r"[{}]")
 _ESCAPED = re.compile(r"(?<!\\)\\([%&_#${}])")
-_DISPLAY = re.compile(r"(?<!\\)\$\$((?:[^$\n]|\n(?!\s*\n)){1,600}?)\$\$|\\\[((?:[^\n]|\n(?!\s*\n)){1,600}?)\\\]|\\\(((?:[^\n]|\n(?!\s*\n)){1,400}?)\\\)")
-_FORMULA = re.compile(r"\\begin\{((?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}((?:[^\n]|\n(?!\s*\n)){0,2000}?)\\end\{\1\}")
-_DOLLAR = re.compile(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]{0,200}?[^\s$\\])\$(?![\d$\w])")
+_DISPLAY = re.compile(r"(?<!\\)\$\$(?!\$)|\\[\[(]")
+_DISPLAY_END = re.compile(r"\$\$|\\[\])]")
+_FORMULA = re.compile(r"\\begin\{((?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}")
+_FORMULA_END = re.compile(r"\\end\{[a-z]+\*?\}")
+_DOLLAR = re.compile(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]*?[^\s$\\])\$(?![\d$\w])")
+_LINE_END = re.compile(r"\n")
+_CLOSING = {"$$": "$$", "\\[": "\\]", "\\(": "\\)"}
+_BLANK_LINE = re.compile(r"\n\s*\n")
 _MATH = re.compile(r"[\\^=_{}<>+]")
 _LIST_ITEM = re.compile(r"^[ \t]*(?:[*+#:;]+|-)[ \t]", re.M)
 
@@ -179,12 +192,35 @@ def _zones(text: str) -> tuple[list[Node], str]:
     return nodes, "".join(out)
 
 
-def _pair(kind: str, type_: str, bits: tuple[bool, ...], m: re.Match[str], open_: int, close: int, put: str = "") -> Node:
+def _pair(kind: str, type_: str, bits: tuple[bool, ...], a: int, b: int, open_: int, close: int, put: str = "") -> Node:
     """A node whose markers stand at both ends of its span."""
-    a, b = m.span()
     return Node(kind, type_, bits, a, b, [(a, a + open_, put), (b - close, b, put)])
 
 
+def _places(pattern: re.Pattern[str], t: str) -> list[int]:
+    return [m.start() for m in pattern.finditer(t)]
+
+
+def _enclosed(t: str, opener: re.Pattern[str], closer: re.Pattern[str], stops: Callable[[str], list[int]], closing: Callable[[re.Match[str]], str], least: int = 1) -> Iterator[tuple[int, int, int, int]]:
+    """Start, inner start, inner end and end of spans from an opener to its next closing text before a stop.
+
+    Closing texts and stops are listed once and searched by bisection, so spans of any length are found
+    in linear time, many openers without a closer included.
+    """
+    ends: dict[str, list[int]] = defaultdict(list)
+    for m in closer.finditer(t):
+        ends[m[0]].append(m.start())
+    at = 0
+    while ends and (m := opener.search(t, at)):
+        at = m.start() + 1
+        close = closing(m)
+        places, barred = ends.get(close, []), stops(close)
+        i, j = bisect_left(places, m.end() + least), bisect_left(barred, m.end())
+        if i < len(places) and (j == len(barred) or places[i] <= barred[j]):
+            at = places[i] + len(close)
+            yield m.start(), m.end(), places[i], at
+
+
 def _words(s: str) -> bool:
     return bool(re.fullmatch(r"[\w\s.,;:!?'’()/\x00-]+", s))
 
@@ -217,16 +253,19 @@ def _candidates(text: str, t: str) -> Iterator[Node]:
             edits = [(head, head, "§" * (1 if m[3][0] == "=" else 2) + " "), (m.end(2), m.end(), "")]
             yield Node("markdown", "md.setext", (blank, len(m[3]) >= 3, not m[2].startswith("=")), a, m.end(), edits)
     if "*" in t:
-        for m in _STARS.finditer(t):
-            k = len(m[1])
-            yield _pair("markdown", "md.stars", (_words(m[2]), " " in m[2] or m[2].isalpha(), "\n" not in m[2]), m, k, k)
+        barred = sorted(_places(_BLANK_LINE, t) + _places(_STAR, t))
+        for a, i, j, b in _enclosed(t, _STARS, _STARS_END, lambda _: barred, lambda m: m[1]):
+            s = t[i:j]
+            yield _pair("markdown", "md.stars", (_words(s), " " in s or s.isalpha(), "\n" not in s), a, b, i - a, b - j)
     if "_" in t:
-        for m in _UNDER.finditer(t):
-            k = len(m[1])
-            yield _pair("markdown", "md.under", (_words(m[2]), " " in m[2], not re.fullmatch(r"\w*", m[2]) or m[2].isalpha()), m, k, k)
+        blank = _places(_BLANK_LINE, t)
+        for a, i, j, b in _enclosed(t, _UNDER, _UNDER_END, lambda _: blank, lambda m: m[1]):
+            s = t[i:j]
+            yield _pair("markdown", "md.under", (_words(s), " " in s, not re.fullmatch(r"\w*", s) or s.isalpha()), a, b, i - a, b - j)
     if "~~" in t:
-        for m in _STRIKE.finditer(t):
-            yield _pair("markdown", "md.strike", (_words(m[1]), True, True), m, 2, 2)
+        lines = _places(_LINE_END, t)
+        for a, i, j, b in _enclosed(t, _STRIKE, _STRIKE_END, lambda _: lines, lambda m: m[1]):
+            yield _pair("markdown", "md.strike", (_words(t[i:j]), True, True), a, b, 2, 2)
     if "[" in t:
         yield from _links(t)
     if "|" in t:
@@ -245,9 +284,9 @@ def _candidates(text: str, t: str) -> Iterator[Node]:
             a, b = m.span()
             yield Node("wiki", "wiki.heading", (k >= 2, len(m[2]) <= 120, True), a, b, [(a, m.start(2), "§" * max(1, k - 1) + " "), (m.end(2), b, "")])
     if "''" in t:
-        for m in _QUOTES.finditer(t):
-            k = len(m[1])
-            yield _pair("wiki", "wiki.quotes", (_words(m[2]), m[2][0] not in ",;)+", "``" not in t[max(0, m.start() - 200) : m.start()]), m, k, k)
+        ends = _places(_LINE_END, t)
+        for a, i, j, b in _enclosed(t, _QUOTES, _QUOTES_END, lambda _: ends, lambda m: m[1]):
+            yield _pair("wiki", "wiki.quotes", (_words(t[i:j]), t[i] not in ",;)+", "``" not in t[max(0, a - 200) : a]), a, b, i - a, b - j)
     if "{{" in t:
         for m in _TEMPLATE.finditer(t):
             shown = m[2].split("|")[-1].split("=", 1)[-1] if m[2] else ""
@@ -259,9 +298,11 @@ def _candidates(text: str, t: str) -> Iterator[Node]:
             s = m[1]
             yield Node("latex", "tex.dollar", (bool(_MATH.search(s)), not s[0].isdigit() or bool(re.search(r"[\\^=_]", s)), len(s.split()) < 4 or "\\" in s), m.start(), m.end(), [(m.start(), m.start() + 1, "⟦"), (m.end() - 1, m.end(), "⟧")])
     if "$$" in t or "\\[" in t or "\\(" in t:
-        for m in _DISPLAY.finditer(t):
-            s = m[1] or m[2] or m[3]
-            yield Node("latex", "tex.display", (bool(_MATH.search(s)), m[1] is not None or " " in s or bool(re.search(r"[\\^=_]", s)), True), m.start(), m.end(), [(m.start(), m.start() + 2, "⟦"), (m.end() - 2, m.end(), "⟧")])
+        empty = _places(_BLANK_LINE, t)
+        dollars = sorted(empty + [i for i, c in enumerate(t) if c == "$"]) if "$$" in t else []
+        for a, i, j, b in _enclosed(t, _DISPLAY, _DISPLAY_END, lambda close: dollars if close == "$$" else empty, lambda m: _CLOSING[m[0]]):
+            s = t[i:j]
+            yield Node("latex", "tex.display", (bool(_MATH.search(s)), t[a] == "$" or " " in s or bool(re.search(r"[\\^=_]", s)), True), a, b, [(a, i, "⟦"), (j, b, "⟧")])
 
 
 def _tags(t: str) -> Iterator[Node]:
@@ -353,10 +394,19 @@ def _wiki_rows(t: str, m: re.Match[str]) -> list[tuple[int, int, str]]:
 
 
 def _tex(t: str) -> Iterator[Node]:
-    for m in _FORMULA.finditer(t):
-        yield Node("latex", "tex.formula", (True, True, True), m.start(), m.end(), [(m.start(), m.start(2), "⟦"), (m.end(2), m.end(), "⟧")])
+    blank = _places(_BLANK_LINE, t)
+    for a, i, j, b in _enclosed(t, _FORMULA, _FORMULA_END, lambda _: blank, lambda m: rf"\end{{{m[1]}}}", 0):
+        yield Node("latex", "tex.formula", (True, True, True), a, b, [(a, i, "⟦"), (j, b, "⟧")])
     for m in _ENV.finditer(t):
         yield Node("latex", "tex.env", (True, True, True), m.start(), m.end(), [(m.start(), m.end(), "")])
+    # where the group that begins at a place ends, its brace included
+    closed: dict[int, int] = {}
+    opened: list[int] = []
+    for m in _BRACE.finditer(t):
+        if m[0] == "{":
+            opened.append(m.end())
+        elif opened:
+            closed[opened.pop()] = m.end()
     for m in _COMMAND.finditer(t):
         name = m[1]
         if name in ("begin", "end") and m[4]:
@@ -366,12 +416,8 @@ def _tex(t: str) -> Iterator[Node]:
         edits = [(a, b, "")]
         end = b
         if m[4]:
-            depth, i = 1, b
-            while i < len(t) and depth and i < b + 2000:
-                depth += (t[i] == "{") - (t[i] == "}")
-                i += 1
-            if not depth:
-                end = i
+            if b in closed:
+                end = closed[b]
                 if name in _TEX_HEADS:
                     edits = [(a, b, "§" * _TEX_HEADS[name] + " "), (end - 1, end, "")]
                 elif name in _TEX_DROP:

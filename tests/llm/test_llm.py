@@ -324,6 +324,26 @@ class TestMarkup:
         for (n, _), w in zip(flat, weight, strict=True):
             assert n.marginal == pytest.approx(w[1] / w.sum())
 
+    @pytest.mark.parametrize(
+        "left,right,unit,type_",
+        [
+            ("**", "**", "many words ", "md.stars"), ("__", "__", "many words ", "md.under"), ("~~", "~~", "many words ", "md.strike"), ("'''", "'''", "many words ", "wiki.quotes"),
+            ("$", "$", "a_1 + ", "tex.dollar"), ("$$", "$$", "a_1 + ", "tex.display"), (r"\[", r"\]", "a_1 + ", "tex.display"), (r"\(", r"\)", "a_1 + ", "tex.display"),
+            (r"\begin{align*}", r"\end{align*}", "a_1 + ", "tex.formula"),
+        ],
+    )
+    def test_spans_of_any_length(self, left, right, unit, type_):
+        for times in (2, 90, 500, 50_000):
+            text = f"Before {left}{unit * times}b{right} after"
+            got = [(n.start, n.end) for n in M.parse(text) if n.type == type_]
+            assert got == [(7, len(text) - 6)]
+            assert type_ not in {n.type for n in M.parse(text.replace(unit, unit + "\n\n", 1))}
+
+    def test_arguments_of_any_length(self):
+        text = "\\footnote{" + "many {words} " * 400 + "end} after"
+        n = next(n for n in M.parse(text) if n.type == "tex.command")
+        assert n.end == len(text) - 6 and n.edits == [(0, 10, ""), (n.end - 1, n.end, "")]
+
     def test_edge_rows(self, spark, texts):
         assert {r.key: r.clean for r in M.clean_column(texts, "doc_id", "body").collect()}[0] is None
         assert M.found_kinds(texts, "doc_id", "body").count() == 0 and M.found_kinds(texts.limit(0), "doc_id", "body").count() == 0

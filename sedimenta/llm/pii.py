@@ -77,21 +77,31 @@ _PHONE_WORD = re.compile(r"tel\b|tel[.:]|phone|mobile|mobil|call|cell|handy|fax|
 _NOT_NUMBER = re.compile(r"(?:epoch|build|version|v|port|ports|pid|trace|id|chunk|rows?|line|code|entries|gave|release|rev|commit|0x[\da-f]*|#|=|\$|€|£)[ :]*$", re.I)
 _ADDRESS_WORD = re.compile(r"address|adresse|dirección|live|ship|lives|lieferung|invoice|office|deliver|post|send|goes to|street|home|geocoder|board|visit|moved", re.I)
 _TYPES_OF_STREET = "|".join(f"{t}|{t.title()}|{t.upper()}" for t in _STREET.split("|"))
+# The words of addresses, for the patterns and for the gates before them.
+_WAY = r"rue|avenue|av\.|boulevard|bd|place|chemin|impasse|allée|allee|quai|cours|route|via|viale|corso|piazza"
+_CALLE = r"calle|c/|avenida|avda\.?|plaza|paseo|carrer|rua"
+_END = r"straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|plein|straat|laan|gracht|kade|gatan|vägen|gade|vej"
+_BOX = r"p\. ?o\. ?box|po box|post(?: office)? box|postfach|postbus|apartado(?: de correos)?|casilla|boîte postale|b\.?p\.?|c\.?p\.?"
+_FLAT = r"flat|apt\.?|apartment|unit|suite|room"
 _ADDRESS = (
     ("number_street", re.compile(rf"(?<![\w.])\d{{1,5}}[a-zA-Z]?(?: bis| ter)?,? (?:{_CAP} ){{1,3}}(?:{_TYPES_OF_STREET})\b\.?(?:{_SEP}{_CITY}(?:,? (?:{_UK}|[A-Z]{{2}} \d{{5}}|\d{{3,6}}))?)?")),
-    ("rue", re.compile(rf"(?<![\w.])\d{{1,4}}(?: ?(?:bis|ter|[a-d]))?,? (?i:rue|avenue|av\.|boulevard|bd|place|chemin|impasse|allée|allee|quai|cours|route|via|viale|corso|piazza) (?i:(?:de la|de l'|du|des|de|d') ?)?{_W}(?: {_CAP}){{0,2}}(?:,? (?:\d{{5}} )?{_CITY})?")),
-    ("calle", re.compile(rf"(?<![\w])(?i:calle|c/|avenida|avda\.?|plaza|paseo|carrer|rua) ?(?i:(?:de la|del|de|dos|da) )?{_W}(?: {_CAP}){{0,2}},? (?i:número |num\. |nº |n° )?\d{{1,4}}(?:, \d{{1,2}}[ºª] ?[A-Z]?)?(?:, (?:\d{{5}} )?{_CITY})?")),
-    ("strasse", re.compile(rf"(?<![\w])(?:{_CAP}[ \-])?{_CAP}(?i:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|plein|straat|laan|gracht|kade|gatan|vägen|gade|vej) ?\d{{1,4}}(?: ?[a-z]\b)?(?:,? (?:\d{{4}} [A-Z]{{2}}|\d{{4,5}}) {_CITY})?")),
-    ("box", re.compile(rf"(?<![\w])(?i:p\. ?o\. ?box|po box|post(?: office)? box|postfach|postbus|apartado(?: de correos)?|casilla|boîte postale|b\.?p\.?|c\.?p\.?) ?(?i:n[º°o]\.? ?)?\d{{1,6}}(?:,? (?:\d{{4,5}} )?{_CITY})?")),
-    ("flat", re.compile(rf"(?<![\w])(?i:flat|apt\.?|apartment|unit|suite|room) ?#?\d{{1,4}}[a-z]?, ?(?:\d{{1,4}}[a-z]? )?(?:{_CAP} ){{1,3}}(?:House|house|{_TYPES_OF_STREET})\b\.?(?:{_SEP}{_CITY}(?:,? (?:{_UK}|\d{{4,6}}))?)?")),
+    ("rue", re.compile(rf"(?<![\w.])\d{{1,4}}(?: ?(?:bis|ter|[a-d]))?,? (?i:{_WAY}) (?i:(?:de la|de l'|du|des|de|d') ?)?{_W}(?: {_CAP}){{0,2}}(?:,? (?:\d{{5}} )?{_CITY})?")),
+    ("calle", re.compile(rf"(?<![\w])(?i:{_CALLE}) ?(?i:(?:de la|del|de|dos|da) )?{_W}(?: {_CAP}){{0,2}},? (?i:número |num\. |nº |n° )?\d{{1,4}}(?:, \d{{1,2}}[ºª] ?[A-Z]?)?(?:, (?:\d{{5}} )?{_CITY})?")),
+    ("strasse", re.compile(rf"(?<![\w])(?:{_CAP}[ \-])?{_CAP}(?i:{_END}) ?\d{{1,4}}(?: ?[a-z]\b)?(?:,? (?:\d{{4}} [A-Z]{{2}}|\d{{4,5}}) {_CITY})?")),
+    ("box", re.compile(rf"(?<![\w])(?i:{_BOX}) ?(?i:n[º°o]\.? ?)?\d{{1,6}}(?:,? (?:\d{{4,5}} )?{_CITY})?")),
+    ("flat", re.compile(rf"(?<![\w])(?i:{_FLAT}) ?#?\d{{1,4}}[a-z]?, ?(?:\d{{1,4}}[a-z]? )?(?:{_CAP} ){{1,3}}(?:House|house|{_TYPES_OF_STREET})\b\.?(?:{_SEP}{_CITY}(?:,? (?:{_UK}|\d{{4,6}}))?)?")),
 )
 _ADDRESS_SIGN = re.compile(
-    rf"(?i)\d[a-z]?,? [^\W\d_][\w’'\-]* (?:{_STREET})\b|\brue \w|avenue d|boulevard d|impasse|chemin d|allée d|\bcalle \w|\bc/ ?\w|avenida|avda|plaza \w|paseo|straße|strasse|str\. ?\d|[a-z](?:weg|platz|gasse|allee|damm|ufer|plein|straat|laan|gracht|gatan|gade) \d|\bbox \d|postfach|postbus|apartado|casilla|boîte postale|\b(?:flat|apt\.?|apartment|unit|suite) ?#?\d|place d|quai d|cours d|\bvia \w|viale \w|corso \w|piazza \w|carrer \w|\brua \w"
+    rf"(?i)\d[a-z]?(?: bis| ter)?,? (?:[^\W\d_][\w’'\-]* ){{1,3}}(?:{_STREET})\b|\d(?: ?(?:bis|ter|[a-d]))?,? (?:{_WAY}) |(?<!\w)(?:{_CALLE}) ?\w"
+    rf"|[\w’'\-](?:{_END}) ?\d|(?<!\w)(?:{_BOX}) ?(?:n[º°o]\.? ?)?\d|(?<!\w)(?:{_FLAT}) ?#?\d"
 )
-_ADDRESS_WORDS = frozenset(f"{_STREET}|rue|boulevard|bd|av|place|impasse|chemin|allée|quai|cours|calle|avenida|avda|plaza|paseo|carrer|rua|via|viale|corso|piazza|box|postfach|postbus|apartado|casilla|boîte|flat|apt|apartment|unit|suite|c".split("|"))
-_ADDRESS_ENDS = ("straße", "strasse", "str", "weg", "platz", "gasse", "allee", "damm", "ufer", "plein", "straat", "laan", "gracht", "gatan", "gade")
+#: Words with which an address may begin, be part of it, or end a part of it: any text with an address has one.
+_ADDRESS_WORDS = frozenset(re.findall(r"[^\W\d_]+", f"{_STREET} {_WAY} {_FLAT}".lower())) | frozenset("c b p bp cp pn bn cn bpn cpn".split())
+_ADDRESS_STARTS = tuple(re.findall(r"[^\W\d_]{3,}", f"{_CALLE} box postfach postbus apartado casilla boîte"))
+_ADDRESS_ENDS = tuple(re.findall(r"[^\W\d_]+", _END))
+_LETTERS = re.compile(r"[^\W\d_]+").findall
 #: Any identity code holds one of these.
-_ID_GATE = re.compile(r"\d{3}(?:-?\d{3}|-\d)|\d\d[ \-]?\d\d[ \-]\d\d|[A-Z]\d[A-Z]\d|\d-\d\d\d?-\d|[A-Z]-\d\d|\d[A-Z][A-Z0-9]{4}")
+_ID_GATE = re.compile(r"\d{3}(?:-?\d{3}|-\d)|\d\d[ \-]?\d\d[ \-]?\d\d|[A-Z]\d[A-Z]\d|\d-\d\d\d?-\d|[A-Z]-\d\d|\d[A-Z]+\d")
 _NAME_WORD = re.compile(r"[^\W\d_][^\W\d_’']*(?:[’'\-][^\W\d_]+)*")
 _INITIAL = re.compile(r"(?<![\w.@/+\-])[A-ZÀ-Þ]\.(?:[ -]?[A-ZÀ-Þ]\.)* ?(?:(?:%s) )?(?=[A-ZÀ-Þ][\w’'\-]{2})" % _PARTICLES)
 _NAME_AT = re.compile(
@@ -286,7 +296,8 @@ def _codes(text: str) -> Iterator[Segment]:
 
 def _addresses(text: str, words: set[str]) -> Iterator[Segment]:
     # every form of address has one of these words; most texts have none
-    if _ADDRESS_WORDS.isdisjoint(words) and not any(w.endswith(_ADDRESS_ENDS) for w in words):
+    words = words.union(*(_LETTERS(w) for w in words if not w.isalpha()))
+    if _ADDRESS_WORDS.isdisjoint(words) and not any(w.endswith(_ADDRESS_ENDS) or w.startswith(_ADDRESS_STARTS) for w in words):
         return
     for sign in _ADDRESS_SIGN.finditer(text):
         lo = max(0, sign.start() - 60)

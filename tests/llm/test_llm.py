@@ -441,6 +441,16 @@ class TestPersonal:
                         top = max(top, value(c))
                 assert value(got) == pytest.approx(top) if got else top <= 1e-9
 
+    def test_gates_pass_all_forms(self):
+        plain = lambda words: re.sub(r"\(\?:|\)\?|\\|(?<=\.)\?", "", words).replace("?", "").split("|")
+        forms = [f"12 Old Mill {x.title()}" for x in P._STREET.split("|")] + [f"12 ter, {x} Lepic" for x in plain(P._WAY)] + [f"{x} Mayor 5" for x in plain(P._CALLE)]
+        forms += [f"Linden{x}{gap}12, 50667 Köln" for x in plain(P._END) for gap in ("", " ")] + ["Karl-Marx-Allee 12"]
+        forms += [f"{x.upper()}{gap}123" for x in plain(P._BOX) for gap in ("", " ", " no. ")] + ["BP 12", "C.P. 12", "PO Box 12"]
+        forms += [f"{x}{gap}4, Old Mill House" for x in plain(P._FLAT) for gap in ("", " ", " #")]
+        assert [x for x in forms if "address" not in {s.type for s in P.segments(x)}] == []
+        codes = ["AB12 3456C", "AB 12 34 56 C", "AB123456C", "AB1234 56C", "XA1234567", "12345678-Z", "X1Y123456", "AB-12-3456", "A12345B6"]
+        assert [x for x in codes if "id_number" not in {s.type for s in P.segments(x)}] == []
+
     def test_long_windows_keep_what_is_far_apart(self):
         w = P.trained_weights()
         log = "".join(f"2024-05-{1 + n % 28:02d} 12:{n % 60:02d}:11 started\n" for n in range(150))

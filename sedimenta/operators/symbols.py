@@ -11,11 +11,20 @@ from __future__ import annotations
 
 import ast
 import re
+import time
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 #: A symbol of more UTF-8 bytes is left out.
 MAX_BYTES = 8000
+#: Seconds that a file may take; one that is not read by then has no symbols (its line windows remain).
+BUDGET_S = 5.0
+
+
+class _Late(Exception):
+    """The time budget of a file is used up."""
 
 
 @dataclass(frozen=True)
@@ -55,13 +64,17 @@ class _File:
         self.source, self.masked, self.lines = source, masked, split_lines(source)
         self.out: list[Symbol] = []
         self.starts = [0]
+        self.until = time.monotonic() + BUDGET_S
         for m in re.finditer("\n", source):
             self.starts.append(m.end())
 
     def row(self, at: int) -> int:
-        import bisect
+        return bisect_right(self.starts, at) - 1
 
-        return bisect.bisect_right(self.starts, at) - 1
+    def tick(self) -> None:
+        """Called once for each statement or line that a scanner reads."""
+        if time.monotonic() > self.until:
+            raise _Late
 
     def emit(self, name: str, kind: str, a: int, b: int, above: tuple[str, ...] = ()) -> None:
         """A symbol over the lines of [a, b), with the lines above that start with one of ``above``."""
@@ -90,36 +103,43 @@ C_DOC = ("//", "/*", "*")
 _OPEN, _CLOSE = "([{", ")]}"
 
 
+@lru_cache(maxsize=2)
+def _brackets(text: str) -> dict[int, int]:
+    """Of each opening bracket the place after the one that closes it, whatever their forms."""
+    opened: list[int] = []
+    ends: dict[int, int] = {}
+    for m in re.finditer(r"[(\[{]|[)\]}]", text):
+        if m[0] in _OPEN:
+            opened.append(m.start())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def _close(text: str, at: int, hi: int) -> int:
-    """Place after the bracket that closes the one at ``at``."""
-    depth = 0
-    for i in range(at, hi):
-        c = text[i]
-        if c in _OPEN:
-            depth += 1
-        elif c in _CLOSE:
-            depth -= 1
-            if depth == 0:
-                return i + 1
-    return hi
+    """Place after the bracket that closes the one at ``at``, at most ``hi``."""
+    return min(_brackets(text).get(at, hi), hi)
 
 
-_CONTINUES = re.compile(r"\s*(?:[.?:=|&+,)\]*/%<>]|-(?!-)|else\b|catch\b|finally\b|extends\b|implements\b|where\b|as\b|satisfies\b|by\b|\{)")
-_UNFINISHED = re.compile(r"(?:[=,(\[{+\-*/%&|?:.<]|=>|->|\bextends|\bimplements|\breturn)\s*$")
+_BLANK = re.compile(r"\s*")
+_CONTINUES = re.compile(r"(?:[.?:=|&+,)\]*/%<>]|-(?!-)|else\b|catch\b|finally\b|extends\b|implements\b|where\b|as\b|satisfies\b|by\b|\{)")
+_UNFINISHED = re.compile(r"(?:[=,(\[{+\-*/%&|?:.<]|=>|->|\bextends|\bimplements|\breturn)$")
+#: Characters that tell whether a statement is unfinished, the longest word of ``_UNFINISHED`` and one before it.
+_TAIL = len("implements") + 1
 
 
 def _statements(text: str, lo: int, hi: int, newlines: bool) -> Iterator[tuple[int, int, int]]:
     """(start, end, place of the body's opening brace or -1) of each statement in [lo, hi).
 
     A statement ends at a semicolon, or behind the brace block that is its body; with ``newlines`` also at
-    the end of a line on which nothing stays open.
+    the end of a line on which nothing stays open. Every character is looked at once.
     """
     i = lo
     while i < hi:
         if text[i].isspace() or text[i] in ";,":
             i += 1
             continue
-        a, body, assigned = i, -1, False
+        a, body, assigned, last = i, -1, False, i
         while i < hi:
             c = text[i]
             if c == ";":
@@ -129,6 +149,7 @@ def _statements(text: str, lo: int, hi: int, newlines: bool) -> Iterator[tuple[i
                 if body < 0:
                     body = i
                 i = _close(text, i, hi)
+                last = i - 1
                 rest = text[i : i + 40]
                 if newlines:
                     if not re.match(r"[ \t]*[.,?)\]&|=+(\[]|[ \t\n]*(?:else|catch|finally|as|satisfies)\b|[ \t]*;", rest):
@@ -138,14 +159,21 @@ def _statements(text: str, lo: int, hi: int, newlines: bool) -> Iterator[tuple[i
                 continue
             if c in "([":
                 i = _close(text, i, hi)
+                last = i - 1
                 continue
             if c in ")]}":
                 i += 1
                 break
             if c == "=":
                 assigned = True
-            if c == "\n" and newlines and not _UNFINISHED.search(text[a:i]) and not _CONTINUES.match(text, i):
-                break
+            if c == "\n" and newlines:
+                ink = _BLANK.match(text, i).end()
+                if not _UNFINISHED.search(text[max(a, last + 1 - _TAIL) : last + 1]) and not _CONTINUES.match(text, ink):
+                    break
+                i = min(ink, hi)
+                continue
+            if not c.isspace():
+                last = i
             i += 1
         yield a, i, body
         if i == a:
@@ -158,6 +186,7 @@ _TS_KIND = {"function": "function", "class": "class", "interface": "interface",
 
 def _typescript(f: _File) -> None:
     for a, b, _ in _statements(f.masked, 0, len(f.masked), True):
+        f.tick()
         m = _TS.match(f.masked, a, b)
         if not m:
             continue
@@ -194,6 +223,7 @@ _RUST_KIND = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "tr
 def _rust(f: _File, lo: int = 0, hi: int | None = None, owner: str | None = None) -> None:
     hi = len(f.masked) if hi is None else hi
     for a, b, body in _statements(f.masked, lo, hi, False):
+        f.tick()
         m = _RUST.match(f.masked, a, b)
         if not m:
             continue
@@ -224,6 +254,7 @@ def _java(f: _File, lo: int = 0, hi: int | None = None, owner: str | None = None
             end = _close(f.masked, end, hi) if f.masked[end] in _OPEN else end + 1
         lo = end
     for a, b, body in _statements(f.masked, lo, hi, False):
+        f.tick()
         m = _JAVA_TYPE.match(f.masked, a, b)
         if m:
             f.emit(m["name"], _JAVA_KIND[m["kind"]], a, b, C_DOC)
@@ -247,6 +278,7 @@ def _kotlin(f: _File, lo: int = 0, hi: int | None = None, owner: str | None = No
     hi = len(f.masked) if hi is None else hi
     dot = f"{owner}." if owner else ""
     for a, b, body in _statements(f.masked, lo, hi, True):
+        f.tick()
         m = _KOTLIN_TYPE.match(f.masked, a, b)
         if m and not re.match(r"fun\s*interface", m["kind"]):
             companion = m["kind"].startswith("companion")
@@ -273,6 +305,7 @@ _C_FUNCTION = re.compile(r"[^=;{}]*?(?P<name>~?[\w:]+|operator\s*[^\s(]+)\s*\((?
 def _c(f: _File, lo: int = 0, hi: int | None = None) -> None:
     hi = len(f.masked) if hi is None else hi
     for a, b, body in _statements(f.masked, lo, hi, False):
+        f.tick()
         head = f.masked[a : body if body >= 0 else b]
         label = re.match(r"(?:public|protected|private)\s*:\s*", head)
         if label:
@@ -342,6 +375,7 @@ def _python_by_indent(f: _File) -> None:
     """For sources that don't parse: a block goes on while lines are blank or indented deeper."""
     i, lines, owner = 0, f.lines, None
     while i < len(lines):
+        f.tick()
         m = re.match(r"(\s*)(?:async\s+)?(def|class)\s+(\w+)", lines[i])
         if not m:
             if lines[i].strip() and not lines[i][0].isspace() and not lines[i].startswith(("@", "#")):
@@ -375,6 +409,7 @@ def _haskell(f: _File) -> None:
     decls: list[tuple[str, str | None, int, int]] = []
     lines, i, comment = f.lines, 0, 0
     while i < len(lines):
+        f.tick()
         s = lines[i]
         if comment or s.startswith("{-"):
             comment = max(0, comment + s.count("{-") - s.count("-}"))
@@ -427,6 +462,7 @@ def _nix(f: _File) -> None:
     def bindings(lo: int, hi: int) -> None:
         i = lo
         while i < hi:
+            f.tick()
             m = re.compile(r"\s*(inherit\b[^;]*;|(?P<name>(?:[\w'.\-${}]|\"|\s(?=[.\"]))+?)\s*=(?!=))").match(text, i, hi)
             if not m:
                 i += 1
@@ -511,11 +547,17 @@ def _latex(f: _File) -> None:
     heads = [(m.start(), m[1], m[2].strip()) for m in re.finditer(r"\\(chapter|section|subsection|subsubsection|paragraph)\*?(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}", text)]
     stop = m.start() if (m := re.search(r"\\end\{document\}", text)) else len(text)
     found: list[tuple[int, int, str, str]] = []
-    for i, (a, kind, title) in enumerate(heads):
-        b = next((x for x, k, _ in heads[i + 1 :] if _TEX_LEVEL[k] <= _TEX_LEVEL[kind]), stop)
-        b = a + len(text[a:b].rstrip())
+    # the next head of each level or of one above it, from the last head to the first
+    after = dict.fromkeys(_TEX_LEVEL.values(), stop)
+    for a, kind, title in reversed(heads):
+        f.tick()
+        level = _TEX_LEVEL[kind]
+        b = after[level]
+        while b > a and text[b - 1].isspace():
+            b -= 1
         found.append((a, b, kind, title or f"{kind}@L{f.row(a) + 1}"))
-    covered: list[tuple[int, int]] = []
+        after = {k: a if k >= level else v for k, v in after.items()}
+    covered = 0
     stack: list[tuple[str, int]] = []
     spans = []
     for m in re.finditer(r"\\(begin|end)\{([A-Za-z]+\*?)\}", text):
@@ -524,10 +566,17 @@ def _latex(f: _File) -> None:
         elif stack and stack[-1][0] == m[2]:
             env, a = stack.pop()
             spans.append((a, m.end(), env))
-    for m in re.finditer(r"\\\[.*?\\\]|\$\$.*?\$\$", text, re.S):
-        spans.append((m.start(), m.end(), "displaymath"))
+    at = 0
+    while m := re.compile(r"\\\[|\$\$").search(text, at):
+        close = text.find("\\]" if m[0] == "\\[" else "$$", m.end())
+        at = m.end() if close < 0 else close + 2
+        if close >= 0:
+            spans.append((m.start(), at, "displaymath"))
+        elif "\\]" not in text[at:] and "$$" not in text[at:]:
+            break
     for a, b, env in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if any(x <= a and b <= y for x, y in covered):
+        f.tick()
+        if b <= covered:
             continue
         name, body = env.rstrip("*"), text[a:b]
         label = re.search(r"\\label\{([^}]*)\}", body)
@@ -541,15 +590,23 @@ def _latex(f: _File) -> None:
                 found.append((a, b, "equation", f"equation@L{f.row(a) + 1}"))
         else:
             continue
-        covered.append((a, b))
+        covered = max(covered, b)
     for a, b, kind, name in sorted(found, key=lambda x: (x[0], -x[1])):
         f.emit(name, kind, a, b)
 
 
 def extract_symbols(source: str, language: str) -> list[Symbol]:
-    """Symbols in the order of the file; none for other languages and empty sources."""
+    """Symbols in the order of the file; none for other languages, empty sources and files beyond the time budget."""
     if not source.strip():
         return []
+    try:
+        found = _extract(source, language)
+    except _Late:
+        return []
+    return [s for s in found if len(s.content.encode()) <= MAX_BYTES]
+
+
+def _extract(source: str, language: str) -> list[Symbol]:
     if language in ("typescript", "javascript"):
         _typescript(f := _File(source, _mask(source, "typescript")))
     elif language == "python":
@@ -571,4 +628,4 @@ def extract_symbols(source: str, language: str) -> list[Symbol]:
         _kotlin(f := _File(source, _mask(source, "java")))
     else:
         return []
-    return [s for s in f.out if len(s.content.encode()) <= MAX_BYTES]
+    return f.out

@@ -1,5 +1,8 @@
+import time
+
 import pytest
 
+from sedimenta.operators import symbols as S
 from sedimenta.operators.symbols import C_DOC, HASKELL_DOC, RUST_DOC, doc_start, extract_symbols
 
 
@@ -7,52 +10,266 @@ def pairs(source, language):
     return [(s.kind, s.name) for s in extract_symbols(source, language)]
 
 
+TIDE_TS = """
+import { Buoy } from "./buoy";
+
+export function readTide(station: string): number {
+  const note = `closing } in text`;
+  return station.length;
+}
+const forecast = (hours: number[]) => {
+  return hours.map((h) => h * 2);
+};
+let high = 4,
+  low = 1;
+export class Harbour {
+  open() { return true; }
+}
+export interface Berth { metres: number }
+type Port = "north" | "south";
+enum Flag { Green, Red }
+"""
+KETTLE_JS = """
+function boil(litres) {
+  // the brace } in a comment closes nothing
+  return "{" + litres;
+}
+function* drops() { yield 1; }
+var pour = function (cup) { return cup; };
+"""
+GARDEN_PY = """
+import calendar
+
+@calendar_entry
+def sow(bed):
+    return bed
+
+class Greenhouse:
+    @property
+    def warmth(self):
+        return 21
+
+    class Shelf:
+        depth = 3
+
+async def water(can): ...
+"""
+BROKEN_PY = """
+def prune(:
+    pass
+
+class Orchard:
+    def pick(self):
+        return 1
+
+def press():
+    return 2
+"""
+MINT_RS = """
+/// A coin of the mint.
+#[derive(Clone)]
+pub struct Coin<M> { metal: M }
+
+impl<M: Weigh> Coin<M> {
+    pub fn strike(metal: M) -> Self { Coin { metal } }
+    async fn polish(&self) { let brush = "}"; }
+}
+
+impl Weigh for Ingot {
+    fn grams(&self) {}
+}
+enum Alloy { Brass, Bronze }
+trait Weigh { fn grams(&self); }
+type Tally = u64;
+const DIES: usize = 12;
+mod vault { pub fn lock() {} }
+fn main() { let key = '{'; }
+"""
+BREWERY_HS = """
+module Brewery (mash) where
+
+import qualified Data.Map as Map
+
+-- | Litres of wort that a weight of malt gives.
+mash :: Double -> Malt -> Double
+mash kilos Pale
+  | kilos <= 0 = 0
+  | otherwise = kilos * 5.5
+mash kilos Roasted = kilos * 4.8
+
+data Malt
+  = Pale
+  | Roasted
+  deriving (Eq)
+
+newtype Cask h = Cask { hold :: [h] }
+type Recipe = Map.Map Malt Double
+
+class Vessel v where
+  capacity :: v -> Double
+
+instance Vessel (Cask h) where
+  capacity = fromIntegral . length . hold
+
+hopRate = 0.7
+"""
+PRESS_HS = """
+module Press where
+
+#ifdef WINDOWS
+#if defined(OLD_DRIVER)
+instance Printer Matrix where
+  feed _ = 3
+#endif
+#endif
+
+sheets :: Int
+sheets = 500
+"""
+CELLAR_NIX = """
+{ stdenv, fetchurl, ... }:
+let
+  vintage = 1998;
+in {
+  racks = { upper = 3; };
+  labels.front = ''
+    year = 1998;
+  '';
+}
+"""
+LIBRARY_JAVA = """
+package reading.room;
+
+public class Shelf<T> extends Furniture {
+  private int boards = 4;
+  public Shelf(int boards) { this.boards = boards; }
+  @Override
+  public <B> List<B> borrow(String title) { if (boards > 0) { return null; } return null; }
+  enum Genre { POEM, NOVEL; int pages() { return 80; } }
+  interface Reader { void turn(); }
+}
+record Loan(int days) {}
+@interface Rare {}
+"""
+RAIL_KT = """
+package rail
+
+class Wagon(val seats: Int) : Vehicle() {
+  val doors = 2
+  fun board(): Int = seats + doors
+  companion object {
+    const val GAUGE = 1435
+  }
+}
+object Depot { fun shunt() {} }
+fun depart(track: Int): Int {
+  return track
+}
+val platforms = 9
+"""
+CLOCK_C = """
+#include <gears.h>
+#define LARGER(p, q) \\
+  ((p) > (q) ? (p) : (q))
+
+/* Winds the spring. */
+static long *wind(const char *spring, int turns)
+{
+  return 0;
+}
+struct wheel { int teeth; };
+union hand { int minute; };
+enum chime { HOUR, QUARTER };
+typedef struct wheel wheel_t;
+typedef void (*strike_fn)(int);
+int ticks = 60;
+void stop(int hour);
+"""
+KILN_CPP = """
+namespace kiln {
+class Oven : public Heater {
+public:
+  int degrees() const { return 900; }
+};
+template <typename Clay>
+Clay fire(Clay raw) { return raw; }
+}
+void Oven::cool() {}
+extern "C" {
+int ash(void) { return 2; }
+}
+"""
+BRIDGE_TEX = r"""
+\section{Spans}
+Some words on arches.
+\begin{figure}
+\caption{The old arch}
+\end{figure}
+\subsection{Loads}
+\begin{lemma}\label{lem:keystone}
+A keystone holds.
+\end{lemma}
+\begin{equation}
+f = m a
+\end{equation}
+\[ g \]
+"""
 CASES = [
-    ("typescript", "export function load(a: number) { return `}${a}`; }\nconst next = (x) => {\n  return x;\n};\nlet a = 1, b = 2\nclass Box { go() {} }\nexport interface Shape { n: number }\ntype Id = string | number;\nenum Mode { On, Off }\n",
-     [("function", "load"), ("function", "next"), ("function", "a"), ("function", "b"), ("class", "Box"), ("interface", "Shape"), ("type", "Id"), ("enum", "Mode")]),
-    ("javascript", "function one() {\n  // }\n  return '{';\n}\nfunction* two() {}\nvar three = function () {}\n", [("function", "one"), ("function", "two"), ("function", "three")]),
-    ("python", "import x\n\n@deco\ndef f():\n    pass\n\nclass K:\n    @property\n    def m(self):\n        return 1\n\n    class Inner:\n        pass\n\nasync def g(): ...\n",
-     [("function", "f"), ("class", "K"), ("method", "K.m"), ("function", "g")]),
-    ("python", "def broken(:\n    pass\n\nclass K:\n    def m(self):\n        return 1\n\ndef after():\n    return 2\n", [("function", "broken"), ("class", "K"), ("method", "K.m"), ("function", "after")]),
-    ("rust", "/// doc\n#[derive(Debug)]\npub struct P<T> { x: T }\n\nimpl<T: Clone> P<T> {\n    pub fn new(x: T) -> Self { P { x } }\n    async fn go(&self) { let s = \"}\"; }\n}\n\nimpl Show for Q {\n    fn show(&self) {}\n}\nenum E { A, B }\ntrait T { fn t(&self); }\ntype Id = u64;\nconst N: usize = 3;\nmod inner { pub fn deep() {} }\nfn main() { let c = '{'; }\n",
-     [("struct", "P"), ("function", "P::new"), ("function", "P::go"), ("function", "Q::show"), ("enum", "E"), ("trait", "T"), ("type", "Id"), ("const", "N"), ("function", "deep"), ("function", "main")]),
-    ("haskell", "module M where\n\nimport A\n\n-- | Adds.\nadd :: Int -> Int\nadd 0 = 1\nadd x = x + 1\n\ndata Color = Red | Green\nnewtype W a = W { un :: a }\ntype Name = String\nclass Shape a where\n  area :: a -> Int\ninstance Show () where\n    show _ = \"()\"\n\nplain = 2\n",
-     [("function", "add"), ("struct", "Color"), ("struct", "W"), ("type", "Name"), ("class", "Shape"), ("impl", "Show"), ("function", "plain")]),
-    ("haskell", "module M where\n\n#if A\n#if B\ninstance Show A where\n    show _ = \"A\"\n#endif\n#endif\n\nplain :: Int\nplain = 1\n", [("impl", "Show"), ("function", "plain")]),
-    ("nix", "{ pkgs, lib, ... }:\nlet\n  v = 1;\nin {\n  a = { deep = 1; };\n  b.c = ''\n    x = 2;\n  '';\n}\n", [("binding", "v"), ("binding", "a"), ("binding", "b.c")]),
-    ("java", "package a;\n\n/** doc */\npublic\nclass Nope {}\n", [("class", "Nope")]),
-    ("java", "public class A<T> extends B {\n  private int n = 0;\n  public A(int n) { this.n = n; }\n  @Override\n  public <R> List<R> go(String s) { if (n > 0) { return null; } return null; }\n  enum M { X, Y; int v() { return 1; } }\n  interface I { void f(); }\n}\nrecord R(int a) {}\n@interface Note {}\n",
-     [("class", "A"), ("constructor", "A.A"), ("method", "A.go"), ("enum", "M"), ("method", "M.v"), ("interface", "I"), ("method", "I.f"), ("record", "R"), ("annotation", "Note")]),
-    ("kotlin", "package a\n\nclass A(val x: Int) : B() {\n  val y = 1\n  fun go(): Int = x + y\n  companion object {\n    const val N = 2\n  }\n}\nobject O { fun f() {} }\nfun top(a: Int): Int {\n  return a\n}\nval z = 3\n",
-     [("class", "A"), ("property", "A.y"), ("method", "A.go"), ("object", "A.Companion"), ("property", "A.Companion.N"), ("object", "O"), ("method", "O.f"), ("function", "top"), ("property", "z")]),
-    ("c", "#include <a.h>\n#define MAX(a, b) \\\n  ((a) > (b))\n\n/* doc */\nstatic int *go(const char *s, int n)\n{\n  return 0;\n}\nstruct point { int x; };\nunion u { int a; };\nenum e { A, B };\ntypedef struct point point_t;\ntypedef int (*cb)(int);\nint x = 3;\nvoid proto(int a);\n",
-     [("const", "MAX"), ("function", "go"), ("struct", "point"), ("struct", "u"), ("enum", "e"), ("type", "point_t"), ("type", "cb")]),
-    ("cpp", "namespace n {\nclass C : public B {\npublic:\n  int f() const { return 1; }\n};\ntemplate <typename T>\nT g(T a) { return a; }\n}\nvoid C::out() {}\nextern \"C\" {\nint h(void) { return 2; }\n}\n",
-     [("class", "C"), ("function", "f"), ("function", "g"), ("function", "h")]),
-    ("latex", "\\section{One}\ntext\n\\begin{figure}\n\\caption{A cap}\n\\end{figure}\n\\subsection{Two}\n\\begin{theorem}\\label{thm:x}\nT\n\\end{theorem}\n\\begin{equation}\nx\n\\end{equation}\n\\[ y \\]\n",
-     [("section", "One"), ("figure", "A cap"), ("subsection", "Two"), ("theorem", "thm:x"), ("equation", "equation@L10")]),
-    ("go", "package a\nfunc f() {}\n", []),
-    ("rust", "", []),
-]
+    ("typescript", TIDE_TS, "function readTide, function forecast, function high, function low, class Harbour, interface Berth, type Port, enum Flag"),
+    ("javascript", KETTLE_JS, "function boil, function drops, function pour"),
+    ("python", GARDEN_PY, "function sow, class Greenhouse, method Greenhouse.warmth, function water"),
+    ("python", BROKEN_PY, "function prune, class Orchard, method Orchard.pick, function press"),
+    ("rust", MINT_RS, "struct Coin, function Coin::strike, function Coin::polish, function Ingot::grams, enum Alloy, trait Weigh, type Tally, const DIES, function lock, function main"),
+    ("haskell", BREWERY_HS, "function mash, struct Malt, struct Cask, type Recipe, class Vessel, impl Vessel, function hopRate"),
+    ("haskell", PRESS_HS, "impl Printer, function sheets"),
+    ("nix", CELLAR_NIX, "binding vintage, binding racks, binding labels.front"),
+    ("java", "package chess;\n\n/** A board. */\npublic\nclass Board {}\n", "class Board"),
+    ("java", LIBRARY_JAVA, "class Shelf, constructor Shelf.Shelf, method Shelf.borrow, enum Genre, method Genre.pages, interface Reader, method Reader.turn, record Loan, annotation Rare"),
+    ("kotlin", RAIL_KT, "class Wagon, property Wagon.doors, method Wagon.board, object Wagon.Companion, property Wagon.Companion.GAUGE, object Depot, method Depot.shunt, function depart, property platforms"),
+    ("c", CLOCK_C, "const LARGER, function wind, struct wheel, struct hand, enum chime, type wheel_t, type strike_fn"),
+    ("cpp", KILN_CPP, "class Oven, function degrees, function fire, function ash"),
+    ("latex", BRIDGE_TEX, "section Spans, figure The old arch, subsection Loads, lemma lem:keystone, equation equation@L11"),
+    ("go", "package oats\nfunc Mill() {}\n", ""),
+    ("rust", "", ""),
+]
 
 
 @pytest.mark.parametrize("language,source,want", CASES)
 def test_symbols(language, source, want):
-    assert pairs(source, language) == want
+    assert ", ".join(f"{k} {n}" for k, n in pairs(source, language)) == want
 
 
 def test_documentation_lines_belong_to_the_symbol():
-    assert doc_start(["x", "/// a", "#[b]", "fn f() {}"], 3, RUST_DOC) == 1
-    assert doc_start(["-- a", "{- b -}", "f = 1"], 2, HASKELL_DOC) == 0
-    assert doc_start(["int x;", "f()"], 1, C_DOC) == 1
-    s = extract_symbols("/// doc\npub fn f() {}\n", "rust")[0]
-    assert (s.start_line, s.end_line, s.content) == (1, 2, "/// doc\npub fn f() {}")
+    assert doc_start(["use std::io;", "/// Rings.", "#[inline]", "fn bell() {}"], 3, RUST_DOC) == 1
+    assert doc_start(["-- Salt first.", "{- then pepper -}", "season = 1"], 2, HASKELL_DOC) == 0
+    assert doc_start(["int lamps;", "light()"], 1, C_DOC) == 1
+    s = extract_symbols("/// Rings.\npub fn bell() {}\n", "rust")[0]
+    assert (s.start_line, s.end_line, s.content) == (1, 2, "/// Rings.\npub fn bell() {}")
 
 
-def test_signature_and_equations_are_one_symbol():
-    s = extract_symbols("module F where\n\nf :: Bool -> Int\nf True  = 1\nf False = 0\n", "haskell")
-    assert len(s) == 1 and "f True" in s[0].content and "f False" in s[0].content
+def test_a_signature_and_all_guarded_cases_are_one_symbol():
+    mash = extract_symbols(BREWERY_HS, "haskell")[0]
+    assert mash.content.startswith("-- | Litres") and mash.content.endswith("mash kilos Roasted = kilos * 4.8")
+    assert (mash.start_line, mash.end_line) == (6, 11)
 
 
 def test_large_symbols_are_left_out():
-    assert extract_symbols("def f():\n" + "    x = 1\n" * 900, "python") == []
+    assert extract_symbols("def stack():\n" + "    crates = 12\n" * 900, "python") == []
+
+
+@pytest.mark.parametrize("language,source", [
+    ("typescript", "const sum = 0 +\n" + "".join(f"  crate{i} * 3 +\n" for i in range(6000)) + "  1\nfunction tail() {}\n"),
+    ("typescript", "const chain = start\n" + "\n" * 40_000 + "  .next()\nfunction tail() {}\n"),
+    ("kotlin", "val sum = 0 +\n" + "".join(f"  crate{i} * 3 +\n" for i in range(6000)) + "  1\nfun tail() {}\n"),
+    ("rust", "fn deep() " + "{" * 20_000 + "}" * 20_000 + "\nfn tail() {}\n"),
+    ("latex", "\\[ open\n" * 20_000 + "\\section{tail}\n"),
+])
+def test_long_statements_are_read_in_linear_time(language, source):
+    began = time.perf_counter()
+    assert "tail" in [s.name for s in extract_symbols(source, language)]
+    assert time.perf_counter() - began < 1
+
+
+def test_a_file_beyond_its_time_has_no_symbols(monkeypatch):
+    monkeypatch.setattr(S, "BUDGET_S", -1)
+    assert extract_symbols(MINT_RS, "rust") == []

@@ -7,6 +7,7 @@ changed, merges it by key and publishes the table once; readers see the state be
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,22 +23,28 @@ from sedimenta.sources.shared import checkpoint
 
 
 class Store:
-    """The stored tables below one folder."""
+    """The stored tables below one folder, each in ``buckets`` parts by repository."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root = spark, root.rstrip("/")
-        self.tables = {n: S.VersionedTable(spark, f"{self.root}/{n}", schemas.schema(n)) for n in schemas.DDL}
+        self.tables = {n: S.VersionedTable(spark, f"{self.root}/{n}", schemas.schema(n), schemas.PART_BY[n], buckets) for n in schemas.DDL}
 
-    def read(self, name: str) -> DataFrame:
-        return self.tables[name].read()
+    def read(self, name: str, only: list[int] | None = None) -> DataFrame:
+        return self.tables[name].read(only=only)
 
-    def publish(self, name: str, df: DataFrame) -> None:
-        self.tables[name].publish(df)
+    def parts(self, name: str, value: str) -> list[int]:
+        """The part of a table that rows of one repository (or scope) lie in."""
+        return self.tables[name].buckets_of(self.spark.range(1).select(F.lit(value).alias(schemas.PART_BY[name])))
+
+    def change(self, name: str, make: Callable[[DataFrame], DataFrame], only: list[int] | None = None) -> None:
+        """Publish ``make`` of the table (of its parts ``only``); no change of another writer is lost."""
+        self.tables[name].change(make, only)
 
     def merge(self, name: str, rows: DataFrame, update: list[str] | None = None, when=None, merge=None) -> None:
-        """Upsert ``rows`` by the table's natural key and publish; repeated rows of a key count once, the last by indexed_at."""
-        keys = schemas.KEYS[name]
-        self.publish(name, S.upsert(self.read(name), rows, keys, update, merge, when))
+        """Upsert ``rows`` (unique by the table's natural key) into the parts of the table that they lie in."""
+        only = self.tables[name].buckets_of(rows)
+        if only:
+            self.change(name, lambda t: S.upsert(t, rows, schemas.KEYS[name], update, merge, when), only)
 
 
 def _now(as_of: str | None) -> Column:
@@ -49,52 +56,75 @@ def _projects(project: str | None) -> Column:
 
 
 def _changed(spark: SparkSession, found: DataFrame, stored: DataFrame, path: str, force: bool) -> DataFrame:
-    """Files with text whose content is new; cheap times first, hashes only where times don't settle it."""
+    """Files whose time is new, with text and status; only these are read, hashes settle what times don't.
+
+    Status ``not_text``: the file is no UTF-8 text or can no longer be read.
+    """
     keys = ("repo_path", path)
     quick = S.classify(found.withColumn("content_hash", F.lit(None).cast("string")), stored, keys, force)
-    some = files_.decoded(quick.where("status <> 'skip_mtime'").drop("status", "content_hash")).withColumn("content_hash", T.content_hash(F.col("text")))
-    return checkpoint(spark, S.classify(some, stored, keys, force))
+    some = files_.with_text(quick.where("status <> 'skip_mtime'").drop("status", "content_hash")).withColumn("content_hash", T.content_hash(F.col("text")))
+    done = S.classify(some, stored, keys, force)
+    return checkpoint(spark, done.withColumn("status", F.when(F.col("text").isNull(), "not_text").otherwise(F.col("status"))))
+
+
+def _counts(work: DataFrame, found: DataFrame) -> dict[str, int]:
+    counts = {r.status: r["count"] for r in work.groupBy("status").count().collect()}
+    unchanged = found.count() - sum(counts.values())
+    return counts | ({"unchanged": unchanged} if unchanged else {})
 
 
 def index_code(store: Store, found: DataFrame, repo_path: str, embedder: Embedder, project: str | None = None, force: bool = False, sync_deletes: bool = False, as_of: str | None = None) -> dict[str, int]:
-    """Index code files (rel_path, file_mtime, content bytes) as ``repo_path``; returns counts by status."""
-    spark = store.spark
-    table = store.read("code_chunks")
-    if force:
-        table = S.delete_where(table, F.col("repo_path") == repo_path)
-    mine = table.where(F.col("repo_path") == repo_path)
-    f = found.select(F.lit(repo_path).alias("repo_path"), F.col("rel_path").alias("file_path"), "file_mtime", "content")
-    work = _changed(spark, f, S.first_chunk_state(mine), "file_path", force)
+    """Index code files (rel_path, file_mtime, and path or content bytes) as ``repo_path``; returns counts by status.
+
+    Only the part of the table in which the repository lies is read and replaced.
+    """
+    spark, columns, keys = store.spark, schemas.schema("code_chunks").names, schemas.KEYS["code_chunks"]
+    only = store.parts("code_chunks", repo_path)
+    own = F.col("repo_path") == repo_path
+
+    def base(table: DataFrame) -> DataFrame:
+        return S.delete_where(table, own) if force else table
+
+    f = found.select(F.lit(repo_path).alias("repo_path"), F.col("rel_path").alias("file_path"), "file_mtime", *[c for c in ("path", "content") if c in found.columns])
+    work = _changed(spark, f, S.first_chunk_state(base(store.read("code_chunks", only)).where(own)), "file_path", force)
     new = work.where("status IN ('index', 'reindex')").withColumn("k", F.monotonically_increasing_id())
     new = checkpoint(spark, new.withColumn("language", T.language(F.col("file_path"))))
     chunks = C.chunk_code(new, "k", "text", "language")
     rows = chunks.join(new.drop("text", "status"), chunks.key == new.k).withColumn("indexed_at", _now(as_of)).withColumn("project", _projects(project))
     rows = embed_column(rows, "content", embedder)
-    rows = rows.withColumn("id", F.xxhash64("repo_path", "file_path", "chunk_index")).select(*[c for c in table.columns])
-    table = S.touch_mtime(table, work.where("status = 'touch'"), ("repo_path", "file_path"))
-    if sync_deletes:
-        # chunks of files that are gone, and those that a shorter file no longer has
-        live = f.select("repo_path", "file_path")
-        gone = (F.col("repo_path") == repo_path) & F.col("_live").isNull()
-        table = table.join(live.withColumn("_live", F.lit(1)), ["repo_path", "file_path"], "left").where(~F.coalesce(gone, F.lit(False))).select(*rows.columns)
-        table = table.join(new.select("repo_path", "file_path"), ["repo_path", "file_path"], "left_anti").select(*rows.columns)
-    out = S.upsert(table, rows, schemas.KEYS["code_chunks"], [c for c in rows.columns if c not in ("id", *schemas.KEYS["code_chunks"])], S.PROJECT_MERGE)
-    if project:  # files that did not change get the project too
-        out = out.withColumn("project", F.when(F.col("repo_path") == repo_path, T.merge_projects(F.col("project"), _projects(project))).otherwise(F.col("project")))
-    store.publish("code_chunks", out)
-    counts = {r.status: r["count"] for r in work.groupBy("status").count().collect()}
-    counts["unchanged"] = f.count() - sum(counts.values())
-    return counts
+    # texts are embedded once, also if the change is made again
+    rows = checkpoint(spark, rows.withColumn("id", F.xxhash64(*keys)).select(*columns))
+
+    def merged(table: DataFrame) -> DataFrame:
+        table = S.touch_mtime(base(table), work.where("status = 'touch'"), ("repo_path", "file_path"))
+        if sync_deletes:
+            # chunks of files that are gone, and those that a shorter file no longer has
+            live = f.select("repo_path", "file_path", F.lit(1).alias("_live"))
+            table = table.join(live, ["repo_path", "file_path"], "left").where(~F.coalesce(own & F.col("_live").isNull(), F.lit(False))).select(*columns)
+            table = table.join(new.select("repo_path", "file_path"), ["repo_path", "file_path"], "left_anti").select(*columns)
+        out = S.upsert(table, rows, keys, [c for c in columns if c not in ("id", *keys)], S.PROJECT_MERGE)
+        # files that did not change get the project too
+        return _add_project(out, own, project) if project else out
+
+    store.change("code_chunks", merged, only)
+    return _counts(work, f)
+
+
+def _add_project(table: DataFrame, where: Column, project: str) -> DataFrame:
+    return table.withColumn("project", F.when(where, T.merge_projects(F.col("project"), _projects(project))).otherwise(F.col("project")))
 
 
 def index_docs(store: Store, found: DataFrame, repo_path: str, embedder: Embedder, project: str | None = None, force: bool = False, as_of: str | None = None) -> dict[str, int]:
     """Index Markdown files as documents of ``repo_path``; returns counts by status."""
-    spark = store.spark
-    table = store.read("documents")
-    if force:
-        table = S.delete_where(table, F.col("repo_path") == repo_path)
-    f = found.select(F.lit(repo_path).alias("repo_path"), F.col("rel_path").alias("source_path"), "file_mtime", "content")
-    state = S.first_chunk_state(table.where(F.col("repo_path") == repo_path), "source_path")
+    spark, columns, keys = store.spark, schemas.schema("documents").names, schemas.KEYS["documents"]
+    only = store.parts("documents", repo_path)
+    own = F.col("repo_path") == repo_path
+
+    def base(table: DataFrame) -> DataFrame:
+        return S.delete_where(table, own) if force else table
+
+    f = found.select(F.lit(repo_path).alias("repo_path"), F.col("rel_path").alias("source_path"), "file_mtime", *[c for c in ("path", "content") if c in found.columns])
+    state = S.first_chunk_state(base(store.read("documents", only)).where(own), "source_path")
     work = _changed(spark, f, state, "source_path", force)
     new = checkpoint(spark, work.where("status IN ('index', 'reindex')").withColumn("k", F.monotonically_increasing_id()))
     chunks = C.chunk_markdown(new, "k", "text")
@@ -102,11 +132,14 @@ def index_docs(store: Store, found: DataFrame, repo_path: str, embedder: Embedde
     meta = new.select("k", "repo_path", "source_path", "file_mtime", "content_hash", T.doc_kind(path).alias("doc_kind"), T.title(text, path).alias("title"))
     rows = chunks.join(meta, chunks.key == meta.k).withColumn("preview", T.preview(F.col("content")))
     rows = embed_column(rows.withColumn("indexed_at", _now(as_of)).withColumn("project", _projects(project)), "content", embedder)
-    rows = rows.withColumn("id", F.xxhash64("repo_path", "source_path", "chunk_index")).select(*table.columns)
-    table = S.touch_mtime(table, work.where("status = 'touch'"), ("repo_path", "source_path"))
-    keys = schemas.KEYS["documents"]
-    store.publish("documents", S.upsert(table, rows, keys, [c for c in rows.columns if c not in ("id", *keys)], S.PROJECT_MERGE))
-    return {r.status: r["count"] for r in work.groupBy("status").count().collect()}
+    rows = checkpoint(spark, rows.withColumn("id", F.xxhash64(*keys)).select(*columns))
+
+    def merged(table: DataFrame) -> DataFrame:
+        table = S.touch_mtime(base(table), work.where("status = 'touch'"), ("repo_path", "source_path"))
+        return S.upsert(table, rows, keys, [c for c in columns if c not in ("id", *keys)], S.PROJECT_MERGE)
+
+    store.change("documents", merged, only)
+    return _counts(work, f)
 
 
 def record_repo(store: Store, repo_path: str, kind: str, name: str | None = None, version: str | None = None, git_url: str | None = None, git_rev: str | None = None, project: str | None = None, as_of: str | None = None) -> None:
@@ -136,8 +169,7 @@ def index_package(store: Store, package: Package, embedder: Embedder, project: s
     """Index the files of a fetched package; one that is indexed already only gets the project."""
     if not force and count_chunks(store, [package.repo_path]):
         if project:
-            t = store.read("code_chunks")
-            store.publish("code_chunks", t.withColumn("project", F.when(F.col("repo_path") == package.repo_path, T.merge_projects(F.col("project"), _projects(project))).otherwise(F.col("project"))))
+            store.change("code_chunks", lambda t: _add_project(t, F.col("repo_path") == package.repo_path, project), store.parts("code_chunks", package.repo_path))
         return {"already_indexed": 1}
     # the archive was unpacked on the driver, so its size is bounded by the driver
     rows = store.spark.createDataFrame([(p, None, b) for p, b in sorted(package.files.items())], "rel_path string, file_mtime long, content binary")
@@ -153,9 +185,11 @@ def index_package(store: Store, package: Package, embedder: Embedder, project: s
 def prune(store: Store, repos: DataFrame, dry_run: bool = False) -> dict[str, int]:
     """Remove repositories (repo_path) from chunks, documents and the index; returns the rows that go."""
     repos = checkpoint(store.spark, repos.select("repo_path").distinct())
-    tables = {n: store.read(n) for n in ("code_chunks", "documents", "repo_index")}
-    counts = {n: t.first()["n_rows"] for n, t in S.prune(tables, repos, dry_run=True).items()}
+    names = ("code_chunks", "documents", "repo_index")
+    parts = {n: store.tables[n].buckets_of(repos) for n in names}
+    counts = {n: t.first()["n_rows"] for n, t in S.prune({n: store.read(n, parts[n]) for n in names}, repos, dry_run=True).items()}
     if not dry_run:
-        for n, t in S.prune(tables, repos).items():
-            store.publish(n, t)
+        for n in names:
+            if parts[n]:
+                store.change(n, lambda t: S.prune({"t": t}, repos)["t"], parts[n])
     return counts

@@ -1,21 +1,24 @@
 """Tables that are changed: keyed upserts, inserts, deletes and their atomic publication.
 
-A table is a folder of versions; ``current`` names the one to read. A change writes a new version
-beside it and then swaps the name by a rename, so readers see the old or the new table, never a part,
-and a path that is read is never written.
+A table is a folder of numbered versions. A change writes the parts that it touches beside those of the
+version it read and then claims the next number, which one writer can do, so readers see the old or the
+new table, never a part, a path that is read is never written, and no writer undoes another's change.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedimenta.functions.text import byte_truncate, merge_projects
+from sedimenta.sources.shared import Folder
 
 _TAG = "__in"
 
@@ -168,35 +171,108 @@ def evolve_projects(df: DataFrame) -> DataFrame:
 PROJECT_MERGE = {"project": merge_projects}
 
 
-class VersionedTable:
-    """A Parquet table under ``root`` that is replaced as a whole, atomically."""
+class Conflict(RuntimeError):
+    """Another writer published in between, or the version is gone by now; nothing was published."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[str]:
-        p = self._path(f"{self.root}/published")
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(p)) if self._fs.exists(p) else []
+class VersionedTable:
+    """A Parquet table under ``root`` of which parts are replaced, atomically.
+
+    Rows lie in ``buckets`` parts by a hash of the column ``by`` (one part without it). A version is a
+    manifest that names the folder of each part. Its name is its number and nothing else, and it is created
+    only if no file of that name exists, so of two writers that start from one version one is refused.
+    """
 
-    def read(self) -> DataFrame:
-        names = self._versions()
-        if not names:
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, by: str | None = None, buckets: int = 64):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.by, self.buckets = by, buckets if by else 1
+        self._folder = Folder(spark, self.root)
+
+    def version(self) -> int:
+        """Number of the current version, 0 if there is none."""
+        names = self._folder.names("versions")
+        return int(names[-1]) if names else 0
+
+    def _manifest(self, version: int) -> dict[str, str]:
+        if not version:
+            return {}
+        try:
+            return json.loads(self._folder.text(f"versions/{version:010d}"))
+        except Py4JJavaError as e:
+            if f"{version:010d}" in self._folder.names("versions"):
+                raise
+            raise Conflict(f"version {version} of {self.root} is no longer kept") from e
+
+    def bucket(self, by: Column) -> Column:
+        return F.pmod(F.xxhash64(by), F.lit(self.buckets)).cast("int") if self.by else F.lit(0)
+
+    def buckets_of(self, values: DataFrame) -> list[int]:
+        """The parts that rows with these values of ``by`` lie in: at most ``buckets`` numbers."""
+        if not self.by:
+            return [0]
+        return sorted(r.b for r in values.select(self.bucket(F.col(self.by)).alias("b")).distinct().collect())
+
+    def read(self, version: int | None = None, only: Sequence[int] | None = None) -> DataFrame:
+        """Rows of a version (the current one if None), of all parts or ``only`` some."""
+        parts = self._manifest(self.version() if version is None else version)
+        paths = [f"{self.root}/data/{f}/bucket={b}" for b, f in parts.items() if only is None or int(b) in only]
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{names[-1].split('-', 1)[1]}")
-
-    def publish(self, df: DataFrame, keep: int = 2) -> None:
-        """Write a version, then name it the current one; older versions than ``keep`` are removed."""
-        names = self._versions()
-        number = int(names[-1].split("-")[0]) + 1 if names else 1
-        folder = f"v{number:08d}_{uuid.uuid4().hex}"
-        df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.parquet(f"{self.root}/data/{folder}")
-        self._fs.mkdirs(self._path(f"{self.root}/published"))
-        mark = self._path(f"{self.root}/published/{number:08d}-{folder}")
-        if any(int(n.split("-")[0]) >= number for n in self._versions()):
-            raise RuntimeError("another writer published meanwhile; read again and repeat")
-        self._fs.create(mark, False).close()
-        for n in self._versions()[:-keep]:
-            self._fs.delete(self._path(f"{self.root}/published/{n}"), False)
-            self._fs.delete(self._path(f"{self.root}/data/{n.split('-', 1)[1]}"), True)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def _write(self, df: DataFrame) -> dict[str, str]:
+        folder = uuid.uuid4().hex
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+        rows = rows.withColumn("bucket", self.bucket(F.col(self.by)) if self.by else F.lit(0))
+        if self.by:  # AQE splits large parts and joins small ones
+            rows = rows.hint("rebalance", "bucket")
+        rows.write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
+        return {n.removeprefix("bucket="): folder for n in self._folder.names(f"data/{folder}")}
+
+    def publish(self, df: DataFrame, base: int | None = None, only: Sequence[int] | None = None, keep: int = 2) -> int:
+        """Make ``df`` the rows of the table, or of the parts ``only``, in a version after ``base``.
+
+        ``base`` is the version that ``df`` was made from, the current one if None. If another writer
+        published meanwhile, parts that it did not touch are taken over from it; if it touched one of this
+        change, Conflict is raised and its table stays. Versions before the last ``keep`` are removed, with
+        the data that no later one names. Returns the new version's number.
+        """
+        base = self.version() if base is None else base
+        was = self._manifest(base)
+        mine = {str(b) for b in (range(self.buckets) if only is None else only)}
+        new = self._write(df)
+        if not new.keys() <= mine:
+            raise ValueError("rows outside the parts that are replaced")
+        while True:
+            now = self.version()
+            parts = self._manifest(now)
+            if any(parts.get(b) != was.get(b) for b in mine):
+                for folder in set(new.values()):
+                    self._folder.delete(f"data/{folder}")
+                raise Conflict(f"version {now} of {self.root} changed the same rows as a change of version {base}")
+            kept = {b: f for b, f in parts.items() if b not in mine}
+            if self._folder.create(f"versions/{now + 1:010d}", json.dumps(kept | new)):
+                break
+        self._drop_old(keep)
+        return now + 1
+
+    def change(self, make: Callable[[DataFrame], DataFrame], only: Sequence[int] | None = None, tries: int = 5) -> int:
+        """Publish ``make`` of the table's rows (of the parts ``only``); made again where another writer was faster."""
+        for n in range(tries):
+            base = self.version()
+            try:
+                return self.publish(make(self.read(base, only)), base, only)
+            except Conflict:
+                if n == tries - 1:
+                    raise
+        raise AssertionError
+
+    def _drop_old(self, keep: int) -> None:
+        numbers = [int(n) for n in self._folder.names("versions")]
+        live = {x for n in numbers[-keep:] for x in self._manifest(n).items()}
+        folders = {f for _, f in live}
+        for n in numbers[:-keep]:
+            for b, f in self._manifest(n).items():
+                if (b, f) not in live:
+                    self._folder.delete(f"data/{f}/bucket={b}" if f in folders else f"data/{f}")
+            self._folder.delete(f"versions/{n:010d}")

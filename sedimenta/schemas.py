@@ -27,6 +27,8 @@ KEYS = {
     "repo_index": ("repo_path",),
     "sync_state": ("source_name", "scope_key"),
 }
+#: Column whose hash tells the part of a table that a row lies in.
+PART_BY = {n: "scope_key" if n == "sync_state" else k[0] for n, k in KEYS.items()}
 
 
 def schema(name: str) -> T.StructType:

@@ -1,23 +1,29 @@
 """Source and documentation files below a folder.
 
-The scan is Spark's binary file source: paths, sizes and times come first, contents only for the rows
-and columns that a plan asks for. Folder and ignore rules are path expressions.
+A scan lists paths, sizes and times and reads no file; ``with_text`` then reads the files that are left
+after folder rules, ignore rules and stored times have been applied.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import CABAL_PROJECTS, extension
+from sedimenta.sources.tables import spread
 
 # Extensions of code files, and names of folders that are not entered.
-CODE_EXTENSIONS = "hs rs py ts tsx js jsx nix go java scala ml mli c cpp h hpp sql sh toml yaml yml json tex cabal".split()
-SKIPPED = "target dist build __pycache__ .stack-work vendor .cache result .direnv coverage .next out node_modules .git".split()
-DOC_SKIPPED = "target dist build __pycache__ .stack-work .git .direnv node_modules".split()
+CODE_EXTENSIONS = [
+    "hs", "rs", "py", "ts", "tsx", "js", "jsx", "nix", "go", "java", "scala", "ml", "mli", "c", "cpp", "h", "hpp", "sql", "sh", "toml", "yaml", "yml", "json", "tex", "cabal",
+]
+SKIPPED = ["target", "dist", "build", "__pycache__", ".stack-work", "vendor", ".cache", "result", ".direnv", "coverage", ".next", "out", "node_modules", ".git"]
+DOC_SKIPPED = ["target", "dist", "build", "__pycache__", ".stack-work", ".git", ".direnv", "node_modules"]
 
 
 def _ignore_regex(line: str, folder: str) -> tuple[str, bool] | None:
@@ -57,36 +63,74 @@ def _ignore_regex(line: str, folder: str) -> tuple[str, bool] | None:
     return f"^{prefix}{head}{out}{'/.*' if only_folder else '(?:/.*)?'}$", ignore
 
 
-def ignored(rel: Column, root: str) -> Column:
-    """Whether the ignore files below ``root`` leave a path out; the last rule that matches decides.
+def ignore_rules(listed: DataFrame, root: str) -> list[tuple[str, bool]]:
+    """Rules of the ignore files below ``root``, those of upper folders first; skipped folders have none."""
+    rel = F.col("rel_path")
+    named = F.substring_index(rel, "/", -1).isin(".gitignore", ".ignore") & _outside(rel, SKIPPED)
+    rules: list[tuple[str, bool]] = []
+    for path in sorted((r.rel_path for r in listed.where(named).select("rel_path").collect()), key=lambda p: (os.path.dirname(p).split("/"), p)):
+        with open(os.path.join(root, path), errors="replace") as f:
+            rules += [r for line in f if (r := _ignore_regex(line, os.path.dirname(path)))]
+    return rules
+
+
+def ignored(rel: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether the rules leave a path out; the last one that matches decides."""
+    if not rules:
+        return F.lit(False)
+
+    @F.pandas_udf("boolean")
+    def verdict(paths: pd.Series) -> pd.Series:
+        last_first = [(re.compile(p), v) for p, v in reversed(rules)]
+        return paths.map(lambda x: next((v for p, v in last_first if p.search(x)), False))
+
+    return verdict(rel)
 
-    Ignore files are looked up on the driver (names of folders only; nothing of a skipped folder).
+
+def scan(spark: SparkSession, root: str, skip: list[str] | None = None) -> DataFrame:
+    """rel_path, size, file_mtime (nanoseconds) and path of all files below a folder, hidden ones included.
+
+    Folders named in ``skip`` are not entered. The driver lists the upper folders until there are several
+    for each core, tasks walk what is below them; symbolic links to folders are not followed.
     """
-    rules: list[tuple[str, bool]] = []
-    for folder, names, files in os.walk(root):
-        names[:] = sorted(n for n in names if n not in SKIPPED)
-        for name in (".gitignore", ".ignore"):
-            if name in files:
-                own = os.path.relpath(folder, root)
-                with open(os.path.join(folder, name), errors="replace") as f:
-                    rules += [r for line in f if (r := _ignore_regex(line, "" if own == "." else own))]
-    out = F.lit(False)
-    if rules:
-        out = F.when(rel.rlike(rules[-1][0]), F.lit(rules[-1][1]))
-        for pattern, verdict in reversed(rules[:-1]):
-            out = out.when(rel.rlike(pattern), F.lit(verdict))
-        out = out.otherwise(False)
-    return out
-
-
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """rel_path, size, file_mtime (nanoseconds) and content (bytes) of all files below a folder, hidden ones included."""
-    base = os.path.abspath(root)
-    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
-    micros = F.unix_micros("modificationTime")
-    return df.select(F.substring(path, len(base.rstrip("/")) + 2, 1 << 20).alias("rel_path"), F.col("length").alias("size"), (micros * 1000).alias("file_mtime"), "content")
+    base, leave = os.path.abspath(root), frozenset(skip or ())
+    wanted = 8 * spark.sparkContext.defaultParallelism
+    tops, level = [], [base]
+    while level and len(tops) + len(level) < wanted:
+        # the files of a listed folder are its own row, its folders come next
+        tops += [(d, False) for d in level]
+        level = [e.path for d in level for e in _entries(d) if e.is_dir(follow_symlinks=False) and e.name not in leave]
+    tops += [(d, True) for d in level]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            todo = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            out: list[tuple] = []
+            while todo:
+                folder, deep = todo.pop()
+                for e in _entries(folder):
+                    if e.is_dir(follow_symlinks=False):
+                        if deep and e.name not in leave:
+                            todo.append((e.path, True))
+                    elif e.is_file():
+                        st = e.stat()
+                        out.append((os.path.relpath(e.path, base), st.st_size, st.st_mtime_ns, e.path))
+                if out and (len(out) > 10_000 or not todo):
+                    cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["rel_path", "size", "file_mtime", "path"])
+                    out = []
+
+    rows = spark.createDataFrame(tops, "folder string, deep boolean").repartition(min(len(tops), wanted))
+    return rows.mapInArrow(run, "rel_path string, size long, file_mtime long, path string")
+
+
+def _entries(folder: str) -> list[os.DirEntry]:
+    """Entries of a folder whose names are text; none if it is gone or may not be read."""
+    try:
+        with os.scandir(folder) as found:
+            return [e for e in found if e.name.isprintable()]
+    except OSError:
+        return []
 
 
 def _outside(rel: Column, folders: list[str]) -> Column:
@@ -99,22 +143,44 @@ def _glob(pattern: str) -> str:
 
 def code_files(spark: SparkSession, root: str, extra: list[str] | None = None) -> DataFrame:
     """Code files: known extensions and project files, and paths that match an ``extra`` glob."""
-    df = scan(spark, root)
+    df = scan(spark, root, SKIPPED)
     rel = F.col("rel_path")
     wanted = extension(rel).isin(*CODE_EXTENSIONS) | F.substring_index(rel, "/", -1).isin(*CABAL_PROJECTS)
     for p in extra or []:
         wanted = wanted | rel.rlike(_glob(p))
-    return df.where(wanted & _outside(rel, SKIPPED) & ~ignored(rel, root))
+    return df.where(wanted).where(~ignored(rel, ignore_rules(df, root)))
 
 
 def doc_files(spark: SparkSession, root: str) -> DataFrame:
-    rel = F.col("rel_path")
-    return scan(spark, root).where((extension(rel) == "md") & _outside(rel, DOC_SKIPPED) & ~ignored(rel, root))
+    df, rel = scan(spark, root, DOC_SKIPPED), F.col("rel_path")
+    return df.where(extension(rel) == "md").where(~ignored(rel, ignore_rules(df, root)))
+
 
+def with_text(files: DataFrame) -> DataFrame:
+    """With ``text`` instead of ``content``, or of ``path``, whose file is read here and nowhere before.
 
-def decoded(files: DataFrame) -> DataFrame:
-    """With ``text`` for the bytes; files that are not valid UTF-8 drop out."""
-    return files.withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).where(F.col("text").isNotNull()).drop("content")
+    The text is null where the bytes are not valid UTF-8 or the file can no longer be read.
+    """
+    if "content" not in files.columns:
+        kept = [c for c in files.columns if c != "path"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 100):
+                    part = batch.slice(i, 100)
+                    read = []
+                    for p in part.column(len(kept)).to_pylist():
+                        try:
+                            with open(p, "rb") as f:
+                                read.append(f.read())
+                        except OSError:
+                            read.append(None)
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(read, pa.binary())], names=[*kept, "content"])
+
+        rows = spread(files.select(*kept, "path"))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
+        files = rows.mapInArrow(run, f"{schema}, content binary")
+    return files.withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).drop("content")
 
 
 def write_reconstructed(source: str, root: str, repo_path: str, file_path: str) -> str:

@@ -21,6 +21,7 @@ from sedimenta.ingest import Store
 from sedimenta.operators import store as S
 from sedimenta.operators.embed import Embedder, embed_column
 from sedimenta.sources import rest
+from sedimenta.sources.shared import checkpoint
 
 API = "https://api.github.com"
 #: A comment of fewer bytes is not kept.
@@ -101,7 +102,7 @@ def apply_items(store: Store, repo: str, name: str, items: DataFrame, embedder:
     """
     s, scope = STREAMS[name], f"{repo}:{name}"
     now = F.current_timestamp() if now is None else now
-    mark = None if force else watermark_of(store.read("sync_state"), scope)
+    mark = None if force else watermark_of(store.read("sync_state", store.parts("sync_state", scope)), scope)
     rows = shape(items, name, repo)
     if not s.server_side:
         rows = after(rows, mark)
@@ -111,14 +112,15 @@ def apply_items(store: Store, repo: str, name: str, items: DataFrame, embedder:
         table = store.read(s.table)
         keys = schemas.KEYS[s.table]
         full = embed_column(rows, "content", embedder).withColumn("indexed_at", now).withColumn("id", F.xxhash64(*keys))
-        full = full.select(*table.columns)
+        full = checkpoint(store.spark, full.select(*table.columns))
         fixed = {"id", "created_at", "base_branch", "head_branch", "indexed_at", *keys}
         store.merge(s.table, full, [c for c in table.columns if c not in fixed], None if always else S.hash_differs)
     if top["last"] is not None:
         old = mark and store.spark.range(1).select((T.parse_time(F.lit(mark)) >= F.lit(top["at"])).alias("x")).first()["x"]
-        store.publish("sync_state", S.set_watermark(store.read("sync_state"), "github", scope, mark if old else top["last"], now))
+        to = mark if old else top["last"]
+        store.change("sync_state", lambda t: S.set_watermark(t, "github", scope, to, now), store.parts("sync_state", scope))
     elif mark is not None:
-        store.publish("sync_state", S.set_watermark(store.read("sync_state"), "github", scope, mark, now))
+        store.change("sync_state", lambda t: S.set_watermark(t, "github", scope, mark, now), store.parts("sync_state", scope))
     return int(top["n"])
 
 
@@ -132,7 +134,7 @@ def pull(store: Store, repo: str, embedder: Embedder, streams: list[str] | None
     for name in wanted:
         s, scope = STREAMS[name], f"{repo}:{name}"
         try:
-            mark = None if force else watermark_of(store.read("sync_state"), scope)
+            mark = None if force else watermark_of(store.read("sync_state", store.parts("sync_state", scope)), scope)
             reader = store.spark.read.format("paged_rest").option("url", f"{API}/repos/{repo}/{s.path}")
             for k, v in s.params.items():
                 reader = reader.option(f"param.{k}", v)
@@ -142,8 +144,8 @@ def pull(store: Store, repo: str, embedder: Embedder, streams: list[str] | None
                 reader = reader.option(k, v) if v else reader
             out[name] = apply_items(store, repo, name, reader.load().select("item"), embedder, force)
         except Exception as e:
-            out[name] = str(e)
-            store.publish("sync_state", S.record_error(store.read("sync_state"), "github", scope, str(e), F.current_timestamp()))
+            error = out[name] = str(e)
+            store.change("sync_state", lambda t: S.record_error(t, "github", scope, error, F.current_timestamp()), store.parts("sync_state", scope))  # noqa: B023
     return out
 
 

@@ -27,7 +27,7 @@ def repo(tmp_path):
     for name, text in {
         "src/a.py": "def alpha():\n    return 'resolver snapshot'\n\nclass B:\n    def m(self):\n        return 2\n",
         "src/skip/c.py": "x = 1\n", "target/t.py": "y = 1\n", "notes.txt": "nothing", "README.md": "# Title here\n\nSome words about the project, more than fifty bytes of them.\n", ".gitignore": "skip/\n*.log\n!keep.log\n",
-        "conf.toml": "a = 1\n", "café+x.sh": "echo 1\n",
+        "conf.toml": "a = 1\n", "café+x.sh": "echo 1\n", "node_modules/deep/d.js": "let d", ".hidden/_e.py": "e = 1\n",
     }.items():
         p = r / name
         p.parent.mkdir(parents=True, exist_ok=True)
@@ -38,17 +38,21 @@ def repo(tmp_path):
 
 def test_scan_rules(spark, repo):
     got = {r.rel_path for r in files.code_files(spark, str(repo)).select("rel_path").collect()}
-    assert got == {"src/a.py", "conf.toml", "bad.py", "café+x.sh"}
+    assert got == {"src/a.py", "conf.toml", "bad.py", "café+x.sh", ".hidden/_e.py"}
+    listed = {r.rel_path: r for r in files.scan(spark, str(repo), files.SKIPPED).collect()}
+    assert "node_modules/deep/d.js" not in listed and "notes.txt" in listed
+    assert listed["src/a.py"].file_mtime == (repo / "src/a.py").stat().st_mtime_ns and listed["notes.txt"].size == 7
+    assert files.scan(spark, str(repo / "none")).count() == 0
     assert {r.rel_path for r in files.code_files(spark, str(repo), ["*.txt"]).select("rel_path").collect()} == got | {"notes.txt"}
     assert [r.rel_path for r in files.doc_files(spark, str(repo)).collect()] == ["README.md"]
 
 
 def test_index_twice_changes_nothing_and_edits_are_seen(spark, store, repo):
-    assert ingest.index_folder(store, str(repo), EMBED, "p1") == {"index": 3, "unchanged": 1}
+    assert ingest.index_folder(store, str(repo), EMBED, "p1") == {"index": 4, "not_text": 1}
     first = {(r.file_path, r.chunk_index): r for r in store.read("code_chunks").collect()}
-    assert {k[0] for k in first} == {"src/a.py", "conf.toml", "café+x.sh"}
+    assert {k[0] for k in first} == {"src/a.py", "conf.toml", "café+x.sh", ".hidden/_e.py"}
     assert [r.symbol_kind for k, r in sorted(first.items()) if k[0] == "src/a.py"] == ["function", "class", "method"]
-    assert ingest.index_folder(store, str(repo), EMBED, "p2") == {"unchanged": 4}
+    assert ingest.index_folder(store, str(repo), EMBED, "p2") == {"unchanged": 4, "not_text": 1}
     again = {(r.file_path, r.chunk_index): r for r in store.read("code_chunks").collect()}
     assert again.keys() == first.keys() and {tuple(r.project) for r in again.values()} == {("p1", "p2")}
     (repo / "src/a.py").write_text("def alpha():\n    return 3\n")

@@ -48,9 +48,61 @@ class TestLedger:
     def test_a_failed_write_leaves_no_trace(self, spark, tmp_path):
         led = L.WorkLedger(spark, f"file://{tmp_path}/ledger")
         token, _ = led.lease(items(spark, ("a", "h", 1)), T0, 60)
-        spark.range(5).write.parquet(f"{led.root}/out/{token:012d}")  # died before it was marked done
+        spark.range(5).write.parquet(f"{led.root}/out/{token:012d}/x")  # died before it was published
         assert led.output() is None
         assert led.complete(token, spark.range(1)) and led.output().count() == 1
+        assert led.lease(items(spark, ("a", "h", 1)), T0, 60)[0] is None
+
+    def test_workers_at_the_same_time_get_different_items(self, spark, tmp_path):
+        a, b = (L.WorkLedger(spark, f"file://{tmp_path}/ledger") for _ in range(2))
+        work = items(spark, ("a", "h", 1), ("b", "h", 1), ("c", "h", 1))
+        step, got = a._append, []
+
+        def late(log, entry):  # the other worker leases after this one has decided
+            if not got:
+                got.append(b.lease(work.where("item_key <> 'c'"), T0, 60))
+            return step(log, entry)
+
+        a._append = late
+        token, mine = a.lease(work, T0, 60)
+        assert keys(got[0][1]) == ["a", "b"] and keys(mine) == ["c"]
+        assert a.complete(token, mine) and b.complete(*got[0])
+        assert sorted(r.item_key for r in a.output().collect()) == ["a", "b", "c"]
+        assert sorted(r.item_key for r in a.output(after=got[0][0]).collect()) == ["c"]
+
+    def test_a_lease_taken_over_while_it_completes_is_refused(self, spark, tmp_path):
+        a, b = (L.WorkLedger(spark, f"file://{tmp_path}/ledger") for _ in range(2))
+        work = items(spark, ("a", "h", 1))
+        token, mine = a.lease(work, T0, 60)
+        step, got = a._append, []
+
+        def late(log, entry):
+            if not got:
+                got.append(b.lease(work, T0 + dt.timedelta(seconds=61), 60))
+            return step(log, entry)
+
+        a._append = late
+        assert a.complete(token, mine) is False
+        assert b.complete(*got[0]) and b.output().count() == 1
+
+    def test_compaction_keeps_the_states(self, spark, tmp_path):
+        led = L.WorkLedger(spark, f"file://{tmp_path}/ledger", compact_every=3)
+        for n in range(4):
+            token, mine = led.lease(items(spark, ("a", f"h{n}", n), (f"k{n}", "h", 1)), T0, 60)
+            assert keys(mine) == ["a", f"k{n}"]
+            assert n == 3 or led.complete(token, mine)
+        assert led._folder.names("snapshots")
+        got = {r.item_key: (r.work_state, r.content_hash) for r in led.states(T0).collect()}
+        assert got == {"a": ("leased", "h2"), "k0": ("done", "h"), "k1": ("done", "h"), "k2": ("done", "h"), "k3": ("leased", None)}
+        assert keys(led.lease(items(spark, ("a", "h9", 9), ("k0", "h", 1)), T0, 60)[1]) == []
+        assert led.complete(token, mine) and led.output().count() == 8
+
+    def test_entries(self, spark):
+        rows = [("t", "s", "a", n, n) for n in (1, 2, 3)] + [("t", None, None, 2, 0), ("t", "s", "b", 4, 0), ("t", "s", "c", 5, 0)]
+        events = spark.createDataFrame(rows, "record_table string, scope_key string, item_key string, token long, completed int")
+        leases = spark.createDataFrame([(1, False, T0), (2, True, T0), (3, False, T0), (4, False, T0 + dt.timedelta(days=1))], "token long, completed boolean, expires_at timestamp_ntz")
+        got = sorted((r.item_key or "", r.token, r.entry_state) for r in L.entry_states(events, leases, F.lit(T0).cast("timestamp_ntz")).collect())
+        assert got == [("", 2, "done"), ("a", 1, "fenced"), ("a", 2, "done"), ("a", 3, "expired"), ("b", 4, "live"), ("c", 5, "expired")]
 
     def test_states_from_runs(self, spark):
         ledger = spark.createDataFrame(
@@ -147,11 +199,61 @@ class TestStore:
         t = S.VersionedTable(spark, f"file://{tmp_path}/t", spark.range(0).schema)
         assert t.read().count() == 0
         for n in (1, 2, 3):
-            t.publish(spark.range(n))
+            assert t.publish(spark.range(n)) == n
         assert t.read().count() == 3 and len(list((tmp_path / "t/data").iterdir())) == 2
-        t.publish(t.read().where("id > 0"))  # reads the version that it replaces
+        t.change(lambda df: df.where("id > 0"))  # reads the version that it replaces
         assert t.read().count() == 2
 
+    def test_of_two_writers_of_one_version_the_second_is_refused(self, spark, tmp_path):
+        a, b = (S.VersionedTable(spark, f"file://{tmp_path}/t", spark.range(0).schema) for _ in range(2))
+        a.publish(spark.range(1), base=0)
+        with pytest.raises(S.Conflict):
+            b.publish(spark.range(2), base=0)
+        assert b.read().count() == 1
+        # a change that is made while another is published is made again from its result
+        made = []
+
+        def add(df):
+            made.append(1)
+            if len(made) == 1:
+                a.change(lambda x: x.unionByName(spark.range(10, 11)))
+            return df.unionByName(spark.range(20, 21))
+
+        b.change(add)
+        assert sorted(r.id for r in a.read().collect()) == [0, 10, 20] and len(made) == 2
+
+    def test_parts_change_apart(self, spark, tmp_path):
+        schema = "k string, v int"
+        a, b = (S.VersionedTable(spark, f"file://{tmp_path}/t", spark.createDataFrame([], schema).schema, "k", 16) for _ in range(2))
+        rows = spark.createDataFrame([(f"k{i}", 0) for i in range(40)] + [(None, 0)], schema)
+        a.publish(rows)
+        one, two = (spark.createDataFrame([(k,)], "k string") for k in ("k1", "k2"))
+        p1, p2 = a.buckets_of(one), a.buckets_of(two)
+        assert len(p1) == len(p2) == 1 and p1 != p2
+        base = a.version()
+        a.change(lambda t: t.withColumn("v", F.when(F.col("k") == "k1", 1).otherwise(F.col("v"))), p1)
+        # another part changed meanwhile: both changes stand, and nothing is made again
+        b.publish(b.read(base, p2).withColumn("v", F.when(F.col("k") == "k2", 2).otherwise(F.col("v"))), base, p2)
+        got = {r.k: r.v for r in a.read().collect()}
+        assert len(got) == 41 and {k: v for k, v in got.items() if v} == {"k1": 1, "k2": 2}
+        with pytest.raises(S.Conflict):
+            b.publish(b.read(base, p2), base, p2)
+        with pytest.raises(ValueError):
+            b.publish(rows, only=p2)
+        a.change(lambda t: t.limit(0))
+        assert b.read().count() == 0
+
+    def test_files_that_one_writer_creates(self, spark, tmp_path):
+        from concurrent.futures import ThreadPoolExecutor
+
+        from sedimenta.sources.shared import Folder
+
+        f = Folder(spark, f"file://{tmp_path}/f")
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda i: f.create("x/1", f"text {i}"), range(32)))
+        assert sum(won) == 1 and f.text("x/1") == f"text {won.index(True)}" and f.names("x") == ["1"] and f.names("none") == []
+        assert f._rename_once("x/2", "b") and not f._rename_once("x/2", "c") and f.text("x/2") == "b" and f.names("x") == ["1", "2"]
+
     def test_evolve_and_truncate(self, spark):
         df = spark.createDataFrame([("a",), (None,)], "project string")
         assert [r.project for r in S.evolve_projects(df).collect()] == [["a"], None]

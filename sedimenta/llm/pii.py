@@ -1,7 +1,9 @@
 """Personal information in free text, found by a semi-Markov conditional random field.
 
 Candidate segments of a text (whole spans of bounded length, of one type each) are scored by features
-of the whole span: its form, its parts, its checksum, the words before and after it. A labelling is a
+of the whole span: its form, its parts, its checksum, the words before and after it. Every span of two
+to four adjacent capitalised words or initials is a candidate name; whether its words are everyday words,
+and how they begin and end, are features like others, as is a list of given names. A labelling is a
 set of segments that do not overlap, with everything between them outside; its weight is the
 exponential of the segments' scores and of the scores of neighbouring types. Dynamic programming over
 the segments' ends finds the best labelling, so boundaries and types are chosen jointly: a number is a
@@ -12,6 +14,7 @@ invented labelled lines; forward and backward sums run over the same lattice.
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 import os
@@ -31,6 +34,11 @@ TYPES = ("email", "phone", "id_number", "address", "name")
 WINDOW = 80
 #: A segment has at most so many characters.
 LONGEST = 160
+#: A name has at most so many words, particles such as "van" not counted.
+NAME_WORDS = 4
+#: Public vocabularies whose lower-case words count as everyday words.
+VOCABULARIES = "/opt/tokenizers"
+EVERYDAY = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
 # Given names.
 GIVEN = frozenset(
@@ -50,7 +58,11 @@ ENDINGS = tuple(
     ová ova ov ev enko escu ez berger dottir ström gren lund dahl stein feld bach hoff sson ton ley ham ford worth wood man""".split()
 )
 _PARTICLES = "van|von|de|da|del|della|der|di|la|le|bin|ibn|al|ten|zu|zur|af|dos"
-_STREET = "street|st|avenue|ave|road|rd|lane|ln|drive|dr|close|court|ct|way|terrace|place|pl|square|sq|crescent|boulevard|blvd|row|gardens|grove|hill|mews"
+# Types of streets.
+_STREET = (
+    "street|st|avenue|ave|road|rd|lane|ln|drive|dr|close|court|ct|way|terrace|place|pl|square|sq|crescent|boulevard|blvd|row|gardens|grove|hill|mews"
+    "|parkway|pkwy|highway|hwy|circle|cir|plaza|trail|loop|alley|quay|walk|rise|parade|esplanade|promenade|wharf|turnpike|crossing|ridge|heights|green|park|bypass|embankment|broadway"
+)
 _W = r"[^\W\d_][\w’'\-]*"
 _CAP = r"[A-ZÀ-ÖØ-Þ](?:[^\W\d_]|[’'\-])+"
 _CITY = rf"{_CAP}(?: {_CAP}){{0,2}}"
@@ -91,6 +103,8 @@ _ADDRESS = (
     ("box", re.compile(rf"(?<![\w])(?i:{_BOX}) ?(?i:n[º°o]\.? ?)?\d{{1,6}}(?:,? (?:\d{{4,5}} )?{_CITY})?")),
     ("flat", re.compile(rf"(?<![\w])(?i:{_FLAT}) ?#?\d{{1,4}}[a-z]?, ?(?:\d{{1,4}}[a-z]? )?(?:{_CAP} ){{1,3}}(?:House|house|{_TYPES_OF_STREET})\b\.?(?:{_SEP}{_CITY}(?:,? (?:{_UK}|\d{{4,6}}))?)?")),
 )
+#: A numbered place of any words in a town: its words need not be of a known kind.
+_PLAIN_ADDRESS = re.compile(rf"(?<![\w.])\d{{1,5}}[a-zA-Z]?,? (?:{_CAP} ){{1,3}}{_CAP}, {_CITY}(?:,? (?:{_UK}|[A-Z]{{2}} \d{{5}}|\d{{4,6}}))?(?!\w)")
 _ADDRESS_SIGN = re.compile(
     rf"(?i)\d[a-z]?(?: bis| ter)?,? (?:[^\W\d_][\w’'\-]* ){{1,3}}(?:{_STREET})\b|\d(?: ?(?:bis|ter|[a-d]))?,? (?:{_WAY}) |(?<!\w)(?:{_CALLE}) ?\w"
     rf"|[\w’'\-](?:{_END}) ?\d|(?<!\w)(?:{_BOX}) ?(?:n[º°o]\.? ?)?\d|(?<!\w)(?:{_FLAT}) ?#?\d"
@@ -107,13 +121,32 @@ _INITIAL = re.compile(r"(?<![\w.@/+\-])[A-ZÀ-Þ]\.(?:[ -]?[A-ZÀ-Þ]\.)* ?(?:(?
 _NAME_AT = re.compile(
     rf"(?P<first>{_W})(?P<middle>(?: [A-ZÀ-Þ]\.)*)(?P<part>(?: (?:{_PARTICLES}))*) (?P<last>[^\W\d_][^\W\d_’']*(?:[’'\-][^\W\d_]+)*)", re.I
 )
-_LAST_FIRST = re.compile(rf"(?P<last>[^\W\d_][^\W\d_’']*(?:[’'\-][^\W\d_]+)*), (?P<first>{_W}|[A-ZÀ-Þ]\.)", re.I)
-_CUE_BEFORE = re.compile(
-    r"(?:\b(?:dr|prof|mr|mrs|ms|herr|frau|señora?|mme|m)\.? |from: |by:? |-by: |to: |cc:? |with |customer |author:? |thanks to |thank |merci à |gracias a |danke an |avec |mit |con |laut |de |says |assigned:? |name:? |maintainers? (?:= \[\"|is )|on \w+day |call |goes to |contact:? |regards,?\s+|and )$",
+_TITLE = re.compile(r"(?:^|\W)(?:dr|prof|mr|mrs|ms|herrn?|frau|señora?|sra?|mme|m|ing|sir|madame|monsieur|doña|don)\.? $", re.I)
+#: Words that are followed by whoever does, gets or says something.
+_AGENT = re.compile(
+    r"(?:^|\W)(?:by|from|to|for|with|and|or|cc|thanks|thank|ask|asked|ping|poke|meet|met|call|called|says?|said|told|asks|wrote|per|via|after|hi|hello|hey|dear|regards|cheers|sincerely|greetings|von|mit|an|laut|durch|danke|gruß|grüße"
+    r"|merci à|gracias a|avec|par|selon|de|à|con|por|según|para|goes to|on \w+day)(?::|,|\s)\s*$",
     re.I,
 )
-_CUE_AFTER = re.compile(r"(?i)^(?: <| \(|,? says| said| asked| wrote| schrieb| on the| for the|'s |, (?:passport|ssn|dni|nie|id|social|national|tel|\+|\d)|\"| and I| has| is | reported|:)")
+#: Roles, with or without a sign that a value follows.
+_ROLE = re.compile(r"(?:author|owner|maintainer|reporter|assignee|assigned|reviewer|contact|customer|client|patient|user|name|member|employee|manager|sender|recipient|attn|-by)s?(?: is| was|)(?:[ :=>]+[\[(\"']*| - | )$", re.I)
+_SAYS = re.compile(r"(?i)^,? (?:says?|said|asks?|asked|wrote|writes|schrieb|sagte|meint|dit|a dit|dijo|has|had|is|was|reported|found|noticed|replied|called|wants|told|thinks|and I)\b|^'s |^’s ")
+_CARD = re.compile(r"^(?:,| \(|:|\n)\s*(?:passport|ssn|dni|nie|id\b|social|national|tel|phone|mobile|personal|numéro|p\.?o|\+?\(?\d|[\w.]+@)|^ <|^\" <", re.I)
+_HANDLE = re.compile(r"^(?: [(@<]|, \+|: \+)")
+#: A family name before initials.
+_LAST_INITIALS = re.compile(r"(?<![\w@/.])[A-ZÀ-Þ][\w’'\-]{2,}, (?:[A-ZÀ-Þ]\.[ -]?)+")
 _BAD_LAST = frozenset("street st avenue road lane drive house terrace court box the and for with from this that when says".split())
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ](?:(?:[^\W\d_]|[’'\-](?=[^\W\d_]))+|\.(?!\w)|(?!\w))"
+#: Adjacent capitalised words and initials, with particles and commas between them.
+_CAPITALS = re.compile(rf"(?<![\w@/.+\-]){_CAPITAL}(?:,? (?:(?:{_PARTICLES}) )*{_CAPITAL})+")
+_PART = re.compile(rf"(?P<sep>,? )(?P<part>(?:(?:{_PARTICLES}) )*)(?={_CAPITAL})")
+_ONE_CAPITAL = re.compile(_CAPITAL)
+#: Signs of markup around a heading, a cell or an emphasised term.
+_HEADING_LEFT = re.compile(r"(?:^[ \t]*(?:#+|=+)|\||!|'''|\*\*|__|<\w+[^<>]*>|\\\w+\{)[ \t]*$")
+_HEADING_RIGHT = re.compile(r" ?(?:\r?\n(?:==|--)|=|[|#}]|</|\]\]|'''|\*\*|!!)")
+_CONTRACTED = re.compile(r"[’'](?:ll|ve|re|d|m|t|LL|VE|RE|D|M|T)$")
+#: Words of German sentences, where any noun is capitalised.
+_GERMAN = frozenset("und der die das nicht ist mit für ein eine einen auf den dem von zu wird sich auch bei wenn oder nach im".split())
 
 
 class Segment:
@@ -222,8 +255,10 @@ def _number(text: str, a: int, b: int, s: str, digits: int, whole: bool) -> Iter
         f.append("phone:solid")
     if not whole:
         f.append("phone:part")
-    if re.fullmatch(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}.*|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}", s):
+    if re.fullmatch(r"(?:19|20)\d\d[-/.](?:0?[1-9]|1[0-2])[-/.](?:0?[1-9]|[12]\d|3[01])(?!\d).*|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)\d\d(?!\d).*", s):
         f.append("phone:date")
+    if re.match(r":\d\d", text[b : b + 3]) or re.search(r"\d[:T]$", text[max(0, a - 2) : a]):
+        f.append("phone:clock")
     if re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", s):
         f.append("phone:ip")
     if re.fullmatch(r"\d+(?:\.\d+){1,3}", s) and len(groups[-1]) < 4:
@@ -261,6 +296,7 @@ def _number(text: str, a: int, b: int, s: str, digits: int, whole: bool) -> Iter
         g.append("id:phone_form")
     if not whole:
         g.append("id:part")
+    g += [x.replace("phone", "id") for x in f if x in ("phone:date", "phone:clock")]
     if _NOT_NUMBER.search(left):
         g.append("id:not")
     yield Segment(a, b, "id_number", g)
@@ -295,6 +331,9 @@ def _codes(text: str) -> Iterator[Segment]:
 
 
 def _addresses(text: str, words: set[str]) -> Iterator[Segment]:
+    for m in _PLAIN_ADDRESS.finditer(text):
+        if m.end() - m.start() <= LONGEST:
+            yield from _address(text, "number_words", m.start(), m.end())
     # every form of address has one of these words; most texts have none
     words = words.union(*(_LETTERS(w) for w in words if not w.isalpha()))
     if _ADDRESS_WORDS.isdisjoint(words) and not any(w.endswith(_ADDRESS_ENDS) or w.startswith(_ADDRESS_STARTS) for w in words):
@@ -344,43 +383,139 @@ def _address(text: str, name: str, a: int, b: int) -> Iterator[Segment]:
     yield Segment(a, b, "address", f)
 
 
-def _name_features(text: str, a: int, b: int, first: str, last: str, form: str, middle: bool, particle: bool) -> list[str]:
-    f = ["name", f"name:{form}"]
-    given = all(p in GIVEN for p in first.lower().replace("’", "'").split("-"))
-    initial = len(first) <= 2 or first.endswith(".")
-    f.append("name:given" if given else "name:initial" if initial else "name:unknown")
+@lru_cache(maxsize=2)
+def everyday_words(folder: str = VOCABULARIES, names: tuple[str, ...] = EVERYDAY) -> frozenset[str]:
+    """Words that stand in lower case, with a blank before them, in a public vocabulary (read on the driver, about 35,000)."""
+    found = set()
+    for name in names:
+        with open(os.path.join(folder, name), "rb") as f:
+            for line in f:
+                raw = base64.b64decode(line.split()[0]) if line.strip() else b""
+                if raw[:1] == b" ":
+                    w = raw[1:].decode("utf-8", "ignore")
+                    if len(w) > 2 and w.isalpha() and w.islower():
+                        found.add(w)
+    return frozenset(found)
+
+
+def _kind(word: str, everyday: frozenset[str]) -> str:
+    """What a word looks like by itself: given name, initial, everyday word, or none of these."""
+    low = word.lower()
+    if len(word) <= 2 and (len(word) == 1 or word[1] == "."):
+        return "initial"
+    parts = low.replace("’", "'").split("-")
+    if all(p in GIVEN for p in parts):
+        return "given"
+    if all(p in everyday or p.removesuffix("s") in everyday for p in parts):
+        return "everyday"
+    return "other"
+
+
+def _name_features(text: str, a: int, b: int, words: list[str], form: str, particle: bool, run: tuple[int, int], everyday: frozenset[str], german: bool) -> list[str]:
+    """Features of a whole name; ``words`` in the order given names, family name; ``run`` is the stretch of capitals around it."""
+    first, last = words[0], words[-1]
+    kinds = [_kind(w, everyday) for w in words]
+    one, two = kinds[0], kinds[-1]
     low = last.lower()
     family = low.endswith(ENDINGS) and len(low) >= 5
-    f.append("name:family" if family else "name:no_family")
-    case = "upper" if last.isupper() and (first.isupper() or initial) else "title" if last[0].isupper() and first[0].isupper() else "lower" if first.islower() and last.islower() else "mixed"
-    f.append(f"name:{case}")
-    f.append(f"{f[2]}:{case}")
-    f.append(f"{f[2]}:{f[3]}")
-    if middle:
-        f.append("name:middle")
+    loud = [w.isupper() for w in words if not re.fullmatch(r"\w\.?", w)]
+    upper = all(loud)
+    case = "lower" if first.islower() and last.islower() else "upper" if upper and len(last) > 2 else "mixed" if any(loud) else "title" if all(w[0].isupper() for w in words) else "mixed"
+    if any(w[1:] != w[1:].lower() and not w.isupper() and not re.search(r"[’'\-]|^(?:Mc|Mac|De|Di|Van|O)[A-Z]", w) for w in words):
+        case = "camel"
+    f = ["name", f"name:{form}", f"name:first:{one}", f"name:last:{two}", f"name:{one}+{two}", f"name:{case}", f"name:{one}:{case}", f"name:words{len(words)}", "name:family" if family else "name:no_family", f"name:{one}:{'family' if family else two}"]
+    if german:
+        f += [f"name:german:{one}", f"name:german:{one}+{two}"]
+    if len(words) > 2:
+        f.append(f"name:middle:{kinds[1]}")
     if particle:
         f.append("name:particle")
     if low in _BAD_LAST or low in GIVEN:
         f.append("name:bad_last")
-    left = text[max(0, a - 22) : a]
-    cue = bool(_CUE_BEFORE.search(left))
+    if two == "other" and case == "title":
+        f += [f"name:end:{low[-3:]}", f"name:end:{low[-2:]}", f"name:begin:{low[:3]}"]
+    if one == "other" and case == "title":
+        g = first.lower()
+        f += [f"name:first_end:{g[-2:]}", f"name:first_begin:{g[:3]}", f"name:first_begin:{g[:2]}"]
+    shape = "".join("v" if c in "aeiouyáéíóúàèìòùäöüâêîôûåæø" else "c" if c.isalpha() else c for c in low)
+    if re.search("c{4}|v{4}", shape) or not re.search("v", shape):
+        f.append("name:unspeakable")
+    left = text[max(0, a - 24) : a]
+    line = left.rsplit("\n", 1)[-1]
+    cue = "title" if _TITLE.search(left) else "role" if _ROLE.search(left) else "agent" if _AGENT.search(left) else None
     if cue:
-        f.append("name:cue")
-    if _CUE_AFTER.match(text[b : b + 14]):
-        f.append("name:cue_after")
-    if cue and f[2] == "name:unknown":
-        f.append("name:unknown:cue" + (":family" if family else ""))
-    if a == 0 or text[a - 1] == "\n" or re.search(r"[.!?:;] $", left):
+        f += ["name:cue", f"name:cue:{cue}", f"name:{one}:cue"]
+    right = text[b : b + 16]
+    if _SAYS.match(right):
+        f += ["name:says", f"name:{one}:says"]
+    if _CARD.match(right):
+        f += ["name:card", f"name:{one}:card"]
+    elif _HANDLE.match(right):
+        f.append("name:handle")
+    if (not line.strip() or re.fullmatch(r"[ \t>*\-]+", line)) and (not right or right[0] == "\n"):
+        f += ["name:alone", f"name:{one}:alone"]
+    if a == 0 or not line.strip(" \t>*#-") or re.search(r"[.!?:;][)\"']? $", left):
         f.append("name:sentence")
-    if a > 0 and (text[a - 1] in "@/._+-=<" or text[a - 1].isalnum()) or b < len(text) and (text[b] in "@/_+=" or text[b].isalnum() or text[b] == "(" or re.match(r"[.\-]\w", text[b : b + 2])):
+        if one == "everyday":
+            f.append("name:sentence:everyday")
+    if run[0] < a:
+        f.append("name:more_left")
+        if one == "given":
+            f.append("name:more_left:given")
+    if run[1] > b:
+        f.append("name:more_right")
+    if a > 0 and (text[a - 1] in "@/._+-=<#" or text[a - 1].isalnum()) or b < len(text) and (text[b] in "@/_+=" or text[b].isalnum() or text[b] == "(" or re.match(r"[.\-]\w", text[b : b + 2])):
         f.append("name:glued")
-    if re.match(r"(?i)[ ,]*(?:street|st\b|road|house|terrace|plein|ave|drive|court|close)", text[b : b + 9]):
+    if _HEADING_LEFT.search(line) or _HEADING_RIGHT.match(right):
+        f += ["name:heading", f"name:heading:{one}"]
+    if re.search(r"(?:::|->|=>|\bEither|\bMaybe|\bnew|\bclass|\bimport|\btype|\bdata) $", left) or re.match(r" ?(?:::|->|=>|\()", right):
+        f.append("name:code")
+    if re.match(r"(?i)[ ,]*(?:street|st\b|road|house|terrace|plein|ave|drive|court|close)", right):
         f.append("name:street")
+    if re.search(r"\d[a-zA-Z]?,? $", left) or re.match(r",? \d", right):
+        f.append("name:number")
     return f
 
 
-def _names(text: str, words: set[str]) -> Iterator[Segment]:
+def _names(text: str, words: set[str], everyday: frozenset[str]) -> Iterator[Segment]:
     seen: set[tuple[int, int]] = set()
+    german = len(_GERMAN & words) > 2
+
+    def segment(a: int, b: int, parts: list[str], form: str, particle: bool, run: tuple[int, int]) -> Iterator[Segment]:
+        if (a, b) not in seen:
+            seen.add((a, b))
+            yield Segment(a, b, "name", _name_features(text, a, b, parts, form, particle, run, everyday, german))
+
+    # every span of two to NAME_WORDS neighbouring capitalised words or initials
+    for m in _CAPITALS.finditer(text):
+        spans, seps = [], []
+        at = m.start()
+        while at < m.end():
+            w = _ONE_CAPITAL.match(text, at)
+            spans.append(w.span())
+            sep = _PART.match(text, w.end())
+            if not sep or sep.end() >= m.end():
+                break
+            seps.append((sep["sep"] == ", ", bool(sep["part"])))
+            at = sep.end()
+        said = [text[a:b] for a, b in spans]
+        for i in range(len(spans) - 1):
+            if _CONTRACTED.search(said[i]):
+                continue
+            for j in range(i + 1, min(len(spans), i + NAME_WORDS)):
+                a, b = spans[i][0], spans[j][1]
+                if _CONTRACTED.search(said[j]):
+                    break
+                commas = [c for c, _ in seps[i:j]]
+                if not any(commas):
+                    if not said[j].endswith("."):
+                        yield from segment(a, b, said[i : j + 1], "first_last", any(p for _, p in seps[i:j]), m.span())
+                elif commas[0] and not any(commas[1:]):
+                    # a family name and what is before it: the given names follow
+                    part = re.search(rf"(?<!\w)(?:(?:{_PARTICLES}) )+$", text[max(0, a - 12) : a])
+                    s = a - len(part.group()) if part else a
+                    yield from segment(s, b, [*said[i + 1 : j + 1], said[i]], "last_first", bool(part), m.span())
+    # in other cases only the list tells a name from two words
     if not GIVEN.isdisjoint(words):
         for w in _NAME_WORD.finditer(text):
             word = w.group()
@@ -388,46 +523,33 @@ def _names(text: str, words: set[str]) -> Iterator[Segment]:
                 continue
             a = w.start()
             m = _NAME_AT.match(text, a)
-            if m and (m["first"] == word or m["first"].startswith(word)) and (a, m.end()) not in seen:
-                seen.add((a, m.end()))
-                yield Segment(a, m.end(), "name", _name_features(text, a, m.end(), m["first"], m["last"], "first_last", bool(m["middle"]), bool(m["part"])))
+            if m and (m["first"] == word or m["first"].startswith(word)) and not _CONTRACTED.search(m["last"]):
+                yield from segment(a, m.end(), [m["first"], *m["middle"].split(), m["last"]], "first_last", bool(m["part"]), (a, m.end()))
             if a >= 3 and text[a - 2 : a] == ", ":
                 m = re.search(r"[^\W\d_][^\W\d_’']*(?:[’'\-][^\W\d_]+)*$", text[max(0, a - 42) : a - 2])
                 if m:
                     s = a - 2 - len(m.group())
                     part = re.search(rf"(?i)(?<!\w)(?:(?:{_PARTICLES}) )+$", text[max(0, s - 12) : s])
                     s -= len(part.group()) if part else 0
-                    if (s, w.end()) not in seen:
-                        seen.add((s, w.end()))
-                        yield Segment(s, w.end(), "name", _name_features(text, s, w.end(), word, m.group(), "last_first", False, bool(part)))
+                    yield from segment(s, w.end(), [word, m.group()], "last_first", bool(part), (s, w.end()))
     for m in _INITIAL.finditer(text):
         last = _NAME_WORD.match(text, m.end())
-        if last and (m.start(), last.end()) not in seen:
-            a = m.start()
-            seen.add((a, last.end()))
-            yield Segment(a, last.end(), "name", _name_features(text, a, last.end(), m.group()[:2], last.group(), "first_last", False, False))
-    # a family name before initials, and two capitalised words after a cue
-    for m in re.finditer(r"(?<![\w@/.])[A-ZÀ-Þ][\w’'\-]{2,}, (?:[A-ZÀ-Þ]\.[ -]?)+", text):
+        if last:
+            yield from segment(m.start(), last.end(), [m.group()[:2], last.group()], "first_last", False, (m.start(), last.end()))
+    for m in _LAST_INITIALS.finditer(text):
         b = m.start() + len(m.group().rstrip())
-        yield Segment(m.start(), b, "name", _name_features(text, m.start(), b, "X.", m.group().split(",")[0], "last_first", False, False))
-    for m in _CUES.finditer(text):
-        n = _NAME_AT.match(text, m.end())
-        if n and n["first"][0].isupper() and n["last"][0].isupper() and (n.start(), n.end()) not in seen:
-            seen.add((n.start(), n.end()))
-            yield Segment(n.start(), n.end(), "name", _name_features(text, n.start(), n.end(), n["first"], n["last"], "first_last", bool(n["middle"]), bool(n["part"])))
-
-
-_CUES = re.compile(r"(?:\b(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Mme)\.? |From: |[a-z]-by: |Reported by |Thanks to |customer |assigned: |[Mm]aintainer is |maintainers = \[\"|paired with )(?=[A-ZÀ-Þ])")
+        yield from segment(m.start(), b, ["X.", m.group().split(",")[0]], "last_first", False, (m.start(), b))
 
 
 _SPLIT = re.compile(r"[\W_]+").split
 
 
-def segments(text: str) -> list[Segment]:
+def segments(text: str, everyday: frozenset[str] | None = None) -> list[Segment]:
     """All candidate segments of a text, by their start."""
+    everyday = everyday_words() if everyday is None else everyday
     found: dict[tuple[int, int, str], Segment] = {}
     words = set(_SPLIT(text.lower()))
-    for finder in (_emails(text), _numbers(text), _codes(text), _addresses(text, words), _names(text, words)):
+    for finder in (_emails(text), _numbers(text), _codes(text), _addresses(text, words), _names(text, words, everyday)):
         for s in finder:
             found.setdefault((s.start, s.end, s.type), s)
     return sorted(found.values(), key=lambda s: (s.start, s.end, s.type))
@@ -510,15 +632,15 @@ def trained_weights() -> dict[str, float]:
         return json.load(f)
 
 
-def find(text: str, weights: dict[str, float]) -> list[Segment]:
+def find(text: str, weights: dict[str, float], everyday: frozenset[str] | None = None) -> list[Segment]:
     """Personal information of a text, in order, without overlaps."""
-    return [s for g in windows(segments(text)) for s in best(g, weights)]
+    return [s for g in windows(segments(text, everyday)) for s in best(g, weights)]
 
 
-def redact(text: str, weights: dict[str, float]) -> str:
+def redact(text: str, weights: dict[str, float], everyday: frozenset[str] | None = None) -> str:
     """The text with a placeholder of its type for each item, such as [NAME], and otherwise unchanged."""
     out, at = [], 0
-    for s in find(text, weights):
+    for s in find(text, weights, everyday):
         out += [text[at : s.start], f"[{s.type.upper()}]"]
         at = s.end
     return "".join(out) + text[at:] if out else text
@@ -529,13 +651,13 @@ def found_types(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Null and empty texts have none; repeated rows count each; texts of any length are read whole.
     """
-    weights = trained_weights()
+    weights, words = trained_weights(), everyday_words()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ks, out = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for x in sorted({s.type for s in find(t, weights)}):
+                for x in sorted({s.type for s in find(t, weights, words)}):
                     ks.append(k)
                     out.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(out, pa.string())], names=["key", "pii_kind"])
@@ -546,11 +668,11 @@ def found_types(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def redact_column(df: DataFrame, key: str, text: str) -> DataFrame:
     """key and redacted of every row; a null text stays null, an empty one empty."""
-    weights = trained_weights()
+    weights, words = trained_weights(), everyday_words()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [redact(t, weights) if t else t for t in batch.column(1).to_pylist()]
+            done = [redact(t, weights, words) if t else t for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string())], names=["key", "redacted"])
 
     return spread(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))).mapInArrow(run, "key long, redacted string")

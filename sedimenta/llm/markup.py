@@ -1,12 +1,15 @@
 """Markup residue: a tree of possible markup in a text, judged by message passing.
 
 A text is parsed into a tree. The root is the page, whose hidden state is the dialect it is written in;
-below it stand nodes for everything that has the shape of markup (a tag, a pair of stars, a command),
-nested by containment, each of which is either markup or literal content. Parent-child potentials say
-how often a node of a type is markup below a page of a dialect, or inside another node; evidence
-potentials say what markup and literal characters of that shape look like. Messages pass up from the
-leaves to the root and down again (sum-product, exact on a tree), and every node gets the probability
-that its characters are content or markup. The potentials are counted on labelled pages.
+below it stand the elements of HTML, from start tag to end tag, with what they hold as their children,
+and nodes for everything else that has the shape of markup (a pair of stars, a command), nested by
+containment. Each is either markup or literal. The stretches of text of an element are nodes too, which
+are content or residue (a script's). Parent-child potentials say how often a node of a type is markup
+below a page of a dialect, or inside another node; evidence potentials say what markup and literal
+characters of that shape look like. Messages pass up from the leaves to the root and down again
+(sum-product, exact on a tree), and every node gets the probability that its characters are content.
+The potentials are counted on labelled pages: ``python -m sedimenta.llm.markup_pages`` rewrites
+``markup_weights.json``, which workers read.
 
 What stands in code (fenced, inline, verbatim, preformatted) is literal; no nodes are made of it.
 
@@ -18,8 +21,9 @@ come out as they are (with line feeds as line ends).
 from __future__ import annotations
 
 import html
+import json
 import math
-import random
+import os
 import re
 from bisect import bisect_left
 from collections import defaultdict
@@ -43,6 +47,18 @@ TAGS = frozenset(
     p param picture pre q ref rp rt ruby s samp script section select small source span strike strong style sub summary sup
     svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr nowiki syntaxhighlight math""".split()
 )
+#: Elements by what they are; others are of the group "other".
+GROUPS = {
+    "block": "address article aside blockquote body center details div dl dd dt fieldset figcaption figure footer form header html main nav p section summary caption".split(),
+    "list": "ul ol li menu".split(),
+    "cell": "table thead tbody tfoot tr td th colgroup".split(),
+    "heading": "h1 h2 h3 h4 h5 h6 title".split(),
+    "data": "script style head noscript template svg math iframe object canvas".split(),
+    "inline": "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label legend map mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var button option select optgroup progress textarea nowiki ref syntaxhighlight picture audio video".split(),
+}
+_GROUP = {n: g for g, names in GROUPS.items() for n in names}
+#: Elements without an end tag.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Frequent commands of LaTeX.
 COMMANDS = frozenset(
     """alpha approx author beta bf bibliography bigskip caption cdot centering chapter chi cite clearpage date delta documentclass
@@ -107,16 +123,35 @@ _LIST_ITEM = re.compile(r"^[ \t]*(?:[*+#:;]+|-)[ \t]", re.M)
 
 
 class Node:
-    """Characters that may be markup: its kind and type, evidence bits, span, and the edits that take it off."""
+    """Characters that may be markup: its kind and type, evidence bits, span, and the edits that take it off.
 
-    __slots__ = ("bits", "children", "edits", "end", "kind", "marginal", "start", "type")
+    ``inner`` is what an element holds between its tags. A node of the type "text" has no kind; for it, being
+    markup means being no content.
+    """
+
+    __slots__ = ("bits", "children", "edits", "end", "inner", "kind", "marginal", "start", "type")
 
     def __init__(self, kind: str, type_: str, bits: tuple[bool, ...], start: int, end: int, edits: list[tuple[int, int, str]]):
         self.kind, self.type, self.bits, self.start, self.end, self.edits = kind, type_, bits, start, end, edits
         self.children: list[Node] = []
+        self.inner: tuple[int, int] | None = None
         self.marginal = 0.0
 
 
+def _first_on_line(t: str, at: int) -> bool:
+    """Whether only blanks stand before a place on its line, which is not the first."""
+    while at and t[at - 1] in " \t":
+        at -= 1
+    return at > 0 and t[at - 1] == "\n"
+
+
+def _after_blank_line(t: str, at: int) -> bool:
+    """Whether the line that begins at a place is the first, or follows an empty one."""
+    while at and t[at - 1] in " \t":
+        at -= 1
+    return at == 0 or t[max(0, at - 2) : at] == "\n\n"
+
+
 def _indented(code: str) -> str:
     body = code.strip("\n")
     return "\n" + "\n".join("    " + x if x.strip() else "" for x in body.split("\n")) + "\n"
@@ -127,6 +162,18 @@ def _zones(text: str) -> tuple[list[Node], str]:
     nodes: list[Node] = []
     masks: list[tuple[int, int]] = []
     at = 0
+    # what closes nothing after some place is not looked for again
+    missing: set[str] = set()
+    blank = _places(_BLANK_LINE, text) if "`" in text else []
+
+    def close_of(name: str, pattern: str, flags: int = 0) -> re.Match[str] | None:
+        if name in missing:
+            return None
+        m = re.compile(pattern, flags).search(text, at)
+        if not m:
+            missing.add(name)
+        return m
+
     while m := _ZONE.search(text, at):
         a, at = m.start(), m.end()
         if m["fence"] is not None:
@@ -141,41 +188,50 @@ def _zones(text: str) -> tuple[list[Node], str]:
             nodes.append(Node("markdown", "md.fence", (close is not None, bool(body.strip()), not m["info"].strip() or bool(re.fullmatch(r"[\w+#.{}=\-:, ]+", m["info"].strip()))), a, stop, [(a, stop, _indented(body))]))
         elif m["tag"]:
             tag = m["tag"].lower()
-            close = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
+            close = close_of(tag, rf"</{tag}\s*>", re.I)
             if not close:
                 continue
             stop, body = close.end(), text[at : close.start()]
             if tag in ("script", "style"):
-                put = ""
-            elif tag == "nowiki":
+                # its text is a node of its own: the tags go, and the text if it is no content
+                n = Node("html", "html.data", (True, True, True), a, stop, [(a, at, ""), (close.start(), stop, "")])
+                n.inner = (at, close.start())
+                nodes.append(n)
+                masks.append((a, stop))
+                at = stop
+                continue
+            if tag == "nowiki":
                 put = body
             else:
                 body = html.unescape(re.sub(r"</?[A-Za-z][^<>]*>", "", body))
                 put = _indented(body) if tag in ("pre", "syntaxhighlight", "textarea") or "\n" in body.strip() else body
             nodes.append(Node("wiki" if tag in ("nowiki", "syntaxhighlight") else "html", "html.code", (True, bool(body.strip()), True), a, stop, [(a, stop, put)]))
         elif m["comment"]:
-            end = text.find("-->", at)
-            if end < 0:
+            close = close_of("-->", "-->")
+            if not close:
                 continue
-            stop = end + 3
+            stop = close.end()
             nodes.append(Node("html", "html.comment", (True, True, True), a, stop, [(a, stop, "")]))
         elif m["env"]:
-            end = text.find(f"\\end{{{m['env']}}}", at)
-            if end < 0:
+            close = close_of(m["env"], re.escape(f"\\end{{{m['env']}}}"))
+            if not close:
                 continue
-            stop = end + len(m["env"]) + 6
-            nodes.append(Node("latex", "tex.verbatim", (True, True, True), a, stop, [(a, stop, _indented(text[at:end]))]))
+            stop = close.end()
+            nodes.append(Node("latex", "tex.verbatim", (True, True, True), a, stop, [(a, stop, _indented(text[at : close.start()]))]))
         elif m["delim"]:
-            end = text.find(m["delim"], at)
-            if end < 0 or "\n" in text[at:end]:
+            line = text.find("\n", at)
+            end = text.find(m["delim"], at, len(text) if line < 0 else line)
+            if end < 0:
                 continue
             stop = end + 1
             nodes.append(Node("latex", "tex.verbatim", (True, True, True), a, stop, [(a, stop, text[at:end])]))
         else:
             ticks = m["ticks"]
-            close = re.compile(rf"(?<!`){ticks}(?!`)").search(text, at)
+            k = bisect_left(blank, at)
+            end = blank[k] if k < len(blank) else len(text)
+            close = re.compile(rf"(?<!`){ticks}(?!`)").search(text, at, end)
             body = text[at : close.start()] if close else ""
-            if not close or not body.strip() or re.search(r"\n\s*\n", body):
+            if not close or not body.strip():
                 continue
             stop = close.end()
             # `word'' quotes of LaTeX are no code
@@ -237,7 +293,7 @@ def _candidates(text: str, t: str) -> Iterator[Node]:
     if "#" in t:
         for m in _ATX.finditer(t):
             a, b = m.span()
-            blank = not t[:a].rstrip(" \t") or t[:a].rstrip(" \t").endswith("\n\n") or t[max(0, a - 2) : a] == "\n\n"
+            blank = _after_blank_line(t, a)
             # the own hash signs go, a closing row too
             edits = [(m.start(2), m.end(3), "\n" * (a > 0 and not blank) + "§" * len(m[2]) + " ")]
             if m[5]:
@@ -248,7 +304,7 @@ def _candidates(text: str, t: str) -> Iterator[Node]:
             if _LIST_ITEM.match(m[2] + " ") or "\x00" * 3 in m[3]:
                 continue
             a = m.start()
-            blank = not t[:a].rstrip(" \t") or t[:a].endswith("\n\n") or t[:a].rstrip(" \t").endswith("\n\n")
+            blank = _after_blank_line(t, a)
             head = m.start(2)
             edits = [(head, head, "§" * (1 if m[3][0] == "=" else 2) + " "), (m.end(2), m.end(), "")]
             yield Node("markdown", "md.setext", (blank, len(m[3]) >= 3, not m[2].startswith("=")), a, m.end(), edits)
@@ -272,8 +328,12 @@ def _candidates(text: str, t: str) -> Iterator[Node]:
         for m in _TABLE_RULE.finditer(t):
             if "|" not in m[0] or "-" not in m[0]:
                 continue
-            before = t[: m.start()].rstrip("\n").rsplit("\n", 1)[-1]
-            after = t[m.end() + 1 :].split("\n", 1)[0]
+            end = m.start()
+            while end and t[end - 1] == "\n":
+                end -= 1
+            before = t[t.rfind("\n", 0, end) + 1 : end]
+            stop = t.find("\n", m.end() + 1)
+            after = t[m.end() + 1 : len(t) if stop < 0 else stop]
             yield Node("markdown", "md.table", ("|" in before, "|" in after, True), m.start(), m.end(), [(m.start(), min(len(t), m.end() + 1), "")] + _rows(t, m))
         if "{|" in t:
             for m in _WIKI_TABLE.finditer(t):
@@ -306,32 +366,62 @@ def _candidates(text: str, t: str) -> Iterator[Node]:
 
 
 def _tags(t: str) -> Iterator[Node]:
+    """Elements with both tags, and tags that stand alone."""
+    opened: list[tuple[str, re.Match[str]]] = []
+    waiting: dict[str, int] = defaultdict(int)
     for m in _TAG.finditer(t):
         a, b = m.span()
         if m[2] is None:
-            yield Node("html", "html.tag", (True, True, True), a, b, [(a, b, "")])
+            yield Node("html", "html.void", (True, True, True), a, b, [(a, b, "")])
             continue
         name = m[2].lower()
-        glued = a > 0 and t[a - 1].isalnum() and not m[1] and name not in ("br", "sup", "sub", "b", "i", "em", "strong", "span", "a", "wbr", "code")
-        put = ""
-        if name == "li" and not m[1]:
-            put = "" if t[:a].rstrip(" \t").endswith("\n") else "\n"
-            put += "- "
-        elif name in _BREAKS and re.fullmatch("h[1-6]", name) and not m[1]:
-            put = "§" * int(name[1]) + " "
-        elif name in ("br", "hr") or (name in _BREAKS and m[1] and b < len(t) and t[b] != "\n"):
-            put = "\n"
-        elif name in ("td", "th") and not m[1]:
-            put = "\t"
-        attributes = m[3].strip()
-        yield Node("html", "html.tag", (name in TAGS, not glued, not attributes or "=" in attributes or name in ("input", "option", "details", "script", "video")), a, b, [(a, b, put)])
+        if name in VOID or m[0].endswith("/>"):
+            yield Node("html", "html.void", _tag_bits(t, m), a, b, [(a, b, _tag_text(t, m))])
+        elif not m[1]:
+            opened.append((name, m))
+            waiting[name] += 1
+        elif not waiting[name]:
+            yield Node("html", "html.close", _tag_bits(t, m), a, b, [(a, b, _tag_text(t, m))])
+        else:
+            while True:
+                other, first = opened.pop()
+                waiting[other] -= 1
+                if other == name:
+                    break
+                yield Node("html", "html.open", _tag_bits(t, first), *first.span(), [(*first.span(), _tag_text(t, first))])
+            n = Node("html", f"html.{_GROUP.get(name, 'other')}", _tag_bits(t, first), first.start(), b, [(*first.span(), _tag_text(t, first)), (a, b, _tag_text(t, m))])
+            n.inner = (first.end(), a)
+            yield n
+    for _, m in opened:
+        yield Node("html", "html.open", _tag_bits(t, m), *m.span(), [(*m.span(), _tag_text(t, m))])
+
+
+def _tag_bits(t: str, m: re.Match[str]) -> tuple[bool, bool, bool]:
+    name, a, attributes = m[2].lower(), m.start(), m[3].rstrip("/").strip()
+    glued = a > 0 and t[a - 1].isalnum() and not m[1] and name not in ("br", "sup", "sub", "b", "i", "em", "strong", "span", "a", "wbr", "code")
+    return (name in TAGS, not glued, not attributes or "=" in attributes or name in ("input", "option", "details", "script", "video"))
+
+
+def _tag_text(t: str, m: re.Match[str]) -> str:
+    """What stands for a tag in the clean text."""
+    name, b = m[2].lower(), m.end()
+    if name == "li" and not m[1]:
+        return "- " if _first_on_line(t, m.start()) else "\n- "
+    if name in _BREAKS and re.fullmatch("h[1-6]", name) and not m[1]:
+        return "§" * int(name[1]) + " "
+    if name in ("br", "hr") or (name in _BREAKS and m[1] and b < len(t) and t[b] != "\n"):
+        return "\n"
+    return "\t" if name in ("td", "th") and not m[1] else ""
 
 
 def _links(t: str) -> Iterator[Node]:
     defined = {m[1].strip().lower() for m in _REFDEF.finditer(t)} if "]:" in t else set()
     glued = lambda m: m.start() > 0 and (t[m.start() - 1].isalnum() or t[m.start() - 1] in "_)]")
     if "](" in t:
-        for m in _LINK.finditer(t):
+        found = list(_LINK.finditer(t))
+        # an image may stand in a link's text
+        found += [i for m in found if "](" in m[2] for i in _LINK.finditer(t, m.start(2), m.end(2))]
+        for m in found:
             address = m[3].strip("<>")
             yield Node("markdown", "md.link", (bool(re.search(r"[/.#:]|^$", address)), not glued(m), True), m.start(), m.end(), [(m.start(), m.start(2), ""), (m.end(2), m.end(), "")])
     if "][" in t:
@@ -371,7 +461,8 @@ def _rows(t: str, rule: re.Match[str]) -> list[tuple[int, int, str]]:
     while a < len(t):
         b = t.find("\n", a)
         b = len(t) if b < 0 else b
-        if "|" not in t[a:b] or not t[a:b].strip():
+        # a further rule sees to the rows below it
+        if "|" not in t[a:b] or not t[a:b].strip() or _TABLE_RULE.match(t, a, b):
             break
         row(a, b)
         a = b + 1
@@ -447,12 +538,49 @@ def parse(text: str) -> list[Node]:
             stack.pop()
         (stack[-1].children if stack else top).append(n)
         stack.append(n)
+    for n in found:
+        if n.inner:
+            _add_texts(n, text)
     return top
 
 
+_INK = re.compile(r"\S")
+_PROSE = re.compile(r"[^\W\d_]{2,}[ \n]+[^\W\d_]{2,}")
+_CODE_SIGN = re.compile(r"[{};=]|\(\)|=>|//|/\*")
+
+
+def _add_texts(n: Node, text: str) -> None:
+    """The stretches of an element between its children become nodes, in their order."""
+    out: list[Node] = []
+    at, stop = n.inner
+    for c in [*n.children, None]:
+        end = stop if c is None else min(c.start, stop)
+        if end > at and _INK.search(text, at, end):
+            signs = sum(1 for _ in _CODE_SIGN.finditer(text, at, end))
+            out.append(Node("", "text", (bool(_PROSE.search(text, at, end)), signs * 40 < end - at, signs > 0), at, end, [(at, end, "")]))
+        if c is not None:
+            out.append(c)
+            at = max(at, c.end)
+    n.children = out
+
+
+def preorder(top: list[Node]) -> list[tuple[Node, int]]:
+    """All nodes with the place of their parent in the list (-1 below the page), parents first."""
+    out: list[tuple[Node, int]] = []
+    todo = [(n, -1) for n in reversed(top)]
+    while todo:
+        n, parent = todo.pop()
+        out.append((n, parent))
+        at = len(out) - 1
+        todo += [(c, at) for c in reversed(n.children)]
+    return out
+
+
 class Model:
     """Potentials of the tree: dialects, (type, state) below a dialect or a parent, evidence of a state."""
 
+    _TABLES = ("root", "below", "inside", "bit", "count")
+
     def __init__(self) -> None:
         self.root: dict[str, float] = defaultdict(lambda: 1.0)
         self.below: dict[tuple, float] = defaultdict(lambda: 0.05)
@@ -464,23 +592,34 @@ class Model:
         """Count a labelled page; spans: (start, end, kind) of what is markup in it."""
         self.root[dialect] += 1
 
-        def visit(nodes: list[Node], parent: tuple | None) -> None:
-            for n in nodes:
-                s = int(any(a <= n.start and n.end <= b and k == n.kind for a, b, k in spans))
-                if parent is None:
-                    self.below[dialect, n.type, s] += 1
-                else:
-                    self.inside[(*parent, n.type, s)] += 1
-                self.count[n.type, s] += 1
-                for i, x in enumerate(n.bits):
-                    self.bit[n.type, s, i, x] += 1
-                visit(n.children, (n.type, s))
-
-        visit(parse(text), None)
+        states: list[int] = []
+        nodes = preorder(parse(text))
+        for n, parent in nodes:
+            s = int(any(a <= n.start and n.end <= b and k == n.kind for a, b, k in spans))
+            states.append(s)
+            if parent < 0:
+                self.below[dialect, n.type, s] += 1
+            else:
+                self.inside[nodes[parent][0].type, states[parent], n.type, s] += 1
+            self.count[n.type, s] += 1
+            for i, x in enumerate(n.bits):
+                self.bit[n.type, s, i, x] += 1
+
+    def to_json(self) -> str:
+        return json.dumps({name: {json.dumps(k): v for k, v in sorted(getattr(self, name).items(), key=str)} for name in self._TABLES}, indent=0, ensure_ascii=False)
+
+    @classmethod
+    def from_json(cls, text: str) -> Model:
+        model = cls()
+        for name, entries in json.loads(text).items():
+            for k, v in entries.items():
+                key = json.loads(k)
+                getattr(model, name)[tuple(key) if isinstance(key, list) else key] = v
+        return model.freeze()
 
     def freeze(self) -> Model:
         """Plain tables, for pickling."""
-        for name in ("root", "below", "inside", "bit", "count"):
+        for name in self._TABLES:
             setattr(self, name, dict(getattr(self, name)))
         self.memo: dict = {}
         return self
@@ -519,53 +658,53 @@ class Model:
         """Set each node's probability of being markup; returns the dialects' probabilities."""
         prior = [self.root.get(d, 1.0) for d in DIALECTS]
 
-        lam: dict[int, tuple[float, float]] = {}
-
-        def upward(n: Node) -> tuple[float, float]:
-            a, b = self.evidence(n)
-            for c in n.children:
-                u, v = upward(c)
-                x0, y0 = self.edge((n.type, 0), c.type)
-                x1, y1 = self.edge((n.type, 1), c.type)
-                a *= u * x0 + v * y0
-                b *= u * x1 + v * y1
-            z = a + b
-            r = lam[id(n)] = (a / z, b / z)
-            return r
-
+        nodes = preorder(top)
+        # upward: what the subtree of each node says of its two states
+        score = [list(self.evidence(n)) for n, _ in nodes]
+        lam: list[tuple[float, float]] = [(0.0, 0.0)] * len(nodes)
         belief = [math.log(p) for p in prior]
-        messages = []
-        for n in top:
-            u, v = upward(n)
-            m = [u * x + v * y for x, y in self.root_edge(n.type)]
-            messages.append(m)
-            belief = [b + math.log(x) for b, x in zip(belief, m, strict=True)]
+        messages: dict[int, list[float]] = {}
+        for i in range(len(nodes) - 1, -1, -1):
+            n, parent = nodes[i]
+            a, b = score[i]
+            z = a + b
+            u, v = lam[i] = (a / z, b / z)
+            if parent < 0:
+                m = messages[i] = [u * x + v * y for x, y in self.root_edge(n.type)]
+                belief = [b + math.log(x) for b, x in zip(belief, m, strict=True)]
+                continue
+            kind = nodes[parent][0].type
+            for s in (0, 1):
+                x, y = self.edge((kind, s), n.type)
+                score[parent][s] *= u * x + v * y
+            if min(score[parent]) < 1e-200:  # many children: only the ratio counts
+                top_score = max(score[parent])
+                score[parent] = [max(w / top_score, 1e-100) for w in score[parent]]
         high = max(belief)
         p = [math.exp(b - high) for b in belief]
         z = sum(p)
         p = [x / z for x in p]
 
-        def downward(n: Node, pi: tuple[float, float]) -> None:
-            u, v = lam[id(n)]
-            a, b = pi[0] * u, pi[1] * v
-            n.marginal = b / (a + b)
-            for c in n.children:
-                cu, cv = lam[id(c)]
-                q0 = q1 = 0.0
-                for s, mine in ((0, a), (1, b)):
-                    x, y = self.edge((n.type, s), c.type)
-                    w = mine / (cu * x + cv * y)
+        # downward: what everything else says
+        own: list[tuple[float, float]] = [(0.0, 0.0)] * len(nodes)
+        for i, (n, parent) in enumerate(nodes):
+            u, v = lam[i]
+            q0 = q1 = 0.0
+            if parent < 0:
+                for d, (x, y) in enumerate(self.root_edge(n.type)):
+                    w = p[d] / messages[i][d]
                     q0 += w * x
                     q1 += w * y
-                downward(c, (q0, q1))
-
-        for n, m in zip(top, messages, strict=True):
-            q0 = q1 = 0.0
-            for d, (x, y) in enumerate(self.root_edge(n.type)):
-                w = p[d] / m[d]
-                q0 += w * x
-                q1 += w * y
-            downward(n, (q0, q1))
+            else:
+                kind = nodes[parent][0].type
+                for s in (0, 1):
+                    x, y = self.edge((kind, s), n.type)
+                    w = own[parent][s] / (u * x + v * y)
+                    q0 += w * x
+                    q1 += w * y
+            a, b = q0 * u, q1 * v
+            own[i] = (a / (a + b), b / (a + b))
+            n.marginal = own[i][1]
         return p
 
 
@@ -583,21 +722,19 @@ def analyse(text: str, model: Model, formulas: bool = True) -> list[Node]:
         return []
     model.marginals(top)
     out: list[Node] = []
-
-    def visit(nodes: list[Node]) -> None:
-        for n in nodes:
-            if n.marginal > 0.5:
-                out.append(n)
-                if not formulas and n.type in ("tex.dollar", "tex.display", "tex.formula"):
-                    continue
-            visit(n.children)
-
-    visit(top)
+    left_out: set[int] = set()
+    for i, (n, parent) in enumerate(preorder(top)):
+        if parent in left_out:
+            left_out.add(i)
+        elif n.marginal > 0.5:
+            out.append(n)
+            if not formulas and n.type in ("tex.dollar", "tex.display", "tex.formula"):
+                left_out.add(i)
     return out
 
 
 def kinds(text: str, model: Model) -> list[str]:
-    return sorted({n.kind for n in analyse(text, model)})
+    return sorted({n.kind for n in analyse(text, model)} - {""})
 
 
 def clean(text: str, model: Model) -> str:
@@ -618,15 +755,10 @@ def clean(text: str, model: Model) -> str:
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 1500, seed: int = 5) -> Model:
-    """A model counted on labelled pages (see ``markup_pages``)."""
-    from sedimenta.llm.markup_pages import page
-
-    rng = random.Random(seed)
-    model = Model()
-    for _ in range(pages):
-        model.learn(*page(rng))
-    return model.freeze()
+def trained() -> Model:
+    """The model that ``markup_pages`` counted and wrote beside this module."""
+    with open(os.path.join(os.path.dirname(__file__), "markup_weights.json")) as f:
+        return Model.from_json(f.read())
 
 
 def _each(df: DataFrame, key: str, text: str) -> DataFrame:

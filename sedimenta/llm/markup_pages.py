@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 _WORDS = """river stone garden signal harbour paper window morning copper engine ladder meadow winter basket candle mirror
@@ -13,7 +14,7 @@ _LITERALS = (
     "between $5 and $12 a day", "files are in C:\\temp\\new\\table", "the pattern \\d+\\s* matches", "\\w+ or \\bword\\b", "R&D and a && b", "x == 4 & y == 5",
     "snake_case_name and other_name_x", "_private_name in some_module_x", "2 * 3 * 4 = 24", "*.py, *.c and *.h", "f(**kwargs, **opts)", "a[i][j] = b[k]", "see [5] and [12]",
     "x = '' or y = ''", "it's the dogs' bowl", "[[ -z x ]] && exit", "[[1, 2], [3, 4]]", "{{ 1, 2 }, { 3, 4 }}", "cost ~ 5 ~ 6", "a | b | c", "<user@host> wrote", "-> and <-", "a ~= b ~~ c",
-    "100% & more; rest", "AT&T; and so on", "__init__.py and __main__", "3 > 2 > 1", "-----", "***", "- [ ] open task", "> quoted line", "1) first", "* item", "=====", "&x; &yy", "${{ name }}", "\\(group\\) in a pattern", "#12 is fixed", "! not [x](y z)",
+    "100% & more; rest", "AT&T; and so on", "__init__.py and __main__", "3 > 2 > 1", "-----", "***", "- [ ] open task", "> quoted line", "1) first", "* item", "=====", "&x; &yy", "${{ name }}", "Pair<Key> of a Box<Item> is open", "class <Name> or <T>", "<path> is a file and <n> a number", "List<T>item</T>", "use <version> here", "\\(group\\) in a pattern", "#12 is fixed", "! not [x](y z)",
 )
 
 
@@ -53,7 +54,51 @@ class _Page:
                 self.put(self.rng.choice(_LITERALS) + " ")
             self.put(self.words(1, 4) + self.rng.choice(".?!;") + " ")
 
+    def element(self, depth: int = 0) -> str:
+        """HTML as pages have it: elements in elements, with text between them."""
+        r, w = self.rng, self.words(1, 4)
+        x = r.random()
+        if depth > 3 or x < 0.25:
+            return r.choice((w, w, f"{w}; {self.words(2, 9)}.", f"{w} = {r.randint(1, 99)};", f"{w}() and {self.words(1, 3)}", f"{w} // {w}", f"<b>{w}; {w}</b>", f"<b>{w}</b>", f"<em>{w}</em> {self.words(1, 3)}", f'<a href="/p/{r.randint(1, 99)}">{w}</a>', f"{w}<br>{self.words(1, 2)}", f"<code>{w}</code>", f'<img src="a.png" alt="{w}">', "<br />", f'<input type="text" name="{w.split()[0]}" />', f"{w} &amp; {self.words(1, 2)}", f"<span>{w}</span>"))
+        inner = [self.element(depth + 1) for _ in range(r.randint(1, 3))]
+        if x < 0.5:
+            name = r.choice(("div", "p", "section", "article", "blockquote", "main", "header", "footer", "nav", "center"))
+            attributes = r.choice(("", "", f' class="{w.split()[0]}"', f' id="n{r.randint(1, 9)}"', ' align="center"'))
+            return f"<{name}{attributes}>" + r.choice(("\n", "", "  ")).join(inner) + f"</{name}>"
+        if x < 0.7:
+            items = "".join(f"<li>{i}{r.choice(('</li>', '</li>', ''))}" + r.choice(("\n", "")) for i in inner)
+            name = r.choice(("ul", "ol"))
+            return f"<{name}>{items}</{name}>"
+        if x < 0.85:
+            rows = "".join("<tr>" + "".join(f"<{c}>{i}</{c}>" for i in inner) + "</tr>" for c in ("th", "td"))
+            return f"<table>{rows}</table>"
+        return f"<h{r.randint(1, 5)}>{w}</h{r.randint(1, 5)}>" + "\n".join(inner) if r.random() < 0.3 else (lambda k: f"<h{k}>{w}</h{k}>\n" + "\n".join(inner))(r.randint(1, 5))
+
+    def script(self) -> None:
+        """A script or style sheet, whose text is no content."""
+        r, w = self.rng, self.words(1, 1)
+        name = r.choice(("script", "style"))
+        body = r.choice((f"var {w} = {{a: 1}};\nfunction go() {{ return {w}; }}", f"window.{w} = window.{w} || [];")) if name == "script" else f".{w} {{ color: red; margin: 0 }}\nbody {{ font: {w} }}"
+        start = len(self.text)
+        self.put(f"<{name}>{body}</{name}>", "html")
+        self.spans.append((start + len(name) + 2, len(self.text) - len(name) - 3, ""))
+
+    def wrapped(self, kind: str) -> None:
+        """Markup of another kind within an element."""
+        a, b = self.rng.choice((("<details>\n", "\n</details>"), ("<div>\n\n", "\n\n</div>"), ("<b>", "</b>"), ("<p>", "</p>"), ("<li>", "</li>"), ("<blockquote>\n", "\n</blockquote>"), ("<td>", "</td>"), ("<span>", "</span>")))
+        start = len(self.text)
+        self.text += a
+        self.sentence([kind, kind, "html"], 0.05)
+        self.text = self.text.rstrip() + b
+        self.spans.append((start, len(self.text), "html"))
+
     def block(self, kind: str) -> None:
+        if kind == "html" and self.rng.random() < 0.5:
+            if self.rng.random() < 0.15:
+                self.script()
+            else:
+                self.put(self.element(), kind)
+            return
         r, w = self.rng, self.words(1, 3).capitalize()
         x = r.random()
         code = f"x = {w.split()[0]}[1]\nif a < b: return '''{w}''' # {w}"
@@ -83,7 +128,10 @@ def page(rng: random.Random) -> tuple[str, str, list[tuple[int, int, str]]]:
     literals = 0.5 if dialect == "plain" else 0.12
     for _ in range(rng.randint(1, 6)):
         if own and rng.random() < 0.5:
-            p.block(dialect)
+            if dialect != "html" and rng.random() < 0.1:
+                p.wrapped(dialect)
+            else:
+                p.block(dialect)
         elif rng.random() < 0.15:
             p.put(rng.choice(_LITERALS))
         else:
@@ -95,3 +143,17 @@ def page(rng: random.Random) -> tuple[str, str, list[tuple[int, int, str]]]:
     if p.refs:
         p.put("[ref]: https://x.example/p", "markdown")
     return dialect, p.text, p.spans
+
+
+def main(pages: int = 4000, seed: int = 5) -> None:
+    from sedimenta.llm.markup import Model
+
+    rng, model = random.Random(seed), Model()
+    for _ in range(pages):
+        model.learn(*page(rng))
+    with open(os.path.join(os.path.dirname(__file__), "markup_weights.json"), "w") as out:
+        out.write(model.to_json())
+
+
+if __name__ == "__main__":
+    main()

@@ -302,15 +302,8 @@ class TestMarkup:
         import itertools
 
         model = M.trained()
-        top = M.parse("a **b <b>c</b>** and ''d'' &amp; x")
-        flat = []
-
-        def walk(ns, parent):
-            for n in ns:
-                flat.append((n, parent))
-                walk(n.children, len(flat) - 1)
-
-        walk(top, None)
+        top = M.parse("a **b <b>c</b>** and ''d'' &amp; <p>x <i>y</i></p>")
+        flat = [(n, None if parent < 0 else parent) for n, parent in M.preorder(top)]
         weight = np.zeros((len(flat), 2))
         for d in range(len(M.DIALECTS)):
             for states in itertools.product((0, 1), repeat=len(flat)):

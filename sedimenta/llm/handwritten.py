@@ -6,8 +6,9 @@ its head and the hashes of its longer lines. Profiles are added up by file.
 Vendored copies are known by a folder or note that names another project; copies without one, edited
 ones too, by an inverted index: for every line hash the projects that hold it. The rarest lines of a file
 choose the projects it is compared with; containment counts all of the file's lines. Folders and notes
-tell which of two projects has the copy. Files too short to tell stay with their project. The remaining files are judged by composition: notes of tools, lock files, runs of
-numbered statements, dense lines, literals.
+tell which of two projects has the copy, else the times of the files. Files too short to tell stay with
+their project. The remaining files are judged by composition: notes of tools, lock files, runs of numbered
+statements, long lines of short names and signs, literals.
 """
 
 from __future__ import annotations
@@ -17,17 +18,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.sources.shared import checkpoint
+from sedimenta.sources.shared import checkpoint, put_shared_file
 from sedimenta.sources.tables import spread, table
 
 #: A line counts for containment from so many characters on.
 LINE_CHARS = 12
 #: Containment that makes a copy, and the lines a file needs for it.
 CONTAINMENT, COPY_LINES = 0.6, 15
+#: Lines that a copy needs of which nothing says that it is one.
+SILENT_LINES = 30
+#: Size of the filter that lets lines of several projects pass (16 MB).
+FILTER_BITS = 27
 #: Share of a file that decides its kind, and the least amount of characters of literals.
 SHARE, DATA_CHARS = 0.5, 600
 #: Numbered statements in a row that nobody writes by hand; fewer suffice where the path speaks of generation.
@@ -35,19 +42,35 @@ RUN_LINES, RUN_LINES_NAMED = 8, 3
 #: Lines at the head of a file in which a note of its origin is looked for.
 HEAD_LINES = 40
 
+# A note of origin is a sentence about the file itself: a marker, a subject with a verb of making, such a
+# verb with who or what made it, or an order not to edit beside such a verb.
+_MADE = r"(?:auto-?)?generated|produced|emitted|machine[- ](?:written|generated|made)|compiled|transpiled"
+_BY = r"(?:automatically|by machine|mechanically|programmatically|by(?! hand)|from|with|using|via|on|at|in|through)"
 _NOTE = re.compile(
-    r"(?:@generated\b|<auto-?generated\b|auto-?generated\b|(?:this |the )?(?:file|code|source|module)?(?: was| is|:)? ?(?:has been )?"
-    r"(?:automatically |machine[- ])?(?:generated|produced automatically|machine[- ]written)\b"
-    r"|generator: \S+; source: |note: machine[- ](?:written|generated)|output of \S+ \S+.*(?:do not|don't) (?:modify|edit)"
-    r"|(?:diese )?datei wurde .*(?:erzeugt|generiert)|fichier (?:auto-?)?généré|(?:este )?archivo (?:fue )?generado|code generated by|regenerate (?:this file )?(?:with|by|using) )",
+    r"@generated\b|<?auto-?generated>|auto-?generated(?:\s*$|[\s:;,.\-]+(?:file|code|by|from|with|using|do not|don't|on|at)\b|\s*[.:;\-]\s*)"
+    # this file was ... generated
+    rf"|(?:this|the) (?:file|code|source|module|header|class|script|document|page|content)s?(?: here)?(?: was| is|'s| has been| gets)(?: \w+ly)? (?:(?:auto-?|machine[- ])?generated|(?:{_MADE}) {_BY})\b"
+    # generated by, code generated from, machine written.
+    rf"|(?:(?:file|code|source|module|parser|bindings?|stubs?) )?(?:automatically |machine[- ])?generated(?: automatically)?(?: {_BY}\b|\s*[:;.]|\s*$)|machine[- ](?:written|generated|made)\b(?! (?:files?|code)\b)"
+    rf"|(?:file |code )?(?:produced|emitted|compiled|transpiled|built|created|written) (?:automatically|mechanically|programmatically|by machine)\b"
+    r"|generator: \S+; source: |note: (?:this is )?machine[- ](?:written|generated)|output of \S+ \S+.*(?:do not|don't|never) (?:modify|edit|change|touch)|regenerate (?:this file |it |me )?(?:with|by|using|via) "
+    r"|(?:do not|don't) (?:edit|modify|change|touch)\b.*\b(?:generated|generator|overwritten|regenerated)|[\w ]*\bgenerated\b.*\b(?:do not|don't) (?:edit|modify|change|touch)\b"
+    # other languages
+    r"|(?:diese )?datei (?:wurde|wird|ist) .*(?:erzeugt|generiert)|automatisch (?:erzeugt|generiert)|(?:ce )?fichier (?:est |a été )?(?:automatiquement )?(?:auto-?)?(?:généré|produit)\b|(?:este )?archivo (?:fue |es |ha sido )?(?:generado|producido)\b",
     re.I,
 )
 _COMMENT = re.compile(r"[\s/*#;%\-(<!]*")
+# Sentences that say whose the file is, in the words that licences and copiers use.
+_HOLDERS = r"authors|contributors|developers|project|team|maintainers|community|foundation"
 _FOREIGN = re.compile(
-    r"(?:\(c\)|copyright)(?: \d[\d, -]*)? the (\S+) (?:authors|contributors|developers|project)|licen[cs]e: see the (\S+) sources"
-    r"|original authors: see ([^/\s]+)/|copied from (\S+) |bundled copy of (?:the )?(\S+) |(?:taken|imported) (?:verbatim )?(?:out of|from) (?:the )?(\S+) project|upstream=(\S+)",
+    rf"(?:\(c\)|©|copyright)(?: \(c\)| ©)?(?: \d[\d, \-–]*)?(?: by)? the (\S+) (?:{_HOLDERS})\b|licen[cs]e: see (?:the )?(\S+) sources?\b"
+    rf"|original (?:authors?|source|version|code): (?:see )?([^/\s]+)/|(?:copied|adapted|derived|vendored|forked|ported) (?:verbatim )?from (?:the )?(\S+) "
+    r"|bundled copy of (?:the )?(\S+) |(?:taken|imported|lifted|borrowed) (?:verbatim )?(?:out of|from) (?:the )?(\S+) project|upstream\s*[=:]\s*(\S+)",
     re.I,
 )
+#: The kept comment with which a library is distributed: its name, a version, and a note of rights near it.
+_BANNER = re.compile(r"\A\s*(?:/\*!|/\*\*?\s*@(?:license|preserve))[\s*]*(?:@(?:license|preserve)\s+)?([A-Za-z@][\w.\-/]*)(?: [\w.\-]+){0,4}?,? v?\d+\.\d+(?:\.\d+)*\b", re.I)
+_RIGHTS = re.compile(r"\(c\)|©|copyright|licen[cs]e", re.I)
 _FOLDER = re.compile(
     r"(?:^|/)(?:vendor|_vendor|third_party|third-party|thirdparty|3rdparty|node_modules|bower_components|deps|subprojects|external|extern"
     r"|contrib/bundled|bundled|Godeps/_workspace)/(?:src/)?([^/]+)/|(?:^|/)(?:vendor|_vendor|third_party|thirdparty|node_modules)/([^/]+)$"
@@ -65,6 +88,7 @@ _LEGAL = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|unlicense)[^/]*$"
 _NUMBER = re.compile(r"\d+")
 _NAMED = re.compile(r"\d+|[^\W\d_]+")
 _LITERAL = re.compile(r"(?:[\s\[\](){},;:.+\-]|0[xX][0-9a-fA-F]+|\b\d[\d_.eE]*[uUlLfF]*|\"[^\"\w]*[0-9A-Fa-f]{2,}\"|\"[A-Za-z0-9+/=_-]{24,}\"|'[A-Za-z0-9+/=_-]{24,}'|\\x[0-9a-fA-F]{2})+")
+_TOKEN = re.compile(r"(?P<word>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<string>\"[^\"\n]*\"|'[^'\n]*')")
 _BLOB = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 #: Languages whose files are lists of settings; numbered runs are no sign there.
 SETTINGS = frozenset({"json", "yaml", "yml", "toml", "nix", "ini", "cfg", "sh", "md", "txt", "tex", "cabal"})
@@ -88,6 +112,12 @@ def foreign_packages(repo_path: str | None, file_path: str | None, head: str) ->
         name = next(g for g in m.groups() if g).strip(".,;:()'\"")
         if name != own:
             found.append(name)
+    m = _BANNER.match(head)
+    if m and _RIGHTS.search(head[:1500]):
+        plain = lambda x: re.sub(r"(?:[.\-]?js)$|[^a-z0-9]", "", x.lower().rsplit("/", 1)[-1])
+        name = plain(m[1])
+        if name and name not in plain(own) and plain(own) not in name:
+            found.append(m[1])
     return sorted(set(found))
 
 
@@ -113,6 +143,28 @@ def _numbered(lines: list[str]) -> int:
     return longest
 
 
+def composition(line: str) -> str | None:
+    """What a long line with few blanks is made of: "dense" code (short names, signs), "data", or None (a path, prose)."""
+    n = len(line)
+    words = short = named = numbers = strings = 0
+    for m in _TOKEN.finditer(line):
+        size = m.end() - m.start()
+        if m.lastgroup == "word":
+            words, short, named = words + 1, short + (size <= 3), named + size
+        elif m.lastgroup == "number":
+            numbers += size
+        else:
+            strings += size
+    signs = n - named - numbers - strings - line.count(" ")
+    # a path has one kind of sign, code has many
+    varied = sum(1 for c in set(line) if not c.isalnum() and c != " ") >= 4
+    if words and varied and (short >= 0.3 * words or words >= 8) and signs >= 0.08 * n:
+        return "dense"
+    if numbers + strings >= 0.6 * n or words <= 1 and n >= 200:
+        return "data"
+    return "dense" if varied and signs >= 0.2 * n else None
+
+
 def profile(repo_path: str | None, file_path: str | None, chunk_index: int | None, text: str) -> dict:
     """What one chunk tells about its file."""
     lines = text.split("\n")
@@ -124,7 +176,7 @@ def profile(repo_path: str | None, file_path: str | None, chunk_index: int | Non
     for x in full:
         s = x.strip()
         n = len(s)
-        if n >= 200 and s.count(" ") < 0.1 * n:
+        if n >= 200 and s.count(" ") < 0.1 * n and composition(s) == "dense":
             dense += n
         lit = _LITERAL.match(s)
         if lit and lit.end() >= 0.9 * n and any(c.isdigit() for c in s):
@@ -176,7 +228,47 @@ def _project(name: Column) -> Column:
     return F.xxhash64(F.lower(name))
 
 
-def copied_files(found: DataFrame) -> DataFrame:
+def _only_known(files: DataFrame, known: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``files`` with ``hashes`` thinned to those that a Bloom filter of ``known`` (line) passes.
+
+    The filter has a fixed size (2 ** bits bits), which is what comes to the driver and goes to the workers;
+    where very many lines are known it passes more, and the join behind it still decides.
+    """
+    mask, page = (1 << bits) - 1, 1 << 16
+    place = F.explode(F.array(F.col("line").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("line", 33).bitwiseAND(F.lit(mask))))
+
+    def bitmap(t: pa.Table) -> pa.Table:
+        at = t.column("at").to_numpy()
+        one = np.zeros(page, bool)
+        one[at % page] = True
+        return pa.table({"page": pa.array([int(at[0]) // page], pa.int64()), "bits": pa.array([np.packbits(one, bitorder="little").tobytes()], pa.binary())})
+
+    pages = known.select(place.alias("at")).groupBy(F.floor(F.col("at") / page).alias("page")).applyInArrow(bitmap, "page long, bits binary")
+    whole = np.zeros(((1 << bits) // page, page // 8), np.uint8)
+    for r in pages.toLocalIterator():
+        whole[r.page] = np.frombuffer(r.bits, np.uint8)
+    name = put_shared_file(files.sparkSession, whole.tobytes(), ".bloom")
+    columns = [c for c in files.columns if c != "hashes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.memmap(SparkFiles.get(name), np.uint8, "r")
+
+        def there(h: np.ndarray) -> np.ndarray:
+            return (full[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+
+        for batch in batches:
+            lists = batch.column(len(columns))
+            h = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ok = there(h & mask) & there((h.view(np.uint64) >> np.uint64(33)).view(np.int64) & mask)
+            ends = np.concatenate([[0], np.cumsum(ok)])[np.concatenate([[0], np.cumsum(sizes)])]
+            thin = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[ok], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], thin], names=[*columns, "hashes"])
+
+    return files.select(*columns, "hashes").mapInArrow(run, files.select(*columns, "hashes").schema)
+
+
+def copied_files(found: DataFrame, times: DataFrame | None = None) -> DataFrame:
     """fid of files of which most lines stand in one other project, and that are the copy of the two.
 
     ``found``: profiles with fid and rid, hashes of the file's and the repository's name. Every line of
@@ -188,7 +280,9 @@ def copied_files(found: DataFrame) -> DataFrame:
 
     Where lines are shared, the announcements tell the copy. A file of project A that P contains is the
     copy if announced copies of P contain it, if a file of A names P, or if P is named anywhere and A is
-    not; but never if P names A and A doesn't name P. Without any announcement neither counts as a copy.
+    not; but never if P names A and A doesn't name P. Where nothing is announced, a file of at least
+    SILENT_LINES lines is a copy if most of the lines stood in P before it (``times``: fid and file_time, the
+    least known time of the file); of equal or unknown times neither is one.
     """
     own = _project(F.col("own"))
     # a note in a file's head holds for all of its chunks
@@ -196,13 +290,22 @@ def copied_files(found: DataFrame) -> DataFrame:
     said = F.col("of").isNotNull()
     packages = F.when(said, F.col("of")).otherwise(F.array(own))
     compared = found.where(~F.coalesce(F.col("file_path").rlike(_LEGAL), F.lit(False)))
-    lines = compared.join(notes, "fid", "left").select("fid", "rid", own.alias("own"), said.alias("said"), F.explode(packages).alias("package"), "hashes")
-    lines = lines.select("fid", "rid", "own", "said", "package", F.explode("hashes").alias("line"))
-    shared = lines.groupBy("line").agg(F.min("package").alias("a"), F.max("package").alias("b"), F.count("*").alias("n")).where("a != b")
-    lines = checkpoint(found.sparkSession, lines.join(shared.select("line", "n"), "line"))
+    if times is not None:
+        compared = compared.join(times, "fid", "left")
+    else:
+        compared = compared.withColumn("file_time", F.lit(None).cast("long"))
+    files = compared.join(notes, "fid", "left").select("fid", "rid", own.alias("own"), said.alias("said"), "file_time", packages.alias("packages"), "hashes")
+
+    def posted(some: DataFrame) -> DataFrame:
+        return some.select("fid", "rid", "own", "said", "file_time", F.explode("packages").alias("package"), "hashes").withColumn("line", F.explode("hashes")).drop("hashes")
+
+    shared = posted(files).groupBy("line").agg(F.min("package").alias("a"), F.max("package").alias("b"), F.count("*").alias("n")).where("a != b")
+    shared = checkpoint(found.sparkSession, shared.select("line", "n"))
+    # lines of one project only, nearly all there are, leave before the files' lines are shuffled
+    lines = checkpoint(found.sparkSession, posted(_only_known(files, shared)).join(shared, "line"))
 
     # files that may be copies: enough of their lines stand in several projects
-    plain = lines.where(~F.col("said")).groupBy("fid", "line").agg(F.first("rid").alias("rid"), F.first("own").alias("own"), F.first("n").alias("n"))
+    plain = lines.where(~F.col("said")).groupBy("fid", "line").agg(F.first("rid").alias("rid"), F.first("own").alias("own"), F.first("n").alias("n"), F.first("file_time").alias("file_time"))
     some = plain.groupBy("fid").agg(F.count("*").alias("held")).where(F.col("held") >= CONTAINMENT * COPY_LINES)
     total = found.join(some, "fid").select("fid", "held", F.explode("hashes").alias("line")).distinct().groupBy("fid", "held").agg(F.count("*").alias("total"))
     total = total.where((F.col("total") >= COPY_LINES) & (F.col("held") >= CONTAINMENT * F.col("total")))
@@ -212,16 +315,18 @@ def copied_files(found: DataFrame) -> DataFrame:
     # a posting remembers one repository that holds it, or that there are several; of announced copies too
     rid = F.when(F.col("said"), F.col("rid"))
     postings = lines.groupBy("line", "package").agg(
-        F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min(rid).alias("said_lo"), F.max(rid).alias("said_hi")
+        F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min(rid).alias("said_lo"), F.max(rid).alias("said_hi"), F.min("file_time").alias("since")
     )
     postings = postings.join(asked.select("line").distinct(), "line", "left_semi")
     rarest = asked.withColumn("r", F.row_number().over(Window.partitionBy("fid").orderBy("n", "line"))).where(F.col("r") <= F.col("first"))
     elsewhere = (F.col("package") != F.col("own")) & ((F.col("lo") != F.col("rid")) | (F.col("hi") != F.col("rid")))
     pairs = rarest.join(postings, "line").where(elsewhere).select("fid", "package").distinct()
     announced = F.coalesce((F.col("said_lo") != F.col("rid")) | (F.col("said_hi") != F.col("rid")), F.lit(False))
+    # +1 for a line that the other project had before this file, -1 for one that it got later
+    earlier = F.coalesce(F.signum(F.col("file_time") - F.col("since")), F.lit(0))
     held = (
         asked.drop("held").join(pairs, "fid").join(postings, ["line", "package"]).where(elsewhere)
-        .groupBy("fid", "own", "package", "total").agg(F.count("*").alias("held"), F.sum(announced.cast("int")).alias("held_said"))
+        .groupBy("fid", "own", "package", "total").agg(F.count("*").alias("held"), F.sum(announced.cast("int")).alias("held_said"), F.sum(earlier).alias("earlier"))
         .where(F.col("held") >= CONTAINMENT * F.col("total"))
     )
 
@@ -234,7 +339,9 @@ def copied_files(found: DataFrame) -> DataFrame:
         .join(known.select(F.col("of").alias("own"), F.lit(True).alias("own_known")), "own", "left")
     )
     one_way = F.col("back").isNull() & ((F.col("held_said") >= CONTAINMENT * F.col("total")) | (F.col("package_known").isNotNull() & F.col("own_known").isNull()))
-    return side.where(F.col("forth").isNotNull() | one_way).select("fid").distinct()
+    unsaid = F.col("forth").isNull() & F.col("back").isNull() & F.col("package_known").isNull() & F.col("own_known").isNull() & (F.col("held_said") == 0)
+    later = F.col("earlier") > 0
+    return side.where(F.col("forth").isNotNull() | one_way | (unsaid & (F.col("total") >= SILENT_LINES) & later)).select("fid").distinct()
 
 
 def not_handwritten(chunks: DataFrame) -> DataFrame:
@@ -243,11 +350,14 @@ def not_handwritten(chunks: DataFrame) -> DataFrame:
     The first reason in the order vendored, generated, minified, data is given. All rows of a file are
     taken together, rows delivered again included (shares stay the same). A null path is a value of its
     own; null and empty contents tell nothing, so a file of such only is judged by its path. An empty
-    table gives no rows.
+    table gives no rows. ``file_mtime`` may be absent.
     """
     named = profiles(chunks).withColumn("fid", F.xxhash64("repo_path", "file_path", F.isnull("repo_path"))).withColumn("rid", F.xxhash64("repo_path"))
     found = checkpoint(chunks.sparkSession, named)
-    copies = copied_files(found).withColumn("copied", F.lit(True))
+    times = None
+    if "file_mtime" in chunks.columns:
+        times = chunks.groupBy(F.xxhash64("repo_path", "file_path", F.isnull("repo_path")).alias("fid")).agg(F.min("file_mtime").alias("file_time"))
+    copies = copied_files(found, times).withColumn("copied", F.lit(True))
     sums = found.groupBy("repo_path", "file_path", "fid").agg(
         *[F.sum(c).alias(c) for c in ("chars", "lines", "dense", "data")],
         F.max("numbered").alias("numbered"),
@@ -267,7 +377,7 @@ def not_handwritten(chunks: DataFrame) -> DataFrame:
 
 def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are not hand-written, with the reason."""
-    return not_handwritten(table(spark, sf_dir, "code_chunks", "repo_path", "file_path", "chunk_index", "content"))
+    return not_handwritten(table(spark, sf_dir, "code_chunks", "repo_path", "file_path", "chunk_index", "content", "file_mtime"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

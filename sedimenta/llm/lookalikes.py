@@ -8,8 +8,9 @@ A text is brought to its canonical form in three steps, all of which keep what t
    composed (NFC). Quick-check properties isolate the unstable segments first: a character that is
    inert under composition and is no such form is stable, so only runs of other characters, with the
    starter before and the character after them, are normalised and spliced into the unchanged text.
-3. Look-alike letters of Latin, Greek and Cyrillic become one letter: within a word the script that
-   owns a letter without a twin decides (Latin if none does).
+3. Look-alike letters of Latin, Greek, Cyrillic, Armenian, Cherokee and Lisu become one letter: within a
+   word the script that owns a letter without a twin decides (Latin if none does). Latin letters that are
+   drawn as others, and signs that are drawn as ASCII ones, are replaced wherever they stand.
 """
 
 from __future__ import annotations
@@ -26,35 +27,58 @@ from pyspark.sql import functions as F
 from sedimenta.sources.shared import checkpoint
 from sedimenta.sources.tables import spread, table
 
-# Letters of Greek and Cyrillic that are drawn like a Latin letter.
+# Letters of other scripts that are drawn like a Latin letter, and that letter below each.
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ"
 GREEK_AS = "ABEZHIKMNOPTYXocj"
 CYRILLIC = "АВЕЅІЈКМНОРСТХаеорсухѕіјһԁԛԝ"
 CYRILLIC_AS = "ABESIJKMHOPCTXaeopcyxsijhdqw"
+ARMENIAN = "ՍՕՏԼհոսցօզ"
+ARMENIAN_AS = "UOSLhnugoq"
+CHEROKEE = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ"
+CHEROKEE_AS = "ABCDEGHJKLMPRSTVWZ"
+LISU = "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ"
+LISU_AS = "ABCDEFGHIJKLMNOPRSTUVWXYZ"
+#: Latin letters drawn like others, and signs drawn like ASCII signs.
+SAME = "ɑɡƖǀꓸꞌʼʹ․∶꞉ː։∕⁄ǃꜝ"
+SAME_AS = "aglI.’’'.:::://!!"
 #: Hyphens that are drawn like the hyphen-minus.
 HYPHENS = "\u2010\u2011"
 #: Characters without a glyph (format controls, soft hyphen, fillers, variation selectors).
 INVISIBLE = r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb\U000e0000-\U000e0fff"
 
-_TWIN = dict(zip(GREEK, GREEK_AS, strict=True)) | dict(zip(CYRILLIC, CYRILLIC_AS, strict=True))
+_SCRIPTS = {
+    "\u0370-\u03ff": dict(zip(GREEK, GREEK_AS, strict=True)), "\u0400-\u052f": dict(zip(CYRILLIC, CYRILLIC_AS, strict=True)), "\u0531-\u0587": dict(zip(ARMENIAN, ARMENIAN_AS, strict=True)),
+    "\u13a0-\u13f5": dict(zip(CHEROKEE, CHEROKEE_AS, strict=True)), "\ua4d0-\ua4f7": dict(zip(LISU, LISU_AS, strict=True)),
+}
+_TWIN = {c: a for letters in _SCRIPTS.values() for c, a in letters.items()}
 _TO_LATIN = str.maketrans(_TWIN)
-_TO_CYRILLIC = str.maketrans(dict(zip(CYRILLIC_AS, CYRILLIC, strict=True)) | {g: CYRILLIC[CYRILLIC_AS.index(a)] for g, a in zip(GREEK, GREEK_AS, strict=True) if a in CYRILLIC_AS})
-_TO_GREEK = str.maketrans(dict(zip(GREEK_AS, GREEK, strict=True)) | {c: GREEK[GREEK_AS.index(a)] for c, a in zip(CYRILLIC, CYRILLIC_AS, strict=True) if a in GREEK_AS})
+_SAME = str.maketrans(dict(zip(SAME, SAME_AS, strict=True)))
+_HAS_SAME = re.compile(f"[{re.escape(SAME)}]")
+
+
+def _to_script(letters: dict[str, str]) -> dict[int, str]:
+    """Latin letters, and those of other scripts that look like them, as letters of one script."""
+    own = {a: c for c, a in letters.items()}
+    return str.maketrans(own | {c: own[a] for c, a in _TWIN.items() if a in own and c not in letters})
+
+
 #: A joiner inside an emoji sequence is visible: it makes one picture of two.
 _PICTURE = r"\u2600-\u27bf\U0001f300-\U0001faff"
 _INVISIBLE = re.compile(f"(?<![{_PICTURE}\ufe0f])\u200d|\u200d(?![{_PICTURE}])|(?!\u200d)[{INVISIBLE}]")
 _SPACE = re.compile(r"[\t\x0b\x0c\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 _NEWLINE = re.compile(r"\r\n?|[\x85\u2028\u2029]")
-_CYRILLIC_ONLY = f"(?![{CYRILLIC}])[\u0400-\u052f]"
-_GREEK_ONLY = f"(?![{GREEK}])[\u0370-\u03ff]"
-_LETTER = r"A-Za-z\u00aa-\u024f\u0300-\u052f"
-_WORD = re.compile(f"[{_LETTER}]*[\\u0370-\\u03ff\\u0400-\\u052f][{_LETTER}]*")
-_PURE = re.compile(r"[\u0400-\u052f]+|[\u0370-\u03ff]+")
+_OTHER = "".join(_SCRIPTS)
+_LETTER = r"A-Za-z\u00aa-\u024f\u0300-\u036f" + _OTHER
+_WORD = re.compile(f"[{_LETTER}]*[{_OTHER}][{_LETTER}]*")
+_PURE = re.compile("|".join(f"[{r}]+" for r in _SCRIPTS))
 #: Composed letters whose base has a twin: their script does not show by themselves.
 _HAS_TWIN_MARK = re.compile("[" + "".join(c for c in map(chr, range(0x370, 0x530)) if (d := unicodedata.normalize("NFD", c)) != c and d[0] in _TWIN) + "]")
-_HAS_CYRILLIC, _HAS_GREEK = re.compile(_CYRILLIC_ONLY), re.compile(_GREEK_ONLY)
-_LATIN_TWINS = frozenset(GREEK_AS + CYRILLIC_AS)
+#: Of each script a letter without a twin, and its letters for those of others; Cyrillic comes first.
+_OWNED = [(re.compile(f"(?![{''.join(letters)}])[{r}]"), _to_script(letters)) for r, letters in sorted(_SCRIPTS.items(), key=lambda x: x[0] != "\u0400-\u052f")]
+_LATIN_TWINS = frozenset(_TWIN.values())
 _HAS_LATIN = re.compile("[" + "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if c not in _LATIN_TWINS) + "\u00df-\u024f]")
+#: Of a word whose other letters are of one script, Latin letters without a twin in it decide for Latin.
+_LATIN_BESIDE = [(re.compile(f"[{r}]"), re.compile("[" + "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if c not in set(letters.values())) + "\u00df-\u024f]")) for r, letters in _SCRIPTS.items()]
 
 
 @lru_cache(maxsize=8192)
@@ -67,6 +91,8 @@ def _form(c: str) -> str | None:
     d = unicodedata.decomposition(c)
     if d.startswith(("<wide>", "<narrow>")) or "ﬀ" <= c <= "ﬆ" or c in "ĲĳǇǈǉǊǋǌǱǲǳǄǅǆ":
         return unicodedata.normalize("NFKC", c)
+    if "\u2160" <= c <= "\u217f":  # Roman numerals are drawn as the letters
+        return unicodedata.normalize("NFKC", c)
     return "μ" if c == "µ" else None
 
 
@@ -102,17 +128,16 @@ def _splice(text: str) -> str:
 def _word(m: re.Match[str]) -> str:
     """A word with Greek or Cyrillic letters in the script that owns one of its letters; marks are looked at apart."""
     w = m.group()
-    if _PURE.fullmatch(w) and (_HAS_CYRILLIC.search(w) or _HAS_GREEK.search(w)) and not _HAS_TWIN_MARK.search(w):
+    owned = any(p.search(w) for p, _ in _OWNED)
+    if owned and _PURE.fullmatch(w) and not _HAS_TWIN_MARK.search(w):
         return w
     d = unicodedata.normalize("NFD", w)
-    if _HAS_LATIN.search(d):
+    # letters that no script of the word can draw otherwise
+    latin = _HAS_LATIN.search(d) or all(not there.search(d) or alone.search(d) for there, alone in _LATIN_BESIDE)
+    if latin:
         d = d.translate(_TO_LATIN)
-    elif _HAS_CYRILLIC.search(d):
-        d = d.translate(_TO_CYRILLIC)
-    elif _HAS_GREEK.search(d):
-        d = d.translate(_TO_GREEK)
     else:
-        d = d.translate(_TO_LATIN)
+        d = d.translate(next((to for p, to in _OWNED if p.search(d)), _TO_LATIN))
     return unicodedata.normalize("NFC", d)
 
 
@@ -127,6 +152,8 @@ def canonical(text: str) -> str:
     text = _splice(text)
     for h in HYPHENS:
         text = text.replace(h, "-")
+    if _HAS_SAME.search(text):
+        text = text.translate(_SAME)
     return _WORD.sub(_word, text)
 
 
@@ -161,23 +188,50 @@ def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
     return kept.mapInArrow(run, "key long, own binary, one binary")
 
 
+def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Membership: key, form, string, representative, n_rows and n_strings of rows that look like a row of another string.
+
+    ``form`` and ``string`` are digests of the canonical form and of the text itself. Rows of one form look
+    the same; rows of one string are copies, for which the one of smallest key stands; ``n_rows`` counts
+    them, ``n_strings`` the different strings of the form. Rows with null or empty text, and forms of which all
+    rows have one string, take no part. Texts are read and normalised once; only 16-byte digests are kept (in
+    the shared folder) and shuffled, and copies are counted before they are.
+    """
+    return _members(checkpoint(df.sparkSession, _digests(df, key, text)))
+
+
+def _strings(d: DataFrame) -> DataFrame:
+    """One row for each string of the forms that have several: one, own, representative, n_rows."""
+    strings = d.groupBy("one", "own").agg(F.min("key").alias("representative"), F.count("*").alias("n_rows"))
+    mixed = strings.groupBy("one").agg(F.count("*").alias("n_strings")).where("n_strings > 1")
+    return strings.join(mixed, "one")
+
+
+def _members(d: DataFrame) -> DataFrame:
+    return d.join(_strings(d), ["one", "own"]).select("key", F.col("one").alias("form"), F.col("own").alias("string"), "representative", "n_rows", "n_strings")
+
+
+def class_pairs(members: DataFrame) -> DataFrame:
+    """representative_a < representative_b, rows_a, rows_b: pairs of different strings that look the same, one for all their copies."""
+    one = members.where("key = representative").select("form", "representative", "n_rows")
+    a, b = one.alias("a"), one.alias("b")
+    both = a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.representative") < F.col("b.representative")))
+    return both.select(F.col("a.representative").alias("representative_a"), F.col("b.representative").alias("representative_b"), F.col("a.n_rows").alias("rows_a"), F.col("b.n_rows").alias("rows_b"))
+
+
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id_a < doc_id_b: rows whose texts differ and have the same canonical form.
 
-    Rows with null or empty text take no part. Texts are read and normalised once; only 16-byte digests
-    are kept (in the shared folder) and shuffled. A form of which all
-    rows have the same string drops out by aggregation before any row is joined, so copies, however
-    many, meet no one; only forms with at least two different strings are joined.
+    Pairs of strings come first, one for all copies; then each side is replaced by its copies, so rows that
+    are copies of each other never meet. The result has a row for each pair of rows, as many as there are:
+    where strings have many copies, ``lookalike_classes`` and ``class_pairs`` say the same in fewer rows.
     """
-    d = checkpoint(df.sparkSession, _digests(df, key, text))
-    mixed = d.groupBy("one").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("one")
-    rows = d.join(mixed, "one", "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    return (
-        a.join(b, (F.col("a.one") == F.col("b.one")) & (F.col("a.own") != F.col("b.own")) & (F.col("a.key") < F.col("b.key")))
-        .select(F.col("a.key").alias("doc_id_a"), F.col("b.key").alias("doc_id_b"))
-        .distinct()
-    )
+    members = checkpoint(df.sparkSession, lookalike_classes(df, key, text))
+    of = members.select("key", "representative")
+    pairs = class_pairs(members).select("representative_a", "representative_b")
+    left = pairs.join(of.select(F.col("key").alias("x"), F.col("representative").alias("representative_a")), "representative_a")
+    both = left.join(of.select(F.col("key").alias("y"), F.col("representative").alias("representative_b")), "representative_b")
+    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).where("doc_id_a < doc_id_b")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,10 +239,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that look like others, with the class of equal strings that each is in."""
+    found = lookalike_classes(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return found.select(F.col("key").alias("doc_id"), "representative", "n_rows", "n_strings")
+
+
 def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical form of each document's text."""
     return canonical_column(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("key").alias("doc_id"), "canonical")
 
 
-QUERIES = {"p9_found": p9_found, "p9_canonical": p9_canonical}
+QUERIES = {"p9_found": p9_found, "p9_classes": p9_classes, "p9_canonical": p9_canonical}
 ORACLES: dict[str, str] = {}

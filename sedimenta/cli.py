@@ -8,7 +8,7 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta import ingest
+from sedimenta import ingest, schemas
 from sedimenta.operators import store as S
 from sedimenta.operators.embed import Embedder, HashEmbedder, HttpEmbedder
 from sedimenta.sources import packages
@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
         for o in ("language", "symbol-kind", "repo-path"):
             s.add_argument(f"--{o}")
     c.add_parser("repos")
+    c.add_parser("index")
     for name in ("code", "docs"):
         s = c.add_parser(name)
         s.add_argument("path")
@@ -75,6 +76,8 @@ def main(argv: list[str] | None = None) -> str:
         return f(args.query, args.limit, args.language, args.symbol_kind, args.repo_path)
     if args.command == "repos":
         return tools.list_repos()
+    if args.command == "index":
+        return "\n".join(f"{n}: {'indexed' if store.refresh_index(n) else 'empty'}" for n in schemas.FILTERS)
     if args.command == "code":
         return str(ingest.index_folder(store, args.path, embed, args.project, args.force, extra=args.pattern))
     if args.command == "docs":

@@ -17,9 +17,10 @@ from sedimenta.functions import text as T
 from sedimenta.operators import chunking as C
 from sedimenta.operators import store as S
 from sedimenta.operators.embed import Embedder, embed_column
+from sedimenta.operators.search_index import SearchIndex
 from sedimenta.sources import files as files_
 from sedimenta.sources.packages import Package
-from sedimenta.sources.shared import checkpoint
+from sedimenta.sources.shared import Folder, checkpoint
 
 
 class Store:
@@ -47,6 +48,34 @@ class Store:
             self.change(name, lambda t: S.upsert(t, rows, schemas.KEYS[name], update, merge, when), only)
 
 
+    def refresh_index(self, name: str) -> SearchIndex | None:
+        """The search index of the table's current version, built if there is none; None for an empty table."""
+        found = self.index(name)
+        if found is not None:
+            return found
+        version, folder = self.tables[name].version(), Folder(self.spark, f"{self.root}/indexes/{name}")
+        table = self.tables[name].read(version)
+        dim = table.where(F.size("embedding") > 0).agg(F.max(F.size("embedding"))).first()[0]
+        if table.isEmpty():
+            return None
+        index = SearchIndex.build(table, "id", "content", "embedding", folder.root, dim or 1, schemas.FILTERS[name])
+        folder.create(f"names/{version:010d}", index.path)
+        # one older index stays for readers that have it open
+        for n in folder.names("names")[:-2]:
+            folder.delete(folder.text(f"names/{n}").removeprefix(f"{folder.root}/"))
+            folder.delete(f"names/{n}")
+        return index
+
+    def index(self, name: str) -> SearchIndex | None:
+        """The stored search index of the table's current version, None if it was not built."""
+        folder, version = Folder(self.spark, f"{self.root}/indexes/{name}"), f"{self.tables[name].version():010d}"
+        return SearchIndex(self.spark, folder.text(f"names/{version}")) if version in folder.names("names") else None
+
+    def searchable(self, name: str) -> SearchIndex | DataFrame:
+        """The index if there is one of the current version, else the table, which is then scanned."""
+        return self.index(name) or self.read(name)
+
+
 def _now(as_of: str | None) -> Column:
     return F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
 

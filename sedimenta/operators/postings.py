@@ -23,13 +23,13 @@ class PostingsIndex:
     """An index below ``root``; ``build`` writes a new version and names it last, ``open`` reads that one."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self._about = spark, path, None
 
     @classmethod
-    def build(cls, df: DataFrame, key: str, text: str, root: str, buckets: int = BUCKETS) -> PostingsIndex:
-        """Index every row with text. Rows without tokens count in the statistics; null texts do not."""
+    def build(cls, df: DataFrame, key: str, text: str, root: str, buckets: int = BUCKETS, fixed: bool = False) -> PostingsIndex:
+        """Index every row with text below ``root`` (at ``root`` if ``fixed``). Rows without tokens count in the statistics; null texts do not."""
         spark = df.sparkSession
-        path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        path = root.rstrip("/") if fixed else f"{root.rstrip('/')}/{uuid.uuid4().hex}"
         tok = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).where("text IS NOT NULL")
         tok = tok.select("key", T.tokens(F.col("text")).alias("t")).select("key", F.size("t").alias("dl"), "t")
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
@@ -43,10 +43,18 @@ class PostingsIndex:
         tok.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"), F.lit(buckets).alias("buckets"), F.lit(df.schema[key].dataType.simpleString()).alias("key_type")).coalesce(1).write.parquet(f"{path}/stats")
         return cls(spark, path)
 
+    def _stats(self):
+        if self._about is None:
+            self._about = self.spark.read.parquet(f"{self.path}/stats").first()
+        return self._about
+
     def search(self, query: str, limit: int = 10) -> DataFrame:
         """key and score of the best rows, best first; the scores are those of ``retrieval.bm25``."""
-        terms = T.query_terms(query)
-        stats = self.spark.read.parquet(f"{self.path}/stats").first()
+        return self.scores(query).orderBy(F.desc("score"), "key").limit(limit)
+
+    def scores(self, query: str) -> DataFrame:
+        """key and score of the rows that hold a term of the query."""
+        terms, stats = T.query_terms(query), self._stats()
         # an empty index has no files to take the types from
         postings = self.spark.read.schema(f"key {stats['key_type']}, dl int, term string, tf int, bucket int").parquet(f"{self.path}/postings")
         if not terms or not stats["n_docs"]:
@@ -58,4 +66,4 @@ class PostingsIndex:
         idf = F.element_at(F.create_map(*[x for t in terms for x in (F.lit(t), F.log(F.lit(1.0 + (n - known.get(t, 0) + 0.5) / (known.get(t, 0) + 0.5))))]), F.col("term"))
         tf = F.col("tf").cast("double")
         part = idf * tf * F.lit(K1 + 1.0) / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl").cast("double") / F.lit(avg)))
-        return postings.where(mine).groupBy("key").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "key").limit(limit)
+        return postings.where(mine).groupBy("key").agg(F.round(F.sum(part), 6).alias("score"))

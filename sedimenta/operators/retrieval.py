@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -158,6 +159,20 @@ def hybrid_search(
     return out.orderBy(F.desc("rrf_score"), key).limit(limit)
 
 
+class Indexed(Protocol):
+    """What a stored index (``search_index.SearchIndex``) offers instead of a table."""
+
+    def hybrid(self, query: str, vector: Sequence[float], limit: int, k: int, where: Column | None, prefilter: bool, fetch: int | None) -> DataFrame: ...
+
+    def bm25(self, query: str, limit: int, where: Column | None) -> DataFrame: ...
+
+
+def _hybrid(source: DataFrame | Indexed, key: str, query: str, vector: Sequence[float], limit: int, where: Column | None, prefilter: bool, fetch: int | None = None) -> DataFrame:
+    if isinstance(source, DataFrame):
+        return hybrid_search(source, key, "content", "embedding", query, vector, limit, where=where, prefilter=prefilter, fetch=fetch)
+    return source.hybrid(query, vector, limit, RRF_K, where, prefilter, fetch)
+
+
 def optional_equal(filters: dict[str, str | None]) -> Column | None:
     """Conjunction of the filters that are given; a null in a filtered column is no match."""
     given = [F.col(c) == F.lit(v) for c, v in filters.items() if v is not None]
@@ -169,9 +184,9 @@ def both(*conditions: Column | None) -> Column | None:
     return reduce(lambda a, b: a & b, given) if given else None
 
 
-def search_code(df: DataFrame, query: str, vector: Sequence[float], limit: int = 10, language: str | None = None, symbol_kind: str | None = None, repo_path: str | None = None, projects: list[str] | None = None, prefilter: bool = False) -> DataFrame:
-    """Hybrid search over code chunks; ``repo_path`` is a LIKE pattern."""
-    return hybrid_search(df, "id", "content", "embedding", query, vector, limit, where=_code_filter(language, symbol_kind, repo_path, projects), prefilter=prefilter)
+def search_code(df: DataFrame | Indexed, query: str, vector: Sequence[float], limit: int = 10, language: str | None = None, symbol_kind: str | None = None, repo_path: str | None = None, projects: list[str] | None = None, prefilter: bool = False) -> DataFrame:
+    """Hybrid search over code chunks, a table or its index; ``repo_path`` is a LIKE pattern."""
+    return _hybrid(df, "id", query, vector, limit, _code_filter(language, symbol_kind, repo_path, projects), prefilter)
 
 
 def _code_filter(language: str | None, symbol_kind: str | None, repo_path: str | None, projects: list[str] | None) -> Column | None:
@@ -182,21 +197,23 @@ def _code_filter(language: str | None, symbol_kind: str | None, repo_path: str |
     )
 
 
-def bm25_search(df: DataFrame, query: str, limit: int = 10, language: str | None = None, symbol_kind: str | None = None, repo_path: str | None = None, projects: list[str] | None = None) -> DataFrame:
+def bm25_search(df: DataFrame | Indexed, query: str, limit: int = 10, language: str | None = None, symbol_kind: str | None = None, repo_path: str | None = None, projects: list[str] | None = None) -> DataFrame:
     """BM25 search over code chunks; filters hold before ranking, the score stands in rrf_score."""
     where = _code_filter(language, symbol_kind, repo_path, projects)
+    if not isinstance(df, DataFrame):
+        return df.bm25(query, limit, where)
     top = bm25(df, "id", "content", query, where).orderBy(F.desc("score"), "id").limit(limit)
     out = df.join(F.broadcast(top.withColumnRenamed("score", "rrf_score")), "id") if limit <= 10_000 else df.join(top.withColumnRenamed("score", "rrf_score"), "id")
     return out.orderBy(F.desc("rrf_score"), "id")
 
 
-def search_docs(df: DataFrame, query: str, vector: Sequence[float], limit: int = 10, doc_kind: str | None = None, projects: list[str] | None = None, key: str = "doc_id") -> DataFrame:
+def search_docs(df: DataFrame | Indexed, query: str, vector: Sequence[float], limit: int = 10, doc_kind: str | None = None, projects: list[str] | None = None, key: str = "doc_id") -> DataFrame:
     """Hybrid search over documents; filters hold in both arms."""
     where = both(optional_equal({"doc_kind": doc_kind}), T.in_projects(F.col("project"), projects) if projects else None)
-    return hybrid_search(df, key, "content", "embedding", query, vector, limit, where=where, prefilter=True, fetch=max(3 * limit, 20))
+    return _hybrid(df, key, query, vector, limit, where, True, max(3 * limit, 20))
 
 
-def search_issues(issues: DataFrame | None, prs: DataFrame | None, query: str, vector: Sequence[float], limit: int = 10, repo: str | None = None, state: str | None = None, entity_type: str | None = None) -> DataFrame:
+def search_issues(issues: DataFrame | Indexed | None, prs: DataFrame | Indexed | None, query: str, vector: Sequence[float], limit: int = 10, repo: str | None = None, state: str | None = None, entity_type: str | None = None) -> DataFrame:
     """Hybrid search over issues and pull requests, each ranked on its own, merged by score (issues first on ties).
 
     ``entity_type``: ``issues``, ``prs``, None for both; any other value gives nothing.
@@ -206,7 +223,7 @@ def search_issues(issues: DataFrame | None, prs: DataFrame | None, query: str, v
     for kind, wanted, df in (("issue", "issues", issues), ("pr", "prs", prs)):
         if df is None:
             continue
-        one = hybrid_search(df, "id", "content", "embedding", query, vector, limit if entity_type in (None, wanted) else 0, where=where, prefilter=True, fetch=limit)
+        one = _hybrid(df, "id", query, vector, limit if entity_type in (None, wanted) else 0, where, True, limit)
         found.append(one.select(F.lit(kind).alias("entity_type"), "id", "repo", "number", "state", "title", "author", "labels", "content", "created_at", "rrf_score"))
     out = reduce(lambda a, b: a.unionByName(b), found)
     return out.orderBy(F.desc("rrf_score"), "entity_type", "id").limit(limit)

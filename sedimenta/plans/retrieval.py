@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions.text import query_terms
 from sedimenta.operators import retrieval as R
 from sedimenta.operators.postings import PostingsIndex
+from sedimenta.operators.search_index import SearchIndex
 from sedimenta.sources.shared import shared_dir
 from sedimenta.sources.tables import table
 
@@ -33,45 +34,91 @@ def _issues(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "github_issues")
 
 
+#: Indexes of this process by application, tables and name: a query builds the one it needs, later ones use it.
+_INDEXES: dict[tuple[str, str, str], tuple[SearchIndex, list[float]]] = {}
+_TABLES = {"code_chunks": ("id", ("language", "symbol_kind", "repo_path", "project")), "documents": ("doc_id", ("doc_kind", "project")), "open_issues": ("id", ("repo", "state")), "closed_issues": ("id", ("repo", "state"))}
+
+
+def _indexed(s: SparkSession, d: str, name: str) -> tuple[SearchIndex, list[float]]:
+    """The stored index of a table, and the vector that its queries ask with."""
+    at = (s.sparkContext.applicationId, d, name)
+    if at not in _INDEXES:
+        key, attributes = _TABLES[name]
+        source = "github_issues" if name.endswith("issues") else name
+        df = table(s, d, source)
+        rows = df.where(F.col("state") == name.split("_")[0]) if name.endswith("issues") else df
+        index = SearchIndex.build(rows, key, "content", "embedding", f"{shared_dir(s).rstrip('/')}/search-{name}", DIM, attributes)
+        _INDEXES[at] = (index, _vector(df.select(key, "embedding"), key))
+    return _INDEXES[at]
+
+
+def search_index_build(s: SparkSession, d: str) -> DataFrame:
+    """Builds the index of the code chunks anew; sizes of its parts."""
+    index = SearchIndex.build(_code(s, d), "id", "content", "embedding", f"{shared_dir(s).rstrip('/')}/search-build", DIM, _TABLES["code_chunks"][1])
+    rows = s.read.schema(index.rows_schema).parquet(f"{index.path}/rows")
+    vectors = s.read.parquet(f"{index.path}/leaves")
+    return rows.agg(F.count("*").alias("n_rows")).crossJoin(vectors.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_vectors")))
+
+
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
+    index, vector = _indexed(s, d, "code_chunks")
+    return R.search_code(index, QUERY, vector).select("id", "repo_path", "file_path", F.coalesce("start_line", F.lit(0)).alias("first_line"), "language", "rrf_score")
+
+
+def hybrid_scan(s: SparkSession, d: str) -> DataFrame:
+    """The same search without an index."""
     df = _code(s, d)
     return R.search_code(df, QUERY, _vector(df, "id")).select("id", "repo_path", "file_path", F.coalesce("start_line", F.lit(0)).alias("first_line"), "language", "rrf_score")
 
 
 def hybrid_search_filtered(s: SparkSession, d: str) -> DataFrame:
-    df = _code(s, d)
-    return R.search_code(df, QUERY, _vector(df, "id"), language="python", repo_path="%::%").select("id", "repo_path", "language", "rrf_score")
+    index, vector = _indexed(s, d, "code_chunks")
+    return R.search_code(index, QUERY, vector, language="python", repo_path="%::%").select("id", "repo_path", "language", "rrf_score")
 
 
 def hybrid_prefiltered(s: SparkSession, d: str) -> DataFrame:
-    df = _code(s, d)
-    return R.search_code(df, QUERY, _vector(df, "id"), language="python", prefilter=True).select("id", "language", "rrf_score")
+    index, vector = _indexed(s, d, "code_chunks")
+    return R.search_code(index, QUERY, vector, language="python", prefilter=True).select("id", "language", "rrf_score")
 
 
 def bm25_search(s: SparkSession, d: str) -> DataFrame:
+    return R.bm25_search(_indexed(s, d, "code_chunks")[0], QUERY).select("id", "file_path", "rrf_score")
+
+
+def bm25_scan(s: SparkSession, d: str) -> DataFrame:
+    """The same search without an index."""
     return R.bm25_search(_code(s, d), QUERY).select("id", "file_path", "rrf_score")
 
 
 def bm25_indexed(s: SparkSession, d: str) -> DataFrame:
-    """The same ranking from a stored inverted index."""
+    """The same ranking from an inverted index alone."""
     index = PostingsIndex.build(table(s, d, "code_chunks", "id", "content"), "id", "content", f"{shared_dir(s)}/postings", 8)
     return index.search(QUERY).select(F.col("key").alias("id"), F.col("score").alias("rrf_score"))
 
 
 def bm25_search_filtered(s: SparkSession, d: str) -> DataFrame:
-    return R.bm25_search(_code(s, d), QUERY, language="rust", symbol_kind="function").select("id", "language", "symbol_kind", "rrf_score")
+    return R.bm25_search(_indexed(s, d, "code_chunks")[0], QUERY, language="rust", symbol_kind="function").select("id", "language", "symbol_kind", "rrf_score")
 
 
 def docs_search(s: SparkSession, d: str) -> DataFrame:
-    df = _docs(s, d)
-    return R.search_docs(df, QUERY, _vector(df, "doc_id"), doc_kind="readme").select("doc_id", "doc_kind", "title", "rrf_score")
+    index, vector = _indexed(s, d, "documents")
+    return R.search_docs(index, QUERY, vector, doc_kind="readme").select("doc_id", "doc_kind", "title", "rrf_score")
 
 
 def entity_union_search(s: SparkSession, d: str) -> DataFrame:
     """Closed issues stand in for pull requests."""
-    df = _issues(s, d)
-    prs = df.where("state = 'closed'")
-    return R.search_issues(df.where("state = 'open'"), prs, QUERY, _vector(df, "id")).select("entity_type", "id", "repo", "number", "rrf_score")
+    issues, vector = _indexed(s, d, "open_issues")
+    prs, _ = _indexed(s, d, "closed_issues")
+    return R.search_issues(issues, prs, QUERY, vector).select("entity_type", "id", "repo", "number", "rrf_score")
+
+
+def entity_issues_only(s: SparkSession, d: str) -> DataFrame:
+    """One kind of entity, in one state: an unknown kind gives nothing, which is joined to it here."""
+    issues, vector = _indexed(s, d, "open_issues")
+    prs, _ = _indexed(s, d, "closed_issues")
+    found = R.search_issues(issues, prs, QUERY, vector, limit=5, entity_type="prs", state="closed")
+    none = R.search_issues(issues, prs, QUERY, vector, entity_type="wikis")
+    return found.unionByName(none).select("entity_type", "id", "repo", "number", "rrf_score")
 
 
 def corpus_stats(s: SparkSession, d: str) -> DataFrame:
@@ -83,6 +130,13 @@ def term_df(s: SparkSession, d: str) -> DataFrame:
 
 
 def knn_cosine(s: SparkSession, d: str) -> DataFrame:
+    index, vector = _indexed(s, d, "code_chunks")
+    found = [(key, rank) for rank, (key, _) in enumerate(index.nearest(vector), 1)]
+    return s.createDataFrame(found, "id long, rank int")
+
+
+def knn_scan(s: SparkSession, d: str) -> DataFrame:
+    """The same rows without an index."""
     df = table(s, d, "code_chunks", "id", "embedding")
     return R.vector_arm(df, "id", "embedding", _vector(df, "id"))
 
@@ -102,7 +156,10 @@ def file_reconstruct(s: SparkSession, d: str) -> DataFrame:
     return df.select("repo_path", "file_path", F.length("source").alias("n_chars"), F.sha2("source", 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search, hybrid_search_filtered, hybrid_prefiltered, bm25_search, bm25_indexed, bm25_search_filtered, docs_search, entity_union_search, corpus_stats, term_df, knn_cosine, rrf_fuse, list_repos, file_reconstruct)}
+QUERIES = {f.__name__: f for f in (
+    search_index_build, hybrid_search, hybrid_scan, hybrid_search_filtered, hybrid_prefiltered, bm25_search, bm25_scan, bm25_indexed, bm25_search_filtered, docs_search, entity_union_search, entity_issues_only,
+    corpus_stats, term_df, knn_cosine, knn_scan, rrf_fuse, list_repos, file_reconstruct,
+)}
 
 _TERMS = "[" + ", ".join(f"'{t}'" for t in query_terms(QUERY)) + "]"
 
@@ -164,3 +221,10 @@ y AS (SELECT *, row_number() OVER (PARTITION BY repo_path, file_path, n ORDER BY
 z AS (SELECT repo_path, file_path, string_agg(line, chr(10) ORDER BY n) AS source FROM y WHERE rn = 1 GROUP BY ALL)
 SELECT repo_path, file_path, length(source) AS n_chars, sha256(source) AS digest FROM z""",
 }
+ORACLES |= {
+    "hybrid_scan": ORACLES["hybrid_search"], "bm25_scan": ORACLES["bm25_search"], "knn_scan": ORACLES["knn_cosine"],
+    "search_index_build": "SELECT count(*) AS n_rows, count(*) FILTER (CASE WHEN len(embedding) = 64 THEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 ELSE FALSE END) AS n_vectors FROM code_chunks",
+    "entity_issues_only": f"""WITH c AS (SELECT * FROM github_issues WHERE state = 'closed'),{_fused("c", "id", vector_of="github_issues")},
+a AS (SELECT 'pr' AS entity_type, k, rrf_score FROM f ORDER BY rrf_score DESC, k LIMIT 5)
+SELECT entity_type, id, repo, number, rrf_score FROM a JOIN github_issues ON id = k""",
+}

@@ -29,6 +29,13 @@ KEYS = {
 }
 #: Column whose hash tells the part of a table that a row lies in.
 PART_BY = {n: "scope_key" if n == "sync_state" else k[0] for n, k in KEYS.items()}
+#: Columns by which searches filter before they rank.
+FILTERS = {
+    "code_chunks": ("language", "symbol_kind", "repo_path", "project"),
+    "documents": ("doc_kind", "project"),
+    "github_issues": ("repo", "state"),
+    "github_prs": ("repo", "state"),
+}
 
 
 def schema(name: str) -> T.StructType:

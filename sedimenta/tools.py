@@ -1,4 +1,7 @@
-"""The query surface: searches and lookups that return text; failures come back as text too."""
+"""The query surface: searches and lookups that return text; failures come back as text too.
+
+Searches are served from the stored indexes of the tables, and scan where none was built for the current version.
+"""
 
 from __future__ import annotations
 
@@ -46,7 +49,7 @@ class Tools:
     def search_code(self, query: str, limit: int = 10, language: str | None = None, symbol_kind: str | None = None, repo_path: str | None = None) -> str:
         """Hybrid search over code, reranked if a reranker is set."""
         pool = max(limit, POOL) if self.reranker else limit
-        rows = R.search_code(self.store.read("code_chunks"), query, self._vector(query), pool, language, symbol_kind, repo_path, self.projects)
+        rows = R.search_code(self.store.searchable("code_chunks"), query, self._vector(query), pool, language, symbol_kind, repo_path, self.projects)
         if self.reranker:
             got = rerank(rows, query, "content", self.reranker, limit).collect()
             if got and got[0]["rerank_score"] is not None:
@@ -56,15 +59,15 @@ class Tools:
 
     @_text
     def bm25_search(self, query: str, limit: int = 10, language: str | None = None, symbol_kind: str | None = None, repo_path: str | None = None) -> str:
-        return report.format_chunks(R.bm25_search(self.store.read("code_chunks"), query, limit, language, symbol_kind, repo_path, self.projects).collect(), label="bm25")
+        return report.format_chunks(R.bm25_search(self.store.searchable("code_chunks"), query, limit, language, symbol_kind, repo_path, self.projects).collect(), label="bm25")
 
     @_text
     def search_docs(self, query: str, limit: int = 10, doc_kind: str | None = None) -> str:
-        return report.format_docs(R.search_docs(self.store.read("documents"), query, self._vector(query), limit, doc_kind, self.projects, key="id").collect())
+        return report.format_docs(R.search_docs(self.store.searchable("documents"), query, self._vector(query), limit, doc_kind, self.projects, key="id").collect())
 
     @_text
     def search_github(self, query: str, limit: int = 10, repo: str | None = None, state: str | None = None, entity_type: str | None = None) -> str:
-        df = R.search_issues(self.store.read("github_issues"), self.store.read("github_prs"), query, self._vector(query), limit, repo, state, entity_type)
+        df = R.search_issues(self.store.searchable("github_issues"), self.store.searchable("github_prs"), query, self._vector(query), limit, repo, state, entity_type)
         return report.format_issues(df.withColumn("created_at", F.col("created_at").cast("string")).collect())
 
     @_text

@@ -64,6 +64,13 @@ def test_index_twice_changes_nothing_and_edits_are_seen(spark, store, repo):
     t = Tools(store, EMBED, projects=["p1"], reranker=word_overlap)
     assert "src/a.py" in t.search_code("alpha return") and "README.md" in t.search_docs("words about the project")
     assert "alpha" in Tools(store, EMBED, projects=[]).bm25_search("alpha") and t.search_github("x") == "No results found."
+    # the same answers from the stored indexes, which a change makes stale
+    asked = lambda: (t.search_code("alpha return"), t.search_docs("words about the project"), t.bm25_search("alpha"), t.search_github("x"))
+    scanned = asked()
+    assert [bool(store.refresh_index(n)) for n in ("code_chunks", "documents", "github_issues")] == [True, True, False]
+    assert store.index("code_chunks") is not None and asked() == scanned and store.refresh_index("code_chunks").path == store.index("code_chunks").path
+    store.change("code_chunks", lambda df: df)
+    assert store.index("code_chunks") is None and asked() == scanned
     assert Tools(store, EMBED, projects=["other"]).list_repos() == "No results found."
     assert t.get_file(str(repo), "none.py").startswith("No chunks")
     counts = ingest.prune(store, store.read("repo_index"), dry_run=True)

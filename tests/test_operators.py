@@ -155,6 +155,31 @@ class TestRetrieval:
         empty = PostingsIndex.build(df.limit(0), "id", "content", f"file://{tmp_path}/ix", 4)
         assert empty.search("red").count() == 0
 
+    def test_search_index_equals_the_scans(self, spark, tmp_path, monkeypatch):
+        from sedimenta.operators import search_index as X
+
+        monkeypatch.setattr(X, "LEAF_ROWS", 20)
+        monkeypatch.setattr(X, "FILE_ROWS", 50)
+        rng = random.Random(5)
+        rows = [(i, " ".join(rng.choice("red blue fox car tree sky".split()) for _ in range(rng.randint(0, 20))), [float(rng.choice((0, 6)) + rng.random()), float(rng.choice((0, 6)) + rng.random()), rng.random()], "a" if i % 3 else None) for i in range(400)]
+        rows += [(500, None, None, "a"), (501, "", [0.0] * 3, "a"), (502, "red", [1.0], None), (503, "red", rows[0][2], "a"), (504, "red fox", rows[0][2], "a")]
+        df = spark.createDataFrame(rows, "id long, content string, embedding array<float>, language string").withColumn("key", F.lit(1)).withColumn("leaf", F.lit("x"))
+        index = X.SearchIndex.build(df, "id", "content", "embedding", f"file://{tmp_path}/ix", 3, ("language",), 4)
+        again = X.SearchIndex(spark, index.path)
+        only = F.col("language") == "a"
+        for q in (rows[0][2], [-1.0, 0.2, 0.1], [3.0, 3.0, 1.0]):
+            for where in (None, only):
+                d = df if where is None else df.where(where)
+                d = d.select("id", F.round(R.cosine_distance("embedding", q), 6).alias("d")).where("d IS NOT NULL").orderBy("d", "id").limit(7)
+                assert again.nearest(q, 7, where) == [tuple(r) for r in d.collect()]
+            for arg in ({}, {"where": only}, {"where": only, "prefilter": True}):
+                want = R.hybrid_search(df, "id", "content", "embedding", "red fox", q, 10, **arg).select("id", "content", "rrf_score")
+                assert again.hybrid("red fox", q, 10, **arg).select("id", "content", "rrf_score").collect() == want.collect()
+        assert again.nearest([0.0] * 3) == again.nearest([1.0]) == [] and again.hybrid("...", [0.0] * 3).count() == 0 and again.rows([]).count() == 0
+        assert len(again._leaf) > 5 and index.bm25("red", 3).columns == [c for c in df.columns if c != "embedding"] + ["rrf_score"]
+        empty = X.SearchIndex.build(df.limit(0), "id", "content", "embedding", f"file://{tmp_path}/ix", 3)
+        assert empty.hybrid("red", [1.0, 0.0, 0.0]).count() == 0
+
     def test_cosine_forms_agree_and_skip_unusable(self, spark):
         rng = random.Random(1)
         rows = [(i, [rng.uniform(-1, 1) for _ in range(200)]) for i in range(20)] + [(90, None), (91, [0.0] * 200), (92, [1.0] * 3)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sedimenta import ingest, schemas
 from sedimenta.operators import store as S
-from sedimenta.operators.embed import Embedder, HashEmbedder, HttpEmbedder
+from sedimenta.operators.embed import Embedder, HashEmbedder, HttpEmbedder, ensure_model
 from sedimenta.sources import packages
 from sedimenta.tools import Tools
 
@@ -69,6 +69,8 @@ def main(argv: list[str] | None = None) -> str:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("sedimenta").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store, embed = ingest.Store(spark, args.store), _embedder(args)
+    if args.embed_url and args.command in ("code", "docs", "crate", "hackage", "pypi", "git", "github") and (warning := ensure_model(args.embed_url.split("/api/")[0], args.embed_model)):
+        print(warning)
     # commands see all projects and do not rerank
     tools = Tools(store, embed, projects=[])
     if args.command in ("search", "bm25"):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.operators.symbols import extract_symbols, split_lines
@@ -78,7 +78,11 @@ def _sections(text: str, mark: str) -> list[str]:
 
 
 def markdown_chunks(source: str) -> list[str]:
-    """The whole text if it fits, else its second-level sections; oversized ones by third level, cut to size."""
+    """The whole text if it fits, else its second-level sections; oversized ones by third level, cut to size.
+
+    What a third-level section has beyond MARKDOWN_MAX bytes is left out, as the reading side expects; text that
+    must be kept whole is to be cut by a splitter of training text.
+    """
     if len(source.encode()) <= MARKDOWN_MAX:
         return [source]
     out = []
@@ -98,14 +102,15 @@ def chunk_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     A null or empty text has none. A window counts only if no counted window before it reached the end.
     """
     lines = F.split(F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"), r"\n\z", ""), "\n", -1)
-    base = df.where(F.length(text) > 0).select(F.col(key), lines.alias("ls")).select("*", F.size("ls").alias("n"))
-    w = base.select(key, "n", "ls", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("i"))
-    w = w.select(key, (F.col("i") + 1).alias("start_line"), F.least(F.col("i") + WINDOW, F.col("n")).alias("end_line"), F.array_join(F.slice("ls", F.col("i") + 1, WINDOW), "\n").alias("content"), "n")
-    w = w.where(F.regexp_like("content", F.lit(r"(?U)\S")) & (F.octet_length("content") <= MAX_BYTES))
-    order = Window.partitionBy(key).orderBy("start_line")
-    reached = F.sum((F.col("end_line") == F.col("n")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    w = w.withColumn("done", F.coalesce(reached, F.lit(0))).where("done = 0").withColumn("chunk_index", F.row_number().over(order) - 1)
-    return w.where(F.col("chunk_index") < MAX_CHUNKS).select(key, "chunk_index", "content", "start_line", "end_line")
+    base = df.where(F.length(text) > 0).select(F.col(key), lines.alias("ls"))
+    window = lambda i: F.struct((i + 1).alias("start_line"), F.least(i + WINDOW, F.size("ls")).alias("end_line"), F.array_join(F.slice("ls", i + 1, WINDOW), "\n").alias("content"))
+    w = base.select(key, F.size("ls").alias("n"), F.transform(F.sequence(F.lit(0), F.size("ls") - 1, F.lit(STEP)), window).alias("w"))
+    usable = F.filter("w", lambda x: x["content"].rlike(r"(?U)\S") & (F.octet_length(x["content"]) <= MAX_BYTES))
+    w = w.select(key, "n", F.explode(F.array(usable)).alias("w"))
+    # all that end before the last line, and the first that reaches it; windows are numbered within their row
+    open_, closed = F.filter("w", lambda x: x["end_line"] < F.col("n")), F.filter("w", lambda x: x["end_line"] == F.col("n"))
+    w = w.select(key, F.posexplode(F.slice(F.concat(open_, F.slice(closed, 1, 1)), 1, MAX_CHUNKS)).alias("chunk_index", "x"))
+    return w.select(key, "chunk_index", "x.content", "x.start_line", "x.end_line")
 
 
 def _batches(df: DataFrame, make, columns: list[Column], schema: str, kinds: list[pa.DataType], names: list[str]) -> DataFrame:

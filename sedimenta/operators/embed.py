@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a reranker takes at most; searches return far fewer.
+MAX_POOL = 1000
+
 Embedder = Callable[[list[str]], list[list[float]]]
 Reranker = Callable[[str, list[str]], list[float]]
 
@@ -67,6 +70,44 @@ class HttpEmbedder:
         raise AssertionError
 
 
+class HttpReranker(HttpEmbedder):
+    """A cross-encoder behind a server: texts are scored with the query, results come as (index, relevance_score)."""
+
+    def __call__(self, query: str, texts: list[str]) -> list[float]:  # type: ignore[override]
+        got = json.loads(self._post(json.dumps({"model": self.model, "query": query, "documents": texts}).encode()))["results"]
+        score = {r["index"]: float(r["relevance_score"]) for r in got}
+        return [score[i] for i in range(len(texts))]
+
+
+def ensure_model(host: str, model: str, call: Callable[[str, dict | None], dict] | None = None) -> str:
+    """Make a model server ready: probe with one text, fetch the model if it has none, say where it runs.
+
+    ``call`` sends a body (or reads, without one) and returns the answer. Result: "" or a warning that the
+    model does not run on a GPU; an error of the probe after the model was fetched is raised.
+    """
+    call = call or _call
+    probe = {"model": model, "input": ["ready"]}
+    try:
+        call(f"{host}/api/embed", probe)
+    except urllib.error.HTTPError as e:
+        if e.code != 404:
+            raise
+        call(f"{host}/api/pull", {"model": model, "stream": False})
+        call(f"{host}/api/embed", probe)
+    try:
+        running = call(f"{host}/api/ps", None).get("models") or []
+    except (OSError, ValueError):
+        return ""
+    mine = [m for m in running if str(m.get("name", "")).startswith(model)]
+    return f"{model} does not run on a GPU; indexing will be slow" if mine and not any(m.get("size_vram") for m in mine) else ""
+
+
+def _call(url: str, body: dict | None) -> dict:
+    data = None if body is None else json.dumps(body).encode()
+    with urllib.request.urlopen(urllib.request.Request(url, data, {"Content-Type": "application/json"}), timeout=600) as r:
+        return json.loads(r.read())
+
+
 def embed_column(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding", batch: int = 16) -> DataFrame:
     """``df`` with the vector of each text; a null text has none. ``batch`` texts go to the model at a time."""
 
@@ -106,4 +147,5 @@ def rerank(df: DataFrame, query: str, text: str, reranker: Reranker | None, limi
         except Exception:
             return pd.Series([None] * len(s), dtype="float64")
 
-    return df.coalesce(1).withColumn("rerank_score", score(F.col(text))).orderBy(F.desc_nulls_last("rerank_score"), *before, key).limit(limit)
+    # the pool is what a search returned: all of it is scored in one call
+    return df.orderBy(*before, key).limit(MAX_POOL).coalesce(1).withColumn("rerank_score", score(F.col(text))).orderBy(F.desc_nulls_last("rerank_score"), *before, key).limit(limit)

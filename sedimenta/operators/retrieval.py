@@ -245,9 +245,10 @@ def reconstruct(chunks: DataFrame, keys: Sequence[str] = ("repo_path", "file_pat
     Lines are numbered from a chunk's start_line (1 if null or less); a number that several chunks give is
     taken from the lowest chunk_index, then id; missing numbers are left out.
     """
-    lines = F.split(F.regexp_replace(F.regexp_replace("content", "\r\n", "\n"), r"\n\z", ""), "\n")
-    base = chunks.where(F.length("content") > 0)
-    one = base.select(*keys, "chunk_index", "id", F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).alias("s"), F.posexplode(lines).alias("p", "line"))
-    one = one.groupBy(*keys, (F.col("s") + F.col("p")).alias("n")).agg(F.min_by("line", F.struct("chunk_index", "id")).alias("line"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
-    return one.groupBy(*keys).agg(F.array_join(ordered, "\n").alias("source"))
+    chunk = F.struct("chunk_index", "id", F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).alias("s"), "content")
+    # contents are shuffled once, whole; lines are only taken apart and put together within a file
+    one = chunks.where(F.length("content") > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(chunk)).alias("c"))
+    numbered = F.transform("c", lambda c, i: F.transform(F.split(F.regexp_replace(F.regexp_replace(c["content"], "\r\n", "\n"), r"\n\z", ""), "\n"), lambda x, p: F.struct((c["s"] + p).alias("n"), i.alias("o"), x.alias("line"))))
+    one = one.select(*keys, F.explode(F.array(F.array_sort(F.flatten(numbered)))).alias("x"))
+    first = F.filter("x", lambda e, i: (i == 0) | (F.get(F.col("x"), i - 1)["n"] != e["n"]))
+    return one.select(*keys, F.array_join(F.transform(first, lambda e: e["line"]), "\n").alias("source"))

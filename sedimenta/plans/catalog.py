@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
 from sedimenta.operators import chunking as C
+from sedimenta.operators import retrieval as R
 from sedimenta.operators import store as S
+from sedimenta.operators.embed import rerank, word_overlap
+from sedimenta.plans import cases
 from sedimenta.sources.tables import table
 
 #: Deliveries after these times count as new ones.
@@ -47,7 +50,55 @@ def chunk_code(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_markdown(s: SparkSession, d: str) -> DataFrame:
-    return C.chunk_markdown(table(s, d, "documents", "doc_id", "content"), "doc_id", "content")
+    df = C.chunk_markdown(table(s, d, "documents", "doc_id", "content"), "doc_id", "content")
+    return df.select(F.col("key").alias("doc_id"), "chunk_index", F.sha2("content", 256).alias("digest"))
+
+
+def _cases(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([(k, t, lang) for k, (lang, t) in cases.SOURCES.items()], "id long, content string, language string")
+
+
+def symbols_cases(s: SparkSession, d: str) -> DataFrame:
+    """Symbols of one small source in each language, against those written down."""
+    return C.symbols(_cases(s), "id", "content", "language").withColumnRenamed("key", "id")
+
+
+def chunk_code_cases(s: SparkSession, d: str) -> DataFrame:
+    """Chunks of the same sources, with a long tail, an oversized symbol and plain text."""
+    df = C.chunk_code(_cases(s), "id", "content", "language")
+    return df.select(F.col("key").alias("id"), "chunk_index", "start_line", "end_line", F.coalesce("symbol_kind", F.lit("")).alias("kind"))
+
+
+def repo_index_upsert(s: SparkSession, d: str) -> DataFrame:
+    """The index of repositories after the chunks' repositories were merged into it: new metadata, joined projects."""
+    p = F.col("repo_path")
+    new = table(s, d, "code_chunks", "repo_path", "indexed_at", "project").groupBy("repo_path").agg(F.max("indexed_at").alias("indexed_at"), F.array_distinct(F.flatten(F.collect_set("project"))).alias("project"))
+    new = new.select("repo_path", T.source_kind(p, True).alias("source_kind"), T.package_name(p, True).alias("package_name"), "indexed_at", "project")
+    out = S.upsert(table(s, d, "repo_index"), new, ("repo_path",), merge=S.PROJECT_MERGE)
+    return out.select("repo_path", "source_kind", "package_name", "version", "indexed_at", F.coalesce(F.array_join("project", ","), F.lit("")).alias("projects"))
+
+
+def evolve_projects(s: SparkSession, d: str) -> DataFrame:
+    """A table of before projects were lists, and one of before there were any, brought to the present form."""
+    old = table(s, d, "documents", "doc_id", "project").select("doc_id", F.get("project", F.lit(0)).alias("project"))
+    both = S.evolve_projects(old).withColumn("form", F.lit("string")).unionByName(S.evolve_projects(old.drop("project")).withColumn("form", F.lit("absent")))
+    both = both.unionByName(S.evolve_projects(table(s, d, "documents", "doc_id", "project")).withColumn("form", F.lit("list")))
+    return both.select("form", "doc_id", F.coalesce(F.size("project"), F.lit(-1)).alias("n"), F.coalesce(F.get("project", F.lit(0)), F.lit("")).alias("head"))
+
+
+def file_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks of the file of smallest name in the repository that has most, in order."""
+    df = table(s, d, "code_chunks", "id", "repo_path", "file_path", "chunk_index", "project")
+    repo = df.groupBy("repo_path").count().orderBy(F.desc("count"), "repo_path").first()
+    path = df.where(F.col("repo_path") == repo["repo_path"]).agg(F.min("file_path")).first()[0] if repo else ""
+    return R.file_chunks(df, repo["repo_path"] if repo else "", path).select("id", "chunk_index")
+
+
+def rerank_overlap(s: SparkSession, d: str) -> DataFrame:
+    """A pool of issues by date, reranked by the query's words that each holds."""
+    pool = table(s, d, "github_issues", "id", "content", "created_at").orderBy(F.desc("created_at"), "id").limit(40)
+    out = rerank(pool.withColumn("rrf_score", F.unix_timestamp("created_at").cast("double")), "the cache is stale and the snapshot late", "content", word_overlap, 10)
+    return out.select("id", F.round("rerank_score", 6).alias("score"))
 
 
 def symbols(s: SparkSession, d: str) -> DataFrame:
@@ -226,9 +277,9 @@ def package_check(s: SparkSession, d: str) -> DataFrame:
 
 
 def array_insert(s: SparkSession, d: str) -> DataFrame:
-    """Parallel arrays turned into rows, as a bulk insert takes them."""
-    row = F.array_sort(F.collect_list(F.struct("repo_path", "source_kind", "version")))
-    df = table(s, d, "repo_index", "repo_path", "source_kind", "version").agg(row.alias("r"))
+    """Parallel arrays of at most a thousand values turned into rows, as a bulk insert takes them batch by batch."""
+    df = table(s, d, "repo_index", "repo_path", "source_kind", "version").withColumn("batch", F.floor(F.monotonically_increasing_id() / 1000))
+    df = df.groupBy("batch").agg(F.collect_list(F.struct("repo_path", "source_kind", "version")).alias("r"))
     df = df.select(*[F.col(f"r.{c}").alias(c) for c in ("repo_path", "source_kind", "version")])
     return df.select(F.inline(F.arrays_zip("repo_path", "source_kind", "version")))
 
@@ -241,12 +292,34 @@ def issue_contents(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_classify, language_detect, markdown_title_preview, content_hash, query_sanitise, chunk_lines, chunk_code, chunk_markdown, symbols, project_overlap, project_merge, upsert_conditional, upsert_always,
+        doc_classify, language_detect, markdown_title_preview, content_hash, query_sanitise, chunk_lines, chunk_code, chunk_code_cases, chunk_markdown, symbols, symbols_cases, repo_index_upsert, evolve_projects, file_chunks, rerank_overlap, project_overlap, project_merge, upsert_conditional, upsert_always,
         insert_ignore, distinct_on_first, incremental_classify, status_counts, touch_mtime, old_versions, prune_counts, prune_rest, repo_index_backfill, entity_counts, index_listing, sync_status, watermark_max, watermark_filter,
         error_upsert, watermark_upsert, label_lists, issue_number_parse, json_shape_filter, like_filter, min_length, null_safe_changes, package_check, array_insert, issue_contents,
     )
 }
 
+_SPACE = "\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
+def _cut(text: str, limit: int) -> str:
+    """SQL: at most ``limit`` bytes of a text, no character cut."""
+    return f"CASE WHEN strlen({text}) <= {limit} THEN {text} ELSE left({text}, CAST(list_max(list_filter(range(0, {limit} + 1), lambda n: strlen(left({text}, n)) <= {limit})) AS BIGINT)) END"
+
+
+def _parts(name: str, source: str, text: str, mark: str, keys: str) -> str:
+    """CTEs that cut a text before each line that begins with ``mark`` and has ink before it; ``{name}``: keys, part, content."""
+    return f"""
+{name}_l AS (SELECT {keys}, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT {keys}, string_split(regexp_replace(replace({text}, chr(13) || chr(10), chr(10)), chr(10) || '$', ''), chr(10)) AS ls FROM {source})),
+{name}_f AS (SELECT *, coalesce(max(regexp_matches(line, '[^{_SPACE}]')::INT) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ink FROM {name}_l),
+{name}_p AS (SELECT *, sum((starts_with(line, '{mark}') AND ink = 1)::INT) OVER (PARTITION BY {keys} ORDER BY i) AS part FROM {name}_f),
+{name} AS (SELECT {keys}, part, string_agg(line || chr(10), '' ORDER BY i) AS content FROM {name}_p GROUP BY ALL HAVING bool_or(regexp_matches(line, '[^{_SPACE}]')))"""
+
+
+def _written(rows: str, columns: str, kinds: str) -> str:
+    quoted = [", ".join(x if k == "n" else f"'{x}'" for x, k in zip(r, kinds, strict=True)) for r in cases.values(rows)]
+    return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in quoted)}) AS t({columns})"
+
+
 _STATES = f"""
 o AS (SELECT * FROM github_issues WHERE indexed_at < TIMESTAMP '{CUT}' QUALIFY row_number() OVER (PARTITION BY repo, number ORDER BY indexed_at DESC, id DESC) = 1),
 n AS (SELECT * FROM github_issues WHERE indexed_at >= TIMESTAMP '{CUT}' QUALIFY row_number() OVER (PARTITION BY repo, number ORDER BY indexed_at DESC, id DESC) = 1)"""
@@ -327,3 +400,33 @@ WHERE ({_PKG} OR starts_with(repo_path, 'pypi::')) AND regexp_matches({_REST}, '
 SELECT id, sha256(CASE WHEN b = '' THEN t ELSE t || chr(10) || chr(10) || b END) AS digest FROM x""".replace("SP", "[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"),
     "array_insert": "SELECT repo_path, source_kind, version FROM repo_index",
 }
+ORACLES |= {
+    "markdown_title_preview": f"""SELECT doc_id, CASE WHEN regexp_matches(content, '(?m)^[ \\t]*# ')
+    THEN regexp_replace(regexp_replace(regexp_extract(content, '(?m)^[ \\t]*# (.*?)[ \\t\\r]*$', 1), '^[{_SPACE}]+', ''), '[{_SPACE}]+$', '')
+    ELSE regexp_replace(regexp_extract(source_path, '[^/]*$'), '(.)\\.[^.]*$', '\\1') END AS head, {_cut("p", 280)} AS short
+FROM (SELECT *, trim(regexp_replace(content, '[{_SPACE}]+', ' ', 'g')) AS p FROM documents)""",
+    "chunk_markdown": f"""WITH d AS (SELECT doc_id, content FROM documents WHERE length(content) > 0),
+small AS (SELECT doc_id, 0 AS a, 0 AS b, content AS c FROM d WHERE strlen(content) <= 4000), big AS (SELECT * FROM d WHERE strlen(content) > 4000),{_parts("x", "big", "content", "## ", "doc_id")},
+fit AS (SELECT doc_id, part AS a, 0 AS b, regexp_replace(content, '[{_SPACE}]+$', '') AS c FROM x WHERE strlen(content) <= 4000),
+wide AS (SELECT doc_id, part AS a, content FROM x WHERE strlen(content) > 4000),{_parts("y", "wide", "content", "### ", "doc_id, a")},
+cut AS (SELECT doc_id, a, part AS b, regexp_replace({_cut("content", 4000)}, '[{_SPACE}]+$', '') AS c FROM y),
+everything AS (SELECT * FROM small UNION ALL SELECT * FROM fit UNION ALL SELECT * FROM cut)
+SELECT doc_id, chunk_index, sha256(c) AS digest FROM (SELECT doc_id, c, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS INT) AS chunk_index FROM everything)
+WHERE strlen(regexp_replace(regexp_replace(c, '^[{_SPACE}]+', ''), '[{_SPACE}]+$', '')) >= 50""",
+    "symbols_cases": _written(cases.SYMBOLS, "id, name, kind, start_line, end_line", "nssnn"),
+    "chunk_code_cases": _written(cases.CHUNKS, "id, chunk_index, start_line, end_line, kind", "nnnns"),
+    "repo_index_upsert": f"""WITH n AS (SELECT repo_path, max(indexed_at) AS indexed_at, flatten(list(coalesce(project, []))) AS project FROM code_chunks GROUP BY repo_path),
+k AS (SELECT *, CASE WHEN starts_with(repo_path, 'hackage::') THEN 'hackage' WHEN starts_with(repo_path, 'chap::') THEN 'chap' WHEN starts_with(repo_path, 'crates.io::') THEN 'crates.io'
+  WHEN starts_with(repo_path, 'git::') THEN 'git' WHEN starts_with(repo_path, 'pypi::') THEN 'pypi' ELSE 'local' END AS source_kind,
+  CASE WHEN ({_PKG} OR starts_with(repo_path, 'pypi::')) AND regexp_matches({_REST}, '^.*-[0-9]') THEN regexp_extract({_REST}, '^(.*)-[0-9]', 1) END AS package_name FROM n)
+SELECT coalesce(o.repo_path, k.repo_path) AS repo_path, CASE WHEN k.repo_path IS NULL THEN o.source_kind ELSE k.source_kind END AS source_kind, CASE WHEN k.repo_path IS NULL THEN o.package_name ELSE k.package_name END AS package_name, o.version,
+  CASE WHEN k.repo_path IS NULL THEN o.indexed_at ELSE k.indexed_at END AS indexed_at,
+  coalesce(array_to_string(CASE WHEN k.repo_path IS NULL THEN o.project ELSE list_sort(list_distinct(list_filter(list_concat(coalesce(o.project, []), coalesce(k.project, [])), lambda v: v IS NOT NULL))) END, ','), '') AS projects
+FROM repo_index o FULL JOIN k ON o.repo_path = k.repo_path""",
+    "evolve_projects": """SELECT 'string' AS form, doc_id, CASE WHEN project[1] IS NULL THEN -1 ELSE 1 END AS n, coalesce(project[1], '') AS head FROM documents
+UNION ALL SELECT 'absent', doc_id, -1, '' FROM documents UNION ALL SELECT 'list', doc_id, coalesce(len(project), -1), coalesce(project[1], '') FROM documents""",
+    "file_chunks": """WITH r AS (SELECT repo_path FROM code_chunks GROUP BY 1 ORDER BY count(*) DESC, repo_path LIMIT 1), f AS (SELECT min(file_path) AS file_path FROM code_chunks WHERE repo_path = (SELECT repo_path FROM r))
+SELECT id, chunk_index FROM code_chunks WHERE repo_path = (SELECT repo_path FROM r) AND file_path = (SELECT file_path FROM f)""",
+    "rerank_overlap": f"""WITH p AS (SELECT * FROM github_issues ORDER BY created_at DESC NULLS LAST, id LIMIT 40), q AS (SELECT ['the', 'cache', 'is', 'stale', 'and', 'snapshot', 'late'] AS w)
+SELECT id, round(len(list_filter(w, lambda x: list_contains(string_split_regex(lower(content), '[{_SPACE}]+'), x))) / 7.0, 6)::DOUBLE AS score FROM p, q ORDER BY score DESC, created_at DESC NULLS LAST, id LIMIT 10""",
+}

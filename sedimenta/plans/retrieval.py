@@ -9,6 +9,7 @@ from sedimenta.functions.text import query_terms
 from sedimenta.operators import retrieval as R
 from sedimenta.operators.postings import PostingsIndex
 from sedimenta.operators.search_index import SearchIndex
+from sedimenta.operators.sql_functions import register_hybrid_search
 from sedimenta.sources.shared import shared_dir
 from sedimenta.sources.tables import table
 
@@ -71,6 +72,15 @@ def hybrid_scan(s: SparkSession, d: str) -> DataFrame:
     return R.search_code(df, QUERY, _vector(df, "id")).select("id", "repo_path", "file_path", F.coalesce("start_line", F.lit(0)).alias("first_line"), "language", "rrf_score")
 
 
+def hybrid_sql(s: SparkSession, d: str) -> DataFrame:
+    """The same search as a table function called from SQL."""
+    df = _code(s, d).select("id", "content", "embedding")
+    df.createOrReplaceTempView("chunks_to_search")
+    register_hybrid_search(s, "chunks_to_search", "id")
+    vector = F.array(*[F.lit(x) for x in _vector(df, "id")])
+    return s.sql("SELECT id, rrf_score FROM hybrid_search(:query, :vector, 12)", args={"query": QUERY, "vector": vector})
+
+
 def hybrid_search_filtered(s: SparkSession, d: str) -> DataFrame:
     index, vector = _indexed(s, d, "code_chunks")
     return R.search_code(index, QUERY, vector, language="python", repo_path="%::%").select("id", "repo_path", "language", "rrf_score")
@@ -157,7 +167,7 @@ def file_reconstruct(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    search_index_build, hybrid_search, hybrid_scan, hybrid_search_filtered, hybrid_prefiltered, bm25_search, bm25_scan, bm25_indexed, bm25_search_filtered, docs_search, entity_union_search, entity_issues_only,
+    search_index_build, hybrid_search, hybrid_scan, hybrid_sql, hybrid_search_filtered, hybrid_prefiltered, bm25_search, bm25_scan, bm25_indexed, bm25_search_filtered, docs_search, entity_union_search, entity_issues_only,
     corpus_stats, term_df, knn_cosine, knn_scan, rrf_fuse, list_repos, file_reconstruct,
 )}
 
@@ -222,7 +232,7 @@ z AS (SELECT repo_path, file_path, string_agg(line, chr(10) ORDER BY n) AS sourc
 SELECT repo_path, file_path, length(source) AS n_chars, sha256(source) AS digest FROM z""",
 }
 ORACLES |= {
-    "hybrid_scan": ORACLES["hybrid_search"], "bm25_scan": ORACLES["bm25_search"], "knn_scan": ORACLES["knn_cosine"],
+    "hybrid_scan": ORACLES["hybrid_search"], "hybrid_sql": _hybrid("code_chunks", "id", "id", fetch=12, limit=12), "bm25_scan": ORACLES["bm25_search"], "knn_scan": ORACLES["knn_cosine"],
     "search_index_build": "SELECT count(*) AS n_rows, count(*) FILTER (CASE WHEN len(embedding) = 64 THEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 ELSE FALSE END) AS n_vectors FROM code_chunks",
     "entity_issues_only": f"""WITH c AS (SELECT * FROM github_issues WHERE state = 'closed'),{_fused("c", "id", vector_of="github_issues")},
 a AS (SELECT 'pr' AS entity_type, k, rrf_score FROM f ORDER BY rrf_score DESC, k LIMIT 5)

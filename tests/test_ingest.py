@@ -194,3 +194,29 @@ def test_links_paths_and_retries(tmp_path):
 def test_old_versions_keep_ties(spark):
     df = spark.createDataFrame([("a-1", "crates.io", "a", 1), ("a-2", "crates.io", "a", 2), ("a-3", "pypi", "a", 1), ("b-1", "pypi", "b", 5), ("b-2", "pypi", "b", 5), ("l", "local", None, 0)], "repo_path string, source_kind string, package_name string, indexed_at int")
     assert [r.repo_path for r in old_versions(df).collect()] == ["a-1"] and old_versions(df, "b").count() == 0
+
+
+def test_model_server(monkeypatch):
+    import urllib.error
+
+    from sedimenta.operators.embed import HttpReranker, ensure_model
+
+    asked = []
+
+    def call(url, body):
+        asked.append(url.rsplit("/", 1)[-1])
+        if asked == ["embed"]:
+            raise urllib.error.HTTPError(url, 404, "no model", None, None)
+        return {"models": [{"name": "m:latest", "size_vram": 0}]} if url.endswith("/ps") else {}
+
+    assert "does not run on a GPU" in ensure_model("http://h", "m", call) and asked == ["embed", "pull", "embed", "ps"]
+    assert ensure_model("http://h", "m", lambda url, body: {"models": [{"name": "m", "size_vram": 5}]}) == ""
+
+    def broken(url, body):
+        raise urllib.error.HTTPError(url, 500, "down", None, None)
+
+    with pytest.raises(urllib.error.HTTPError):
+        ensure_model("http://h", "m", broken)
+    r = HttpReranker("http://h/rerank", "m")
+    monkeypatch.setattr(r, "_post", lambda body: json.dumps({"results": [{"index": i, "relevance_score": len(t)} for i, t in reversed(list(enumerate(json.loads(body)["documents"])))]}).encode())
+    assert r("q", ["aa", "b", "cccc"]) == [2.0, 1.0, 4.0]

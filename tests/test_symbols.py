@@ -4,216 +4,13 @@ import pytest
 
 from sedimenta.operators import symbols as S
 from sedimenta.operators.symbols import C_DOC, HASKELL_DOC, RUST_DOC, doc_start, extract_symbols
+from sedimenta.plans.cases import TIDE_TS, KETTLE_JS, GARDEN_PY, BROKEN_PY, MINT_RS, BREWERY_HS, PRESS_HS, CELLAR_NIX, LIBRARY_JAVA, RAIL_KT, CLOCK_C, KILN_CPP, BRIDGE_TEX  # noqa: E501
 
 
 def pairs(source, language):
     return [(s.kind, s.name) for s in extract_symbols(source, language)]
 
 
-TIDE_TS = """
-import { Buoy } from "./buoy";
-
-export function readTide(station: string): number {
-  const note = `closing } in text`;
-  return station.length;
-}
-const forecast = (hours: number[]) => {
-  return hours.map((h) => h * 2);
-};
-let high = 4,
-  low = 1;
-export class Harbour {
-  open() { return true; }
-}
-export interface Berth { metres: number }
-type Port = "north" | "south";
-enum Flag { Green, Red }
-"""
-KETTLE_JS = """
-function boil(litres) {
-  // the brace } in a comment closes nothing
-  return "{" + litres;
-}
-function* drops() { yield 1; }
-var pour = function (cup) { return cup; };
-"""
-GARDEN_PY = """
-import calendar
-
-@calendar_entry
-def sow(bed):
-    return bed
-
-class Greenhouse:
-    @property
-    def warmth(self):
-        return 21
-
-    class Shelf:
-        depth = 3
-
-async def water(can): ...
-"""
-BROKEN_PY = """
-def prune(:
-    pass
-
-class Orchard:
-    def pick(self):
-        return 1
-
-def press():
-    return 2
-"""
-MINT_RS = """
-/// A coin of the mint.
-#[derive(Clone)]
-pub struct Coin<M> { metal: M }
-
-impl<M: Weigh> Coin<M> {
-    pub fn strike(metal: M) -> Self { Coin { metal } }
-    async fn polish(&self) { let brush = "}"; }
-}
-
-impl Weigh for Ingot {
-    fn grams(&self) {}
-}
-enum Alloy { Brass, Bronze }
-trait Weigh { fn grams(&self); }
-type Tally = u64;
-const DIES: usize = 12;
-mod vault { pub fn lock() {} }
-fn main() { let key = '{'; }
-"""
-BREWERY_HS = """
-module Brewery (mash) where
-
-import qualified Data.Map as Map
-
--- | Litres of wort that a weight of malt gives.
-mash :: Double -> Malt -> Double
-mash kilos Pale
-  | kilos <= 0 = 0
-  | otherwise = kilos * 5.5
-mash kilos Roasted = kilos * 4.8
-
-data Malt
-  = Pale
-  | Roasted
-  deriving (Eq)
-
-newtype Cask h = Cask { hold :: [h] }
-type Recipe = Map.Map Malt Double
-
-class Vessel v where
-  capacity :: v -> Double
-
-instance Vessel (Cask h) where
-  capacity = fromIntegral . length . hold
-
-hopRate = 0.7
-"""
-PRESS_HS = """
-module Press where
-
-#ifdef WINDOWS
-#if defined(OLD_DRIVER)
-instance Printer Matrix where
-  feed _ = 3
-#endif
-#endif
-
-sheets :: Int
-sheets = 500
-"""
-CELLAR_NIX = """
-{ stdenv, fetchurl, ... }:
-let
-  vintage = 1998;
-in {
-  racks = { upper = 3; };
-  labels.front = ''
-    year = 1998;
-  '';
-}
-"""
-LIBRARY_JAVA = """
-package reading.room;
-
-public class Shelf<T> extends Furniture {
-  private int boards = 4;
-  public Shelf(int boards) { this.boards = boards; }
-  @Override
-  public <B> List<B> borrow(String title) { if (boards > 0) { return null; } return null; }
-  enum Genre { POEM, NOVEL; int pages() { return 80; } }
-  interface Reader { void turn(); }
-}
-record Loan(int days) {}
-@interface Rare {}
-"""
-RAIL_KT = """
-package rail
-
-class Wagon(val seats: Int) : Vehicle() {
-  val doors = 2
-  fun board(): Int = seats + doors
-  companion object {
-    const val GAUGE = 1435
-  }
-}
-object Depot { fun shunt() {} }
-fun depart(track: Int): Int {
-  return track
-}
-val platforms = 9
-"""
-CLOCK_C = """
-#include <gears.h>
-#define LARGER(p, q) \\
-  ((p) > (q) ? (p) : (q))
-
-/* Winds the spring. */
-static long *wind(const char *spring, int turns)
-{
-  return 0;
-}
-struct wheel { int teeth; };
-union hand { int minute; };
-enum chime { HOUR, QUARTER };
-typedef struct wheel wheel_t;
-typedef void (*strike_fn)(int);
-int ticks = 60;
-void stop(int hour);
-"""
-KILN_CPP = """
-namespace kiln {
-class Oven : public Heater {
-public:
-  int degrees() const { return 900; }
-};
-template <typename Clay>
-Clay fire(Clay raw) { return raw; }
-}
-void Oven::cool() {}
-extern "C" {
-int ash(void) { return 2; }
-}
-"""
-BRIDGE_TEX = r"""
-\section{Spans}
-Some words on arches.
-\begin{figure}
-\caption{The old arch}
-\end{figure}
-\subsection{Loads}
-\begin{lemma}\label{lem:keystone}
-A keystone holds.
-\end{lemma}
-\begin{equation}
-f = m a
-\end{equation}
-\[ g \]
-"""
 CASES = [
     ("typescript", TIDE_TS, "function readTide, function forecast, function high, function low, class Harbour, interface Berth, type Port, enum Flag"),
     ("javascript", KETTLE_JS, "function boil, function drops, function pour"),

@@ -25,6 +25,8 @@ from sedimenta.sources.tables import table
 
 LIMITS = {"code_chunks": 8000, "documents": 4000}
 OVERLAP = 200
+#: Bytes of a text whose successor tables stand in memory at a time, some 60 bytes for each.
+SEGMENT = 4_000_000
 _SENTENCE = np.isin(np.arange(256), list(b".!?;:"))
 
 
@@ -117,7 +119,10 @@ def starts(nxt: np.ndarray) -> np.ndarray:
 
 
 def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """Pieces of a text as (start byte, end byte, piece). A text within the limit is its only piece; an empty one has none."""
+    """Pieces of a text as (start byte, end byte, piece). A text within the limit is its only piece; an empty one has none.
+
+    A long text is taken in segments; the pieces are those of the whole text.
+    """
     if limit < 8 or overlap < 0 or overlap * 2 > limit:
         raise ValueError("the limit must be at least 8 bytes and twice the overlap")
     data = text.encode("utf-8", "surrogatepass")
@@ -125,10 +130,24 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
         return []
     if len(data) <= limit:
         return [(0, len(data), text)]
-    at, rank = boundaries(data)
-    cut, nxt = successors(at, rank, limit, overlap)
-    s = starts(nxt)
-    return [(int(at[a]), int(at[cut[a]]), data[at[a] : at[cut[a]]].decode("utf-8", "surrogatepass")) for a in s]
+    out: list[tuple[int, int, str]] = []
+    start = 0
+    while True:
+        # a segment begins where a piece does, with the few bytes before it that tell what boundary that is
+        low, high = max(0, start - 4), min(len(data), start + max(SEGMENT, 4 * limit))
+        at, rank = boundaries(data[low:high])
+        k = int(np.searchsorted(at, start - low))
+        at, rank = at[k:], rank[k:]
+        cut, nxt = successors(at, rank, limit, overlap)
+        s = starts(nxt)
+        # pieces that may reach the end of the segment are cut in the next one
+        sure = len(s) if high == len(data) else int(np.searchsorted(at[s] + limit, high - low))
+        for a in s[:sure]:
+            x, y = low + int(at[a]), low + int(at[cut[a]])
+            out.append((x, y, data[x:y].decode("utf-8", "surrogatepass")))
+        if high == len(data):
+            return out
+        start = low + int(at[nxt[s[sure - 1]]])
 
 
 def split_oversized(df: DataFrame, key: str, text: str, limit: int, overlap: int = OVERLAP) -> DataFrame:
@@ -172,8 +191,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).where(F.col("piece_index") == 1).select("record_table", "record_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces}
+def p6_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each split row the bytes that its pieces end at, and whether they are within the limit, in order, and leave nothing out."""
+    p = p6_pieces(spark, sf_dir).groupBy("record_table", "record_id").agg(F.array_sort(F.collect_list(F.struct("piece_index", "start_byte", "end_byte", F.octet_length("piece").alias("n")))).alias("p"))
+    limit = F.when(F.col("record_table") == "documents", LIMITS["documents"]).otherwise(LIMITS["code_chunks"])
+    sized = F.forall("p", lambda x: (x["end_byte"] - x["start_byte"] == x["n"]) & (x["n"] <= limit))
+    pairs = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p")), lambda a, b: (b["start_byte"] > a["start_byte"]) & (b["start_byte"] <= a["end_byte"]) & (a["end_byte"] - b["start_byte"] <= OVERLAP) & (b["end_byte"] > a["end_byte"]))
+    whole = sized & F.forall(pairs, lambda x: x) & (F.get("p", F.lit(0))["start_byte"] == 0)
+    return p.select("record_table", "record_id", F.element_at("p", -1)["end_byte"].alias("n_bytes"), whole.alias("whole"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p6_cover": p6_cover}
 ORACLES = {
+    "p6_cover": "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS record_table, {'doc_id' if t == 'documents' else 'id'} AS record_id, CAST(strlen(content) AS BIGINT) AS n_bytes, TRUE AS whole FROM {t} WHERE strlen(content) > {n}"
+        for t, n in LIMITS.items()
+    ),
     "p6_found": "\nUNION ALL\n".join(
         f"SELECT '{t}' AS record_table, {'doc_id' if t == 'documents' else 'id'} AS record_id FROM {t} WHERE strlen(content) > {n}"
         for t, n in LIMITS.items()

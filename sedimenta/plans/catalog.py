@@ -14,6 +14,7 @@ from sedimenta.operators import store as S
 from sedimenta.operators.embed import rerank, word_overlap
 from sedimenta.plans import cases
 from sedimenta.sources.tables import table
+from sedimenta.streaming import sync
 
 #: Deliveries after these times count as new ones.
 CUT, FILE_CUT = "2026-05-23", "2026-05-31 06:00:00"
@@ -253,6 +254,16 @@ def json_shape_filter(s: SparkSession, d: str) -> DataFrame:
     return df.select("event_id", j.alias("j")).where("j.k IS NOT NULL AND j.p IS NULL").select("event_id", F.col("j.k").alias("k"))
 
 
+def sync_shape(s: SparkSession, d: str) -> DataFrame:
+    """Issues as an API delivers them, closed ones with a pull request in them, brought to rows: one for each number."""
+    df = table(s, d, "github_issues", "number", "state", "title", "body", "author", "created_at", "updated_at")
+    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    pull = F.when(F.col("state") == "closed", F.struct(F.lit("https://api.example/pulls/1").alias("url"))).alias("pull_request")
+    item = F.struct("number", "state", "title", "body", F.struct(F.col("author").alias("login")).alias("user"), time("created_at"), time("updated_at"), pull)
+    out = sync.shape(df.select(F.to_json(item).alias("item")), "issues", "o/r")
+    return out.select("repo", "number", "state", "author", "updated_raw", "content_hash")
+
+
 def like_filter(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "code_chunks", "id", "repo_path").where(F.col("repo_path").like("crates.io::%-_.%")).select("id")
 
@@ -294,7 +305,7 @@ QUERIES = {
     for f in (
         doc_classify, language_detect, markdown_title_preview, content_hash, query_sanitise, chunk_lines, chunk_code, chunk_code_cases, chunk_markdown, symbols, symbols_cases, repo_index_upsert, evolve_projects, file_chunks, rerank_overlap, project_overlap, project_merge, upsert_conditional, upsert_always,
         insert_ignore, distinct_on_first, incremental_classify, status_counts, touch_mtime, old_versions, prune_counts, prune_rest, repo_index_backfill, entity_counts, index_listing, sync_status, watermark_max, watermark_filter,
-        error_upsert, watermark_upsert, label_lists, issue_number_parse, json_shape_filter, like_filter, min_length, null_safe_changes, package_check, array_insert, issue_contents,
+        error_upsert, watermark_upsert, label_lists, issue_number_parse, json_shape_filter, sync_shape, like_filter, min_length, null_safe_changes, package_check, array_insert, issue_contents,
     )
 }
 
@@ -429,4 +440,7 @@ UNION ALL SELECT 'absent', doc_id, -1, '' FROM documents UNION ALL SELECT 'list'
 SELECT id, chunk_index FROM code_chunks WHERE repo_path = (SELECT repo_path FROM r) AND file_path = (SELECT file_path FROM f)""",
     "rerank_overlap": f"""WITH p AS (SELECT * FROM github_issues ORDER BY created_at DESC NULLS LAST, id LIMIT 40), q AS (SELECT ['the', 'cache', 'is', 'stale', 'and', 'snapshot', 'late'] AS w)
 SELECT id, round(len(list_filter(w, lambda x: list_contains(string_split_regex(lower(content), '[{_SPACE}]+'), x))) / 7.0, 6)::DOUBLE AS score FROM p, q ORDER BY score DESC, created_at DESC NULLS LAST, id LIMIT 10""",
+    "sync_shape": f"""WITH x AS (SELECT *, regexp_replace(regexp_replace(title, '^[{_SPACE}]+', ''), '[{_SPACE}]+$', '') AS t, regexp_replace(regexp_replace(coalesce(body, ''), '^[{_SPACE}]+', ''), '[{_SPACE}]+$', '') AS b FROM github_issues WHERE state IS DISTINCT FROM 'closed'),
+h AS (SELECT *, sha256(CASE WHEN b = '' THEN t ELSE t || chr(10) || chr(10) || b END) AS h, strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ') AS u FROM x)
+SELECT 'o/r' AS repo, number, state, author, u AS updated_raw, h AS content_hash FROM h QUALIFY row_number() OVER (PARTITION BY number ORDER BY u DESC NULLS LAST, h DESC) = 1""",
 }

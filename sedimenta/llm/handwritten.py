@@ -33,7 +33,7 @@ LINE_CHARS = 12
 CONTAINMENT, COPY_LINES = 0.6, 15
 #: Lines that a copy needs of which nothing says that it is one.
 SILENT_LINES = 30
-#: Size of the filter that lets lines of several projects pass (16 MB).
+#: Greatest size of the filter that lets lines of several projects pass (16 MB).
 FILTER_BITS = 27
 #: Share of a file that decides its kind, and the least amount of characters of literals.
 SHARE, DATA_CHARS = 0.5, 600
@@ -228,13 +228,14 @@ def _project(name: Column) -> Column:
     return F.xxhash64(F.lower(name))
 
 
-def _only_known(files: DataFrame, known: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def _only_known(files: DataFrame, known: DataFrame, most: int = FILTER_BITS) -> DataFrame:
     """``files`` with ``hashes`` thinned to those that a Bloom filter of ``known`` (line) passes.
 
-    The filter has a fixed size (2 ** bits bits), which is what comes to the driver and goes to the workers;
-    where very many lines are known it passes more, and the join behind it still decides.
+    The filter has 16 bits for each known line and at most 2 ** most, which is what comes to the driver and goes
+    to the workers; where very many lines are known it passes more, and the join behind it still decides.
     """
-    mask, page = (1 << bits) - 1, 1 << 16
+    bits = min(most, max(17, (16 * known.count()).bit_length()))
+    mask, page = (1 << bits) - 1, 1 << min(bits, 20)
     place = F.explode(F.array(F.col("line").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("line", 33).bitwiseAND(F.lit(mask))))
 
     def bitmap(t: pa.Table) -> pa.Table:
@@ -245,7 +246,7 @@ def _only_known(files: DataFrame, known: DataFrame, bits: int = FILTER_BITS) ->
 
     pages = known.select(place.alias("at")).groupBy(F.floor(F.col("at") / page).alias("page")).applyInArrow(bitmap, "page long, bits binary")
     whole = np.zeros(((1 << bits) // page, page // 8), np.uint8)
-    for r in pages.toLocalIterator():
+    for r in pages.collect():
         whole[r.page] = np.frombuffer(r.bits, np.uint8)
     name = put_shared_file(files.sparkSession, whole.tobytes(), ".bloom")
     columns = [c for c in files.columns if c != "hashes"]

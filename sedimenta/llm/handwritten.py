@@ -33,6 +33,8 @@ LINE_CHARS = 12
 CONTAINMENT, COPY_LINES = 0.6, 15
 #: Lines that a copy needs of which nothing says that it is one.
 SILENT_LINES = 30
+#: Files with a note of origin up to which their notes (some 40 bytes each) are broadcast.
+NOTED_FILES = 500_000
 #: Greatest size of the filter that lets lines of several projects pass (16 MB).
 FILTER_BITS = 27
 #: Share of a file that decides its kind, and the least amount of characters of literals.
@@ -207,7 +209,7 @@ _KINDS = {
     "chars": pa.int64(), "lines": pa.int64(), "dense": pa.int64(), "data": pa.int64(), "numbered": pa.int64(),
     "generated": pa.bool_(), "min_name": pa.bool_(), "own": pa.string(), "foreign": pa.list_(pa.string()), "hashes": pa.list_(pa.int64()),
 }
-_SCHEMA = "repo_path string, file_path string, chars long, lines long, dense long, data long, numbered long, generated boolean, min_name boolean, own string, foreign array<string>, hashes array<long>"
+_SCHEMA = "repo_path string, file_path string, chars long, lines long, dense long, data long, numbered long, generated boolean, min_name boolean, own string, foreign array<string>, hashes array<long>, file_time long"
 
 
 def profiles(chunks: DataFrame) -> DataFrame:
@@ -219,9 +221,10 @@ def profiles(chunks: DataFrame) -> DataFrame:
                 part = batch.slice(i, 1000)
                 rows = [profile(*r) for r in zip(*(part.column(j).to_pylist() for j in range(4)), strict=True)]
                 cols = [pa.array([r[k] for r in rows], kind) for k, kind in _KINDS.items()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["repo_path", "file_path", *_KINDS])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols, part.column(4)], names=["repo_path", "file_path", *_KINDS, "file_time"])
 
-    return spread(chunks.select("repo_path", "file_path", "chunk_index", F.coalesce("content", F.lit("")).alias("content"))).mapInArrow(run, _SCHEMA)
+    time = F.col("file_mtime").cast("long") if "file_mtime" in chunks.columns else F.lit(None).cast("long")
+    return spread(chunks.select("repo_path", "file_path", "chunk_index", F.coalesce("content", F.lit("")).alias("content"), time.alias("file_time"))).mapInArrow(run, _SCHEMA)
 
 
 def _project(name: Column) -> Column:
@@ -269,7 +272,7 @@ def _only_known(files: DataFrame, known: DataFrame, most: int = FILTER_BITS) ->
     return files.select(*columns, "hashes").mapInArrow(run, files.select(*columns, "hashes").schema)
 
 
-def copied_files(found: DataFrame, times: DataFrame | None = None) -> DataFrame:
+def copied_files(found: DataFrame) -> DataFrame:
     """fid of files of which most lines stand in one other project, and that are the copy of the two.
 
     ``found``: profiles with fid and rid, hashes of the file's and the repository's name. Every line of
@@ -282,19 +285,17 @@ def copied_files(found: DataFrame, times: DataFrame | None = None) -> DataFrame:
     Where lines are shared, the announcements tell the copy. A file of project A that P contains is the
     copy if announced copies of P contain it, if a file of A names P, or if P is named anywhere and A is
     not; but never if P names A and A doesn't name P. Where nothing is announced, a file of at least
-    SILENT_LINES lines is a copy if most of the lines stood in P before it (``times``: fid and file_time, the
-    least known time of the file); of equal or unknown times neither is one.
+    SILENT_LINES lines is a copy if most of the lines stood in P before it by the files' times
+    (``file_time``); of equal or unknown times neither is one.
     """
     own = _project(F.col("own"))
     # a note in a file's head holds for all of its chunks
     notes = found.where(F.size("foreign") > 0).groupBy("fid").agg(F.array_distinct(F.flatten(F.collect_set(F.transform("foreign", _project)))).alias("of"))
+    if found.where(F.size("foreign") > 0).count() <= NOTED_FILES:
+        notes = F.broadcast(notes)
     said = F.col("of").isNotNull()
     packages = F.when(said, F.col("of")).otherwise(F.array(own))
     compared = found.where(~F.coalesce(F.col("file_path").rlike(_LEGAL), F.lit(False)))
-    if times is not None:
-        compared = compared.join(times, "fid", "left")
-    else:
-        compared = compared.withColumn("file_time", F.lit(None).cast("long"))
     files = compared.join(notes, "fid", "left").select("fid", "rid", own.alias("own"), said.alias("said"), "file_time", packages.alias("packages"), "hashes")
 
     def posted(some: DataFrame) -> DataFrame:
@@ -306,7 +307,7 @@ def copied_files(found: DataFrame, times: DataFrame | None = None) -> DataFrame:
     lines = checkpoint(found.sparkSession, posted(_only_known(files, shared)).join(shared, "line"))
 
     # files that may be copies: enough of their lines stand in several projects
-    plain = lines.where(~F.col("said")).groupBy("fid", "line").agg(F.first("rid").alias("rid"), F.first("own").alias("own"), F.first("n").alias("n"), F.first("file_time").alias("file_time"))
+    plain = lines.where(~F.col("said")).groupBy("fid", "line").agg(F.first("rid").alias("rid"), F.first("own").alias("own"), F.first("n").alias("n"), F.min("file_time").alias("file_time"))
     some = plain.groupBy("fid").agg(F.count("*").alias("held")).where(F.col("held") >= CONTAINMENT * COPY_LINES)
     total = found.join(some, "fid").select("fid", "held", F.explode("hashes").alias("line")).distinct().groupBy("fid", "held").agg(F.count("*").alias("total"))
     total = total.where((F.col("total") >= COPY_LINES) & (F.col("held") >= CONTAINMENT * F.col("total")))
@@ -355,10 +356,7 @@ def not_handwritten(chunks: DataFrame) -> DataFrame:
     """
     named = profiles(chunks).withColumn("fid", F.xxhash64("repo_path", "file_path", F.isnull("repo_path"))).withColumn("rid", F.xxhash64("repo_path"))
     found = checkpoint(chunks.sparkSession, named)
-    times = None
-    if "file_mtime" in chunks.columns:
-        times = chunks.groupBy(F.xxhash64("repo_path", "file_path", F.isnull("repo_path")).alias("fid")).agg(F.min("file_mtime").alias("file_time"))
-    copies = copied_files(found, times).withColumn("copied", F.lit(True))
+    copies = copied_files(found).withColumn("copied", F.lit(True))
     sums = found.groupBy("repo_path", "file_path", "fid").agg(
         *[F.sum(c).alias(c) for c in ("chars", "lines", "dense", "data")],
         F.max("numbered").alias("numbered"),

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from helpers import SF
 
 from sedimenta.llm import neighbours as N
 
@@ -69,3 +70,45 @@ def test_brute_force_and_recall(spark):
     assert {q: g.sort_values("rank").x.tolist() for q, g in got.groupby("q")} == {q: want[q] for q in range(10)}
     none = N.recall_of(N.brute_force(df, "id", "embedding", df.limit(0), 5, 8), N.brute_force(df, "id", "embedding", df.limit(0), 5, 8)).first()
     assert (none.n_queries, none.recall) == (0, None)
+
+
+@pytest.mark.parametrize("sample_rows", [30, 2000])
+def test_exact_lists_whatever_the_sample(spark, monkeypatch, sample_rows):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1500, 8)).astype(np.float32)
+    x[100:130] = x[100]
+    x[130:160] = x[130] * rng.integers(1, 5, (30, 1))  # one direction at several lengths
+    df = table(spark, x)
+    _, want = exact(x, 5)
+    for queries in (None, df.where("id % 10 = 0")):
+        got = N.search(df, "id", "embedding", 5, 8, queries=queries, recall=1.0, sample_rows=sample_rows).toPandas()
+        lists = {q: g.sort_values("rank").x.tolist() for q, g in got.groupby("q")}
+        assert lists == {q: want[q] for q in want if queries is None or q % 10 == 0}
+
+
+@pytest.mark.parametrize("sample_rows", [30, 2000])
+def test_exact_mutual_pairs_in_groups_on_borders(spark, monkeypatch, sample_rows):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(13)
+    centres = rng.standard_normal((60, 8))
+    x = (centres[rng.integers(0, 60, 1500)] + 0.25 * rng.standard_normal((1500, 8))).astype(np.float32)
+    x[400:600] = x[400] + 0.02 * rng.standard_normal((200, 8))  # a group in which nearly all pairs count
+    df = table(spark, x)
+    s, want = exact(x, 5)
+    top = {i: {j for j in want[i] if s[i, j] >= 0.95} for i in want}
+    near = N.search(df, "id", "embedding", 5, 8, least=0.95, recall=1.0, sample_rows=sample_rows).toPandas()
+    assert {q: set(g.x) for q, g in near.groupby("q")} == {q: t for q, t in top.items() if t}
+    monkeypatch.setattr(N, "SAMPLE_ROWS", sample_rows)
+    monkeypatch.setattr(N, "DIM", 8)
+    monkeypatch.setattr(N.search, "__defaults__", (5, 8, *N.search.__defaults__[2:]))
+    got = {(r.id_a, r.id_b) for r in N.mutual_pairs(df, "id", "embedding").collect()}
+    assert got == {(i, j) for i in top for j in top[i] if i < j and i in top[j]}
+
+
+def test_recall_is_of_all_lists(spark, monkeypatch):
+    search = N.search
+    # lists of three in four queries are lost, those of ids divisible by 200 stand
+    monkeypatch.setattr(N, "search", lambda *a, **k: search(*a, **k).where("q % 200 = 0"))
+    monkeypatch.setattr(N, "TABLES", {"documents": "doc_id"})
+    assert [r.enough for r in N.p5_recall(spark, SF).collect()] == [False]
